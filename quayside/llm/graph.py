@@ -15,7 +15,7 @@ from .common import whole_keys, written
 #: Members of one bucket that are compared in one task; larger buckets are split into blocks of this size.
 BUCKET_ROWS = 2048
 #: Members of a bucket by chance alone that the number of key bits is chosen for.
-CHANCE_ROWS = 64
+CHANCE_ROWS = 400
 
 
 def components(edges: DataFrame) -> DataFrame:
