@@ -14,7 +14,7 @@ WINDOW_WORDS = 8
 RULES: dict[str, str] = {
     "few_words": "n_words < 20",
     "repeated_words": "100 * n_repeat_words > 30 * n_words",
-    "symbols": "n_symbols > n_words",
+    "symbols": "10 * n_symbols > 3 * n_words",
     "repeated_lines": "100 * n_dup_lines > 50 * n_lines",
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 20 * n_words",

@@ -82,8 +82,9 @@ def op5_secret_ownership(spark, sf_dir: str) -> DataFrame:
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"] < BASE_KINDS)
     count = lambda cond: F.size(F.filter("spans", cond)).cast("long")
+    of_kind = lambda k: count(lambda s: s["kind"] == k)
     return found.select(
-        F.col("id").alias("doc_id"), *(count(lambda s, k=k: s["kind"] == k).alias(f"n_{KINDS[k][0]}") for k in range(BASE_KINDS)),
+        F.col("id").alias("doc_id"), *(of_kind(k).alias(f"n_{KINDS[k][0]}") for k in range(BASE_KINDS)),
         F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"),
         count(lambda s: s["copied"]).alias("n_copied"), count(lambda s: ~s["copied"]).alias("n_owned"),
     )
