@@ -1,38 +1,16 @@
-"""Pieces the training-data operators share: tables, written cuts of lineage, bit votes."""
+"""Pieces the training-data operators share: texts, bit votes, runs of keys, and from the core tables and cuts of lineage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 
-_OWN_DIRS: dict[str, str] = {}
+from ..sources.shared import written
+from ..sources.tables import table
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests, one machine), one of our own."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIRS:
-        _OWN_DIRS[app] = tempfile.mkdtemp(prefix="quayside-")
-    return _OWN_DIRS[app]
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: a cut of lineage that survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/quayside/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["majority", "table", "texts_of", "vote_counts", "whole_keys", "written"]
 
 
 def texts_of(column: pa.Array) -> list[str]:

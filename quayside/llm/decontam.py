@@ -159,8 +159,11 @@ class Index:
 
 
 def search(texts: list[str], index: Index, hashes: WordHashes, least: float = LEAST_SIMILARITY) -> list[tuple[int, object, float, int]]:
-    """(text, item_id, similarity, first word) of the best passage of each item in each text that holds it."""
-    best: dict[tuple[int, int], tuple[float, int]] = {}
+    """(text, item_id, similarity, first word) of the best passage of each item in each text that holds it.
+
+    Of equally similar passages the one is best that needs the slack least, then the earliest.
+    """
+    best: dict[tuple[int, int], tuple[float, float, int]] = {}
     if not index.items:
         return []
 
@@ -178,17 +181,18 @@ def search(texts: list[str], index: Index, hashes: WordHashes, least: float = LE
                 if (k, begin) in tried:
                     continue
                 tried.add((k, begin))
-                if item.words >= SHINGLE_WORDS:
-                    if rolled is None:
-                        rolled = shingles(h, words)[0]
-                    passage = rolled[max(starts[t], begin - SLACK) : max(min(ends[t], begin + item.words + SLACK) - SHINGLE_WORDS + 1, 0)]
-                else:
-                    passage = shingles(h[w : w + size], words[w : w + size])[0]
-                found = item.held(passage)
-                key = (texts_at[t], k)
-                at = max(starts[t], begin) - starts[t] + skipped[t]
-                if found >= least and (key not in best or (-found, at) < (-best[key][0], best[key][1])):
-                    best[key] = (found, at)
+                if rolled is None:
+                    rolled = shingles(h, words)[0]
+
+                def held(slack: int) -> float:
+                    if item.words < SHINGLE_WORDS:
+                        return item.held(shingles(h[w : w + size], words[w : w + size])[0])
+                    return item.held(rolled[max(starts[t], begin - slack) : max(min(ends[t], begin + item.words + slack) - SHINGLE_WORDS + 1, 0)])
+
+                found, key = held(SLACK), (texts_at[t], k)
+                if found >= least:
+                    rank = (-found, -held(0), max(starts[t], begin) - starts[t] + skipped[t])
+                    best[key] = min(rank, best.get(key, rank))
 
     words: list[bytes] = []
     at: list[int] = []
@@ -209,7 +213,7 @@ def search(texts: list[str], index: Index, hashes: WordHashes, least: float = LE
                 break
     if words:
         block(words, at, starts, skipped)
-    return [(t, index.items[k].item_id, s, w) for (t, k), (s, w) in sorted(best.items())]
+    return [(t, index.items[k].item_id, -s, w) for (t, k), (s, _, w) in sorted(best.items())]
 
 
 def indexes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", slice_items: int = SLICE_ITEMS):

@@ -165,8 +165,8 @@ def line_links(firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str, r
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """(id, text_key, line, kept_id, kept_line) of every line to drop, with the place of the line that stays.
 
-    Of each group of lines that links connect (equal normalised lines always) the first stays, by id, key of
-    the text and number. Lines of under LEAST_WORDS words take no part. Null and empty texts have no
+    Of each group of lines that links connect (equal normalised lines always) the first stays, by id (null
+    first), key of the text and number. Lines of under LEAST_WORDS words take no part. Null and empty texts have no
     lines. Rows that repeat id and text are one text, and keep the same lines.
     """
     lines = written(line_table(docs, id_col, text_col), "lines")
