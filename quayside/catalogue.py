@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from .functions.demand import DEMANDS, METHODS, affinity, rank_key, shares, uniform_sql
 from .operators import metrics, pack, retrieve, solve, validate
 from .operators.order import ranked
+from .plans import dispatch
 from .plans import waves as plans
 from .sources import generate as gen
 from .sources.tables import ARRIVAL, WAVES, capacities, table, tasks
 from .streaming import windows
 
+#: Rows of the top-k reports.
 K = 1000
 LOCAL, SHARD = 100, 8192
-WINDOW = 5000
+WINDOW, POOL = pack.WINDOW, retrieve.POOL
 #: What remains of each resource in a dispatch, in tenths of the capacity.
 TENTHS = (10, 8, 6, 9)
 GATE = 20_000
@@ -213,20 +215,20 @@ def pool_gather(spark, sf_dir):
     return retrieve.gather(rows, retrieve.top_k(retrieve.scored(rows, "omp", remaining, capacity), K))
 
 
-_HUNDREDTH = ", ".join(f"c{k} // 20 AS m{k}" for k in range(4))
+_TWENTIETH = ", ".join(f"c{k} // 20 AS m{k}" for k in range(4))
 
 
 def _small(capacity: list[int]) -> list[int]:
     return [c // 20 for c in capacity]
 
 
-@query("windowed_fifo_batch", f"WITH {CAPS}, rems AS (SELECT {_HUNDREDTH} FROM caps), win AS (SELECT * FROM tasks, rems WHERE agent_id < {WINDOW}), {_fold('win', 'agent_id', 'm')} SELECT * FROM batch")
+@query("windowed_fifo_batch", f"WITH {CAPS}, rems AS (SELECT {_TWENTIETH} FROM caps), win AS (SELECT * FROM tasks, rems WHERE agent_id < {WINDOW}), {_fold('win', 'agent_id', 'm')} SELECT * FROM batch")
 def windowed_fifo_batch(spark, sf_dir):
     rows, capacity, _ = _context(spark, sf_dir)
     return pack.first_fit_window(rows, _small(capacity), window=WINDOW).select("agent_id", "seq")
 
 
-@query("first_fit_batch", f"WITH {CAPS}, rems AS (SELECT {_HUNDREDTH} FROM caps), win AS (SELECT * FROM tasks, rems), {_fold('win', 'agent_id', 'm')} SELECT agent_id FROM batch")
+@query("first_fit_batch", f"WITH {CAPS}, rems AS (SELECT {_TWENTIETH} FROM caps), win AS (SELECT * FROM tasks, rems), {_fold('win', 'agent_id', 'm')} SELECT agent_id FROM batch")
 def first_fit_batch(spark, sf_dir):
     rows, capacity, _ = _context(spark, sf_dir)
     return pack.distributed_first_fit(rows, _small(capacity), ["agent_id"]).select("agent_id")
@@ -235,20 +237,19 @@ def first_fit_batch(spark, sf_dir):
 _RESIDUAL = "round((" + " + ".join(f"CAST(r{k} AS DOUBLE) / m{k}" for k in range(4)) + ") * 1e6, 6)"
 
 
-@query("best_fit_batch", f"WITH {_scored('mp')}, pool AS (SELECT agent_id, r0, r1, r2, r3 FROM scored ORDER BY score DESC, agent_id LIMIT {WINDOW}), small AS (SELECT {_HUNDREDTH} FROM caps), win AS (SELECT *, {_RESIDUAL} AS fit FROM pool, small), {_fold('win', 'fit DESC, agent_id', 'm')} SELECT * FROM batch")
+@query("best_fit_batch", f"WITH {_scored('mp')}, pool AS (SELECT agent_id, r0, r1, r2, r3 FROM scored ORDER BY score DESC, agent_id LIMIT {POOL}), small AS (SELECT {_TWENTIETH} FROM caps), win AS (SELECT *, {_RESIDUAL} AS fit FROM pool, small), {_fold('win', 'fit DESC, agent_id', 'm')} SELECT * FROM batch")
 def best_fit_batch(spark, sf_dir):
     rows, capacity, remaining = _context(spark, sf_dir)
-    pool = retrieve.top_k(retrieve.scored(rows, "mp", remaining, capacity), WINDOW)
-    return pack.best_fit(pool, _small(capacity), WINDOW).select("agent_id", "seq")
+    pool = retrieve.top_k(retrieve.scored(rows, "mp", remaining, capacity), POOL)
+    return pack.best_fit(pool, _small(capacity), POOL).select("agent_id", "seq")
 
 
-@query("mp_dispatch", f"WITH {_scored('mp')}, pool AS (SELECT agent_id, r0, r1, r2, r3, score FROM scored ORDER BY score DESC, agent_id LIMIT {K}), win AS (SELECT *, {_RESIDUAL} AS fit FROM pool, rems), {_fold('win', 'fit DESC, agent_id', 'm')} SELECT b.agent_id, b.seq, p.score FROM batch b JOIN pool p ON b.agent_id = p.agent_id")
+@query("mp_dispatch", f"WITH {_scored('mp')}, pool AS (SELECT agent_id, r0, r1, r2, r3, score FROM scored ORDER BY score DESC, agent_id LIMIT {POOL}), win AS (SELECT *, {_RESIDUAL} AS fit FROM pool, rems), {_fold('win', 'fit DESC, agent_id', 'm')} SELECT b.agent_id, b.seq, p.score FROM batch b JOIN pool p ON b.agent_id = p.agent_id")
 def mp_dispatch(spark, sf_dir):
     """The flagship: filter, score, top-k, pack, with the pool's score of each task."""
     rows, capacity, remaining = _context(spark, sf_dir)
-    pool = retrieve.top_k(retrieve.scored(rows, "mp", remaining, capacity), K)
-    batch = pack.best_fit(pool, remaining, K).select("agent_id", "seq")
-    return batch.join(pool.select("agent_id", "score"), "agent_id")
+    pool = retrieve.top_k(retrieve.scored(rows, "mp", remaining, capacity), POOL)
+    return pack.best_fit(pool, remaining, POOL).select("agent_id", "seq", "score")
 
 
 # ---------------------------------------------------------------- bounds, gate, reports
@@ -422,7 +423,21 @@ def trace_check(spark, sf_dir):
     return validate.trace_check(plans.trace(waves), tasks(spark, sf_dir))
 
 
-@query("windowed_fifo_waves")
+#: First fit wave by wave is first fit into bins: each task, in order, goes to the first wave that holds it.
+BINS = f"""WITH {CAPS},
+bins AS (
+  SELECT list_reduce(
+    list([{{'n': CAST(0 AS BIGINT), 'r0': r0, 'r1': r1, 'r2': r2, 'r3': r3}}] ORDER BY agent_id),
+    lambda s, x: list_transform(s, lambda b, i:
+      CASE WHEN i = list_position(list_transform(s, lambda c: c.r0 >= x[1].r0 AND c.r1 >= x[1].r1 AND c.r2 >= x[1].r2 AND c.r3 >= x[1].r3), true)
+      THEN {{'n': b.n + 1, 'r0': b.r0 - x[1].r0, 'r1': b.r1 - x[1].r1, 'r2': b.r2 - x[1].r2, 'r3': b.r3 - x[1].r3}} ELSE b END),
+    list_transform(range(40), lambda k: {{'n': CAST(0 AS BIGINT), 'r0': any_value(c0), 'r1': any_value(c1), 'r2': any_value(c2), 'r3': any_value(c3)}})) AS found
+  FROM tasks, caps),
+each AS (SELECT CAST(unnest(range(40)) AS BIGINT) AS wave, unnest(found) AS b FROM bins),
+filled AS (SELECT wave, b.n AS n_tasks, c0 - b.r0 AS used_r0, c1 - b.r1 AS used_r1, c2 - b.r2 AS used_r2, c3 - b.r3 AS used_r3 FROM each, caps WHERE b.n > 0)"""
+
+
+@query("windowed_fifo_waves", f"{BINS} SELECT * FROM filled")
 def windowed_fifo_waves(spark, sf_dir):
     rows, capacity, _ = _context(spark, sf_dir)
     return plans.wave_summary(plans.policy_waves(rows, capacity, plans.fifo_policy()))
@@ -434,7 +449,10 @@ def mp_waves(spark, sf_dir):
     return plans.wave_summary(plans.policy_waves(rows, capacity, plans.sparse_policy("mp")))
 
 
-@query("adaptive_waves")
+_GATE_SQL = f"SELECT CASE WHEN near.mean_cosine - far.mean_cosine > 0.1 THEN 'mp' ELSE 'fifo_windowed' END AS policy FROM near, far"
+
+
+@query("adaptive_waves", f"{BINS}, {_UNIT.removeprefix(CAPS + ', ')}, {_NEAR}, {_FAR} SELECT f.*, g.policy FROM filled f, ({_GATE_SQL}) g")
 def adaptive_waves(spark, sf_dir):
     """The gate's one row picks the policy; the waves follow it."""
     rows, capacity, _ = _context(spark, sf_dir)
@@ -486,6 +504,17 @@ for _m in ("fista", "irls"):
     _register_pools(_m)
 
 
+def _register_ranked(method: str) -> None:
+    @query(f"ranked_dispatch_{method}")
+    def ranked_batch(spark, sf_dir):
+        rows, capacity, remaining = _context(spark, sf_dir)
+        return dispatch.ranked_dispatch(rows, remaining, capacity, method, POOL)
+
+
+for _m in METHODS:
+    _register_ranked(_m)
+
+
 # ---------------------------------------------------------------- streams
 
 

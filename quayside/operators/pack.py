@@ -46,7 +46,7 @@ def pack_in_order(pool: DataFrame, remaining: Sequence[float], order: Sequence,
     task before one task packs them.
     """
     capacity = np.array(remaining, dtype=np.float64)
-    columns = [c for c in pool.columns if c in ("agent_id", "score", *DEMANDS, "duration")]
+    columns = [c for c in pool.columns if c in ("agent_id", "score", "fit", *DEMANDS, "duration")]
 
     def pack(frames):
         parts = list(frames)
@@ -68,8 +68,8 @@ def first_fit_window(tasks: DataFrame, remaining: Sequence[float], rank: str = "
 
 def best_fit(pool: DataFrame, remaining: Sequence[float], window: int = WINDOW) -> DataFrame:
     """Tasks with the largest demands over what remains first, then first fit."""
-    keyed = pool.withColumn("score", residual_key(remaining))
-    return pack_in_order(keyed, remaining, [F.desc("score"), F.asc("agent_id")], window)
+    keyed = pool.withColumn("fit", residual_key(remaining))
+    return pack_in_order(keyed, remaining, [F.desc("fit"), F.asc("agent_id")], window)
 
 
 def distributed_first_fit(tasks: DataFrame, remaining: Sequence[int], order: Sequence[str], rounds: int = 64) -> DataFrame:

@@ -138,11 +138,3 @@ def solve_pools(tasks: DataFrame, target: Sequence[float], capacity: Sequence[fl
         return rows.assign(coefficient=x)[["block", "agent_id", "coefficient"]][x > 1e-9]
 
     return pools.groupBy("block").applyInPandas(solve, "block bigint, agent_id bigint, coefficient double")
-
-
-def candidate_weights(proxy: np.ndarray, closeness: np.ndarray, support: np.ndarray) -> np.ndarray:
-    """Order weights of a pursuit's pool: proxy and affinity to the chosen directions, the support first."""
-    spread = (proxy - proxy.min()) / max(float(np.ptp(proxy)), 1e-12)
-    weights = 0.55 * spread + (0.45 * closeness if len(support) else 0.0)
-    weights[support] += 1.0 + np.linspace(1e-6, 0.0, len(support), endpoint=False)
-    return weights

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,10 +14,17 @@ from ..operators.pack import WINDOW, best_fit, first_fit_window
 from ..operators.retrieve import POOL, active, scored, top_k
 from ..sources.shared import written
 
-Policy = Callable[[DataFrame, Sequence[float], Sequence[float]], DataFrame]
 MOST_WAVES = 10_000
 
 
+@dataclass
+class Policy:
+    """How a batch is taken from active tasks, what remains and the capacity; it looks at rows tasks at most."""
+
+    take: Callable[[DataFrame, Sequence[float], Sequence[float]], DataFrame]
+    rows: int
+
+
 def strict_starts(tasks: DataFrame, capacity: Sequence[int], rows: int) -> list[int]:
     """First task of each wave when tasks run strictly in order: a wave ends before the first that does not fit.
 
@@ -49,32 +57,35 @@ def strict_waves(tasks: DataFrame, capacity: Sequence[int], rows: int) -> DataFr
 
 
 def fifo_policy(window: int = WINDOW) -> Policy:
-    return lambda tasks, remaining, capacity: first_fit_window(tasks, remaining, "agent_id", window)
+    return Policy(lambda tasks, remaining, capacity: first_fit_window(tasks, remaining, "agent_id", window), window)
 
 
 def sparse_policy(method: str, pool: int = POOL) -> Policy:
     """The best pool of a method's proxy, packed by best fit."""
-    return lambda tasks, remaining, capacity: best_fit(top_k(scored(tasks, method, remaining, capacity), pool), remaining, pool)
+    return Policy(lambda tasks, remaining, capacity: best_fit(top_k(scored(tasks, method, remaining, capacity), pool), remaining, pool), pool)
 
 
 def policy_waves(tasks: DataFrame, capacity: Sequence[int], policy: Policy) -> DataFrame:
     """tasks with wave: in each wave batches are taken until none fits, then capacity is whole again.
 
-    What is left is written after each batch, so that plans stay short and lost executors cost one batch.
+    What is left is written after each batch, so that plans stay short and lost executors cost one batch. A
+    batch that all active tasks were looked at for leaves none that fits, as demands are positive.
     """
     left, done, wave = tasks, None, 0
     rows = left.count()
     while rows:
         remaining, got_any = list(capacity), False
         while rows:
-            batch = written(policy(left, remaining, capacity).select("agent_id", *DEMANDS, F.lit(wave).cast("bigint").alias("wave")), "batch")
+            batch = written(policy.take(left, remaining, capacity).select("agent_id", *DEMANDS, F.lit(wave).cast("bigint").alias("wave")), "batch")
             used = batch.agg(F.count(F.lit(1)).alias("n"), *(F.sum(d).alias(d) for d in DEMANDS)).first()
             if not used["n"]:
                 break
-            got_any, rows = True, rows - used["n"]
+            got_any, whole, rows = True, rows <= policy.rows, rows - used["n"]
             remaining = [r - used[d] for r, d in zip(remaining, DEMANDS, strict=True)]
             done = batch if done is None else done.unionByName(batch)
             left = written(active(left, batch), "left")
+            if whole:
+                break
         if not got_any:
             raise ValueError("a task fits no wave")
         wave += 1

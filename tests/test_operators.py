@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quayside.functions.demand import DEMANDS
 from quayside.operators import metrics, pack, retrieve, solve, validate
 from quayside.operators.order import ranked, running_sums
-from quayside.plans import waves
+from quayside.plans import dispatch, waves
 from quayside.sources import generate, tables
 
 
@@ -90,9 +90,19 @@ def test_proximal_solvers_recover_a_sparse_target():
     assert (solve.nonnegative_fit(-np.eye(2), np.ones(2)) == 0).all()
 
 
-def test_weights_put_the_support_first():
-    w = solve.candidate_weights(np.array([0.1, 0.9, 0.5]), np.zeros(3), np.array([0]))
-    assert w.argmax() == 0 and w[1] > w[2]
+@pytest.mark.parametrize("method", ["mp", "omp", "ols", "fista", "irls"])
+def test_ranked_dispatch_is_feasible_and_starts_with_the_support(spark, method):
+    rng = np.random.default_rng(3)
+    tasks = make(spark, rng.integers(1, 60, (300, 4)).tolist())
+    remaining, capacity = [900, 700, 500, 800], [1000] * 4
+    batch = dispatch.ranked_dispatch(tasks, remaining, capacity, method, pool=120).cache()
+    rows = tasks.join(batch.select("agent_id"), "agent_id")
+    assert rows.count() == batch.count() > 10
+    assert all(r["holds"] for r in validate.dispatch_check(rows, remaining).collect())
+    if method in ("mp", "omp", "ols"):
+        pool = retrieve.top_k(retrieve.scored(tasks, method, remaining, capacity), 120)
+        support = {i for i, _ in solve.pursue(pool, [r / 1000 for r in remaining], capacity, method)}
+        assert {r["agent_id"] for r in batch.where(f"seq < {len(support)}").collect()} == support
 
 
 def test_gate_tells_blocks_from_alternation(spark):
