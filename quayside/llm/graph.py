@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from .common import whole_keys, written
 
-#: Members of one bucket that are compared in one task; larger buckets are split into blocks of this size.
+#: Members of one bucket that are compared in one task; larger buckets are split into blocks.
 BUCKET_ROWS = 2048
+#: Rows of a group of one chunk; a group of 100 times as many has 10 chunks of 10 times as many rows.
+CHUNK_SQUARE = 32
 #: Members of a bucket by chance alone that the number of key bits is chosen for.
 CHANCE_ROWS = 400
 
@@ -118,8 +120,8 @@ def near_forest(points: DataFrame, keys: Callable[[np.ndarray], np.ndarray], lin
 
     points has one row for each distinct fingerprint, fp. keys gives the bucket keys of fingerprints; linked
     takes an array of fingerprints and returns a test of pairs of its positions. Each bucket gives a
-    spanning forest, so at most one edge for each member. Buckets over BUCKET_ROWS are split into blocks of
-    pairs of chunks, each its own group, whose rows are counted before anything is moved.
+    spanning forest, so at most one edge for each member. Buckets over BUCKET_ROWS, which are counted before
+    anything is moved, are split into blocks: pairs of chunks, each its own group.
     """
 
     def emit(batches):
@@ -147,14 +149,18 @@ def near_forest(points: DataFrame, keys: Callable[[np.ndarray], np.ndarray], lin
     if hot.isEmpty():
         grouped = keyed.select(F.col("key").alias("group"), "fp")
     else:
-        chunks = F.coalesce(F.ceil(F.col("count") / F.lit(BUCKET_ROWS)), F.lit(1)).cast("int")
-        grouped = keyed.join(hot, "key", "left").select("key", "fp", chunks.alias("s")).select("key", "fp", F.explode(_blocks(F.col("fp"), F.col("s"))).alias("block"))
+        grouped = keyed.join(hot, "key", "left").select("key", "fp", F.explode(blocks(F.col("fp"), F.col("count"))).alias("block"))
         grouped = grouped.select(F.when(F.col("block") < 0, F.col("key")).otherwise(F.xxhash64("key", "block")).alias("group"), "fp")
     return grouped.repartition("group").sortWithinPartitions("group").mapInArrow(compare, "a long, b long")
 
 
-def _blocks(fp: Column, chunks: Column) -> Column:
-    """The blocks (pairs of chunks, as one number) of a member of a bucket of so many chunks; -1 for one chunk."""
-    own = F.pmod(F.xxhash64(fp), chunks)
-    pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.least(own, j) * chunks + F.greatest(own, j))
-    return F.when(chunks == 1, F.array(F.lit(-1).cast("bigint"))).otherwise(pairs.cast("array<bigint>"))
+def blocks(member: Column, rows: Column) -> Column:
+    """The blocks of a member of a group of so many rows, as numbers of pairs of chunks; -1 alone where rows is null.
+
+    A group of n rows has about sqrt(n / CHUNK_SQUARE) chunks, so that neither the chunks' size nor the
+    number of copies of a row grows with more than the root of n. Every two members share a block.
+    """
+    n = F.ceil(F.sqrt(rows / F.lit(CHUNK_SQUARE))).cast("int")
+    own = F.pmod(F.xxhash64(member), n)
+    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.least(own, j) * n + F.greatest(own, j))
+    return F.when(rows.isNull(), F.array(F.lit(-1).cast("bigint"))).otherwise(pairs.cast("array<bigint>"))

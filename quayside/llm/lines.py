@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import majority, table, texts_of, vote_counts, whole_keys, written
-from .graph import BUCKET_ROWS, Forest, _blocks, components, masked_keys, near, near_forest
+from .graph import Forest, blocks, components, masked_keys, near, near_forest
 
 #: Shorter lines take no part: they are never dropped.
 LEAST_WORDS = 5
@@ -17,6 +17,8 @@ LEAST_WORDS = 5
 VOTING_BYTES = 4
 RADIUS = 4
 LEAST_SIMILARITY = 0.8
+#: Lines of one group that are compared in one task; larger groups are split into blocks.
+GROUP_ROWS = 256
 BLOCK_WORDS = 32_768
 _NORMAL = bytes(48 if 48 <= c <= 57 else c if c == 10 or c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -132,7 +134,7 @@ def line_links(firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str, r
     joined = components(near_forest(prints, keys, lambda fps: lambda i, j: near(fps[i], fps[j], radius)))
     grouped = prints.join(joined.withColumnRenamed("node", "fp"), "fp", "left").where("lines > 1 OR root IS NOT NULL").select("fp", F.coalesce("root", "fp").alias("root"))
     members = written(firsts.join(grouped, "fp").select("hash", "fp", "root", "first.*"), "members")
-    sizes = written(members.groupBy("root").count().where(F.col("count") > BUCKET_ROWS), "sizes")
+    sizes = written(members.groupBy("root").count().where(F.col("count") > GROUP_ROWS), "sizes")
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     same = texts["id"].eqNullSafe(members["id"]) & (texts["text_key"] == members["text_key"])
     said = texts.join(members, same).select("hash", "fp", "root", F.get(F.split("text", "\n"), F.col("line")).alias("said")).dropDuplicates(["hash"])
@@ -140,8 +142,7 @@ def line_links(firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str, r
         placed = said.withColumn("group", F.col("root"))
     else:
         said = written(said, "said")
-        chunks = F.coalesce(F.ceil(F.col("count") / F.lit(BUCKET_ROWS)), F.lit(1)).cast("int")
-        placed = said.join(sizes, "root", "left").select("hash", "fp", "root", "said", F.explode(_blocks(F.col("hash"), chunks)).alias("block")).withColumn("group", F.when(F.col("block") < 0, F.col("root")).otherwise(F.xxhash64("root", "block")))
+        placed = said.join(sizes, "root", "left").select("hash", "fp", "root", "said", F.explode(blocks(F.col("hash"), F.col("count"))).alias("block")).withColumn("group", F.when(F.col("block") < 0, F.col("root")).otherwise(F.xxhash64("root", "block")))
 
     def compare(batches):
         for t in whole_keys(batches, "group"):

@@ -64,7 +64,8 @@ def corpus(rng):
 @pytest.mark.parametrize("bucket", [2048, 4])
 def test_drops_are_those_of_brute_force(spark, monkeypatch, bucket):
     monkeypatch.setattr(graph, "BUCKET_ROWS", bucket)
-    monkeypatch.setattr(lines, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(lines, "GROUP_ROWS", bucket)
+    monkeypatch.setattr(graph, "CHUNK_SQUARE", 2)
     rows = corpus(random.Random(8)) + [(90, None), (91, ""), (92, "\n\n")]
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], cases.SCHEMA)
     keys = {r["doc_id"]: r["k"] for r in docs.select("doc_id", F.xxhash64("text").alias("k")).collect()}

@@ -69,6 +69,7 @@ def test_long_texts_count_in_pieces():
 def test_no_link_is_lost(spark, monkeypatch, bucket, rows):
     """Random fingerprints with dense clusters; with small buckets the hot ones are split into blocks."""
     monkeypatch.setattr(graph, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(graph, "CHUNK_SQUARE", 8)
     rng = random.Random(3)
     fps = {rng.getrandbits(64) for _ in range(300)}
     for _ in range(4):
