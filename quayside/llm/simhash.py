@@ -116,7 +116,7 @@ def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with one document of each group: the one with the least id, and of its repeated rows one."""
+    """docs with one document of each group: the one with the least id; rows that repeat id and text are one."""
     found = near_duplicates(docs)
     keep = found.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"])

@@ -1,7 +1,7 @@
 """The pipeline against its stages in plain Python."""
 
 import corpus_pipeline
-from quayside.llm import bpe, decontam, language, lines, simhash
+from quayside.llm import bpe, decontam, language, simhash
 
 from .test_lines import slow_groups
 from .test_simhash import slow_components, slow_fingerprint
