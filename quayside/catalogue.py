@@ -49,7 +49,7 @@ FITS = " AND ".join(f"r{k} <= m{k}" for k in range(4))
 
 
 def _scored(method: str) -> str:
-    return f"{SHARED},\nscored AS (SELECT *, round(({SCORE[method]}) * 1e6, 6) AS score FROM shared WHERE {FITS})"
+    return f"{SHARED},\nscored AS (SELECT *, round(({SCORE[method]}) * 1e6, 4) AS score FROM shared WHERE {FITS})"
 
 
 def _fold(source: str, order: str, caps: str) -> str:
@@ -97,7 +97,7 @@ def inspect_stats(spark, sf_dir):
     return metrics.column_stats(tasks(spark, sf_dir))
 
 
-@query("normalize_demand", f"WITH {CAPS} SELECT agent_id, " + ", ".join(f"round(CAST(r{k} AS DOUBLE) / c{k} * 1e6, 6) AS a{k}" for k in range(4)) + " FROM tasks, caps")
+@query("normalize_demand", f"WITH {CAPS} SELECT agent_id, " + ", ".join(f"round(CAST(r{k} AS DOUBLE) / c{k} * 1e6, 4) AS a{k}" for k in range(4)) + " FROM tasks, caps")
 def normalize_demand(spark, sf_dir):
     rows, capacity, _ = _context(spark, sf_dir)
     return rows.select("agent_id", *(rank_key(s).alias(f"a{k}") for k, s in enumerate(shares(capacity))))
@@ -234,7 +234,7 @@ def first_fit_batch(spark, sf_dir):
     return pack.distributed_first_fit(rows, _small(capacity), ["agent_id"]).select("agent_id")
 
 
-_RESIDUAL = "round((" + " + ".join(f"CAST(r{k} AS DOUBLE) / m{k}" for k in range(4)) + ") * 1e6, 6)"
+_RESIDUAL = "round((" + " + ".join(f"CAST(r{k} AS DOUBLE) / m{k}" for k in range(4)) + ") * 1e6, 4)"
 
 
 @query("best_fit_batch", f"WITH {_scored('mp')}, pool AS (SELECT agent_id, r0, r1, r2, r3 FROM scored ORDER BY score DESC, agent_id LIMIT {POOL}), small AS (SELECT {_TWENTIETH} FROM caps), win AS (SELECT *, {_RESIDUAL} AS fit FROM pool, small), {_fold('win', 'fit DESC, agent_id', 'm')} SELECT * FROM batch")
@@ -470,7 +470,7 @@ def _pursuit_sql(rounds: int) -> str:
     parts = [f"q0 AS (SELECT DISTINCT {', '.join(f'b{k} AS t{k}' for k in range(4))} FROM shared)"]
     for i in range(rounds):
         corr = f"({' + '.join(f'a{k} * t{k}' for k in range(4))}) / {norm}"
-        parts.append(f"p{i} AS (SELECT agent_id, {corr} AS step, {', '.join(f'a{k} / {norm} AS u{k}' for k in range(4))} FROM shared, q{i} ORDER BY round({corr} * 1e6, 6) DESC, agent_id LIMIT 1)")
+        parts.append(f"p{i} AS (SELECT agent_id, {corr} AS step, {', '.join(f'a{k} / {norm} AS u{k}' for k in range(4))} FROM shared, q{i} ORDER BY round({corr} * 1e6, 4) DESC, agent_id LIMIT 1)")
         parts.append(f"q{i + 1} AS (SELECT {', '.join(f't{k} - step * u{k} AS t{k}' for k in range(4))} FROM p{i}, q{i})")
     union = " UNION ALL ".join(f"SELECT agent_id, step FROM p{i}" for i in range(rounds))
     return f"WITH {SHARED}, {', '.join(parts)} SELECT agent_id, round(sum(step), 5) AS coefficient FROM ({union}) GROUP BY agent_id"

@@ -64,8 +64,8 @@ def score(method: str, remaining: Sequence[float], capacity: Sequence[float]) ->
 
 
 def rank_key(value: Column) -> Column:
-    """A score in millionths, rounded, so that rows that differ by rounding alone are ordered by id."""
-    return F.round(value * F.lit(1e6), 6)
+    """A score in millionths, to four places, so that rows that differ by rounding alone are ordered by id."""
+    return F.round(value * F.lit(1e6), 4)
 
 
 def cosine(a: Sequence[Column], b: Sequence[Column]) -> Column:

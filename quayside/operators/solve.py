@@ -36,7 +36,7 @@ def nonnegative_fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _best_atom(tasks: DataFrame, value: Column, capacity: Sequence[float], chosen: Sequence[int]):
     """The task of greatest value, of equals the least id, and its normalised demands."""
     rest = tasks.where(~F.col("agent_id").isin(list(chosen))) if chosen else tasks
-    own = rest.select(F.struct(F.round(value * F.lit(1e6), 6).alias("value"), (-F.col("agent_id")).alias("id"), *(s.alias(d) for d, s in zip(DEMANDS, shares(capacity), strict=True))).alias("x"))
+    own = rest.select(F.struct(F.round(value * F.lit(1e6), 4).alias("value"), (-F.col("agent_id")).alias("id"), *(s.alias(d) for d, s in zip(DEMANDS, shares(capacity), strict=True))).alias("x"))
     row = own.agg(F.max("x").alias("x")).first()["x"]
     return None if row is None else (row["value"], -row["id"], np.array([row[d] for d in DEMANDS]))
 
@@ -128,7 +128,7 @@ def solve_pools(tasks: DataFrame, target: Sequence[float], capacity: Sequence[fl
     solver, b = {"fista": fista, "irls": irls}[method], np.asarray(target, dtype=np.float64)
     match = plus([s * F.lit(float(t)) for s, t in zip(shares(capacity), target, strict=True)])
     best = Window.partitionBy("block").orderBy(F.desc("match"), F.asc("agent_id"))
-    pools = tasks.select("agent_id", F.floor(F.col("agent_id") / block_rows).alias("block"), F.round(match * F.lit(1e6), 6).alias("match"), *(s.alias(d) for d, s in zip(DEMANDS, shares(capacity), strict=True)))
+    pools = tasks.select("agent_id", F.floor(F.col("agent_id") / block_rows).alias("block"), F.round(match * F.lit(1e6), 4).alias("match"), *(s.alias(d) for d, s in zip(DEMANDS, shares(capacity), strict=True)))
     pools = pools.withColumn("place", F.row_number().over(best)).where(F.col("place") <= pool)
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
