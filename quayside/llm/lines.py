@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import majority, table, texts_of, vote_counts, whole_keys, written
-from .graph import Forest, blocks, components, masked_keys, near, near_forest
+from .graph import Forest, blocks, components, masked_keys, mixed, near, near_forest
 
 #: Shorter lines take no part: they are never dropped.
 LEAST_WORDS = 5
@@ -19,68 +20,101 @@ RADIUS = 4
 LEAST_SIMILARITY = 0.8
 #: Lines of one group that are compared in one task; larger groups are split into blocks.
 GROUP_ROWS = 256
-BLOCK_WORDS = 32_768
+#: Characters of texts that are hashed together, and bytes of a longer text that are hashed at a time.
+BLOCK_CHARS, BLOCK_BYTES = 200_000, 1_000_000
 _NORMAL = bytes(48 if 48 <= c <= 57 else c if c == 10 or c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+#: Multiplier of the words' rolling hash, and random numbers for the values of a byte.
+_STEP = 0x9E3779B97F4A7C15
+_BYTES = np.random.default_rng(7).integers(1, 2**64, 256, dtype=np.uint64)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, some of them kept."""
+def normal(text: str) -> bytes:
+    """A text in lower case, with ASCII punctuation as spaces and every digit as 0; lines stay."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(_NORMAL)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, 7)
-        return h
 
+def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, hash) of each word of a normalised text. The lowest bit of a hash tells whether the word votes.
 
-def normal_lines(text: str) -> list[list[bytes]]:
-    """The words of each line, in lower case, without ASCII punctuation, every digit as 0."""
-    return [x.split() for x in text.lower().encode("utf-8", "surrogatepass").translate(_NORMAL).split(b"\n")]
+    A word's hash is the sum of its bytes' numbers times powers of an odd number by their places, modulo
+    2**64: one running sum over the text, less its value before the word, divided by the power there.
+    """
+    inside = np.concatenate([[False], (raw != 32) & (raw != 10), [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    begin, end = edges[::2], edges[1::2]
+    n = len(raw)
+    with np.errstate(over="ignore"):
+        powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, _STEP, dtype=np.uint64)]))
+        inverse = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, pow(_STEP, -1, 2**64), dtype=np.uint64)]))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[raw] * powers[:n], dtype=np.uint64)])
+        h = mixed((sums[end] - sums[begin]) * inverse[begin])
+    return begin, np.where(end - begin >= VOTING_BYTES, h | np.uint64(1), h & ~np.uint64(1))
+
+
+def line_hashes(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each line from its words' hashes and their places."""
+    starts = np.cumsum(sizes) - sizes
+    with np.errstate(over="ignore"):
+        place = (np.arange(len(words)) - np.repeat(starts, sizes) + 1).astype(np.uint64)
+        return mixed(np.add.reduceat(mixed(words + place * np.uint64(_STEP)), starts))
 
 
-def line_prints(lines: list[list[bytes]], hashes: WordHashes) -> np.ndarray:
+def line_prints(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Fingerprints of lines, each of one word or more."""
-    sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
-    words = [w for x in lines for w in x]
-    votes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) >= VOTING_BYTES
     starts = np.cumsum(sizes) - sizes
+    votes = (words & np.uint64(1)).astype(bool)
     own = np.add.reduceat(votes, starts, dtype=np.int64)
     votes |= np.repeat(own == 0, sizes)
     own = np.where(own == 0, sizes, own)
-    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))[votes]
-    return majority(vote_counts(h, np.cumsum(own) - own), own)
+    return majority(vote_counts(mixed(words[votes]), np.cumsum(own) - own), own)
+
+
+def lines_of(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """(text, line, hash, fingerprint) of every line of LEAST_WORDS or more, for all texts at once."""
+    own = [normal(t) for t in texts]
+    counts = np.array([r.count(b"\n") + 1 for r in own])
+    raw = b"\n".join(own)
+    cuts = [0]
+    while len(raw) - cuts[-1] > BLOCK_BYTES:  # only between words
+        cut = raw.rfind(b"\n", cuts[-1] + 1, cuts[-1] + BLOCK_BYTES)
+        cut = cut if cut > 0 else raw.find(b" ", cuts[-1] + BLOCK_BYTES)
+        if cut < 0:
+            break
+        cuts.append(cut)
+    buffer = np.frombuffer(raw, dtype=np.uint8)
+    parts = [(a, *word_hashes(buffer[a:b])) for a, b in itertools.pairwise([*cuts, len(raw)])]
+    begin, words = np.concatenate([a + x for a, x, _ in parts]), np.concatenate([h for _, _, h in parts])
+    at = np.searchsorted(np.flatnonzero(buffer == 10), begin)
+    sizes = np.bincount(at, minlength=int(counts.sum()))
+    text = np.repeat(np.arange(len(own)), counts)
+    line = np.arange(len(sizes)) - np.repeat(np.cumsum(counts) - counts, counts)
+    keep = sizes >= LEAST_WORDS
+    words, sizes = words[keep[at]], sizes[keep]
+    if not len(sizes):
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
+    return text[keep], line[keep], line_hashes(words, sizes).view(np.int64), line_prints(words, sizes).view(np.int64)
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text_key, line, hash, fp) of every line of LEAST_WORDS or more. text_key and id together name a text.
 
-    hash is XXH64 of the normalised line; among n different lines two share one with odds of n * n / 2**65.
+    hash is one of 64 bits of the normalised line; among n different lines two share one with odds of n * n / 2**65.
     """
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
-            at, number, lines, words = [], [], [], 0
-            for row, text in enumerate(texts_of(batch.column("text"))):
-                for k, line in enumerate(normal_lines(text)):
-                    if len(line) >= LEAST_WORDS:
-                        at.append(row)
-                        number.append(k)
-                        lines.append(line)
-                        words += len(line)
-                if words >= BLOCK_WORDS:
-                    yield block(batch, at, number, lines, hashes)
-                    at, number, lines, words = [], [], [], 0
-            if lines:
-                yield block(batch, at, number, lines, hashes)
-
-    def block(batch, at, number, lines, hashes):
-        rows = pa.array(at, pa.int64())
-        own = np.fromiter((xxhash.xxh64_intdigest(b" ".join(x)) for x in lines), dtype=np.uint64, count=len(lines))
-        return pa.RecordBatch.from_arrays(
-            [batch.column("id").take(rows), batch.column("text_key").take(rows), pa.array(number, pa.int32()), pa.array(own.view(np.int64)), pa.array(line_prints(lines, hashes).view(np.int64))],
-            names=["id", "text_key", "line", "hash", "fp"],
-        )
+            texts = texts_of(batch.column("text"))
+            first, size = 0, 0
+            for row, text in enumerate(texts):
+                size += len(text) + 1
+                if size >= BLOCK_CHARS or row + 1 == len(texts):
+                    at, line, own, fps = lines_of(texts[first : row + 1])
+                    rows = pa.array(at + first)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("id").take(rows), batch.column("text_key").take(rows), pa.array(line, pa.int32()), pa.array(own), pa.array(fps)],
+                        names=["id", "text_key", "line", "hash", "fp"],
+                    )
+                    first, size = row + 1, 0
 
     kind = docs.schema[id_col].dataType.simpleString()
     named = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
@@ -148,7 +182,7 @@ def line_links(firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str, r
         for t in whole_keys(batches, "group"):
             group, fps, hashes = (t.column(c).to_numpy() for c in ("group", "fp", "hash"))
             fps = fps.view(np.uint64)
-            lines = [b" ".join(w for x in normal_lines(s or "") for w in x).decode("utf-8", "surrogatepass") for s in t.column("said").to_pylist()]
+            lines = [b" ".join(normal(s).split()).decode("utf-8", "surrogatepass") for s in texts_of(t.column("said"))]
             ends, forest = np.searchsorted(group, group, side="right"), Forest(len(fps))
             for i in range(len(fps)):
                 if ends[i] > i + 1:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -25,15 +26,41 @@ def test_edit_distance(a, b):
     assert lines.edit_distance(a, b) == levenshtein(a, b)
 
 
+def slow_word(word):
+    h = int(lines.mixed(np.array([sum(int(lines._BYTES[c]) * lines._STEP**i for i, c in enumerate(word)) % 2**64], dtype=np.uint64))[0])
+    return h | 1 if len(word) >= lines.VOTING_BYTES else h & ~1
+
+
+def slow_print(words):
+    voting = [w for w in words if len(w) >= lines.VOTING_BYTES] or words
+    own = [int(lines.mixed(np.array([slow_word(w)], dtype=np.uint64))[0]) for w in voting]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > len(own))
+
+
+@pytest.mark.parametrize("block", [1_000_000, 50])
+def test_lines_of_many_texts_at_once(monkeypatch, block):
+    monkeypatch.setattr(lines, "BLOCK_BYTES", block)
+    texts = [t or "" for t in cases.texts() if len(t or "") < 5000] + ["a b c d\x01 e\n\n f g h i j k", "of an it is on", "\n", ""]
+    by_line, n = {}, 0
+    for t, k, h, fp in zip(*lines.lines_of(texts)):
+        words = tuple(lines.normal(texts[t]).split(b"\n")[k].split())
+        assert len(words) >= lines.LEAST_WORDS and int(fp) % 2**64 == slow_print(list(words))
+        assert by_line.setdefault(words, int(h)) == h
+        n += 1
+    assert len(set(by_line.values())) == len(by_line)
+    assert n == sum(len(x.split()) >= lines.LEAST_WORDS for t in texts for x in lines.normal(t).split(b"\n"))
+    assert all(len(x) == 0 for x in lines.lines_of(["", "one two", "\n"]))
+
+
 def slow_groups(docs, radius=lines.RADIUS):
     """Occurrences of lines, and the groups of their normalised forms, by comparing all with all."""
-    hashes, places = lines.WordHashes(), {}
+    places = {}
     for doc_id, key, text in docs:
-        for k, words in enumerate(lines.normal_lines(text or "")):
+        for k, words in enumerate(x.split() for x in lines.normal(text or "").split(b"\n")):
             if len(words) >= lines.LEAST_WORDS:
                 places.setdefault(b" ".join(words).decode(), []).append((doc_id, key, k))
     forms = list(places)
-    prints = [int(lines.line_prints([f.encode().split()], hashes)[0]) for f in forms]
+    prints = [slow_print(f.encode().split()) for f in forms]
     up = list(range(len(forms)))
 
     def find(i):
