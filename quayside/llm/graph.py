@@ -107,11 +107,30 @@ class Forest:
             self.up = higher
 
 
-def same_key_pairs(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of pairs with equal keys, by their distance in the sorted keys."""
-    at, d = np.arange(len(keys)), 1
-    while len(at := at[at + d < len(keys)]) and len(at := at[keys[at] == keys[at + d]]):
-        yield at, at + d
+def same_key_pairs(keys: np.ndarray, test: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of pairs with equal keys that meet a test, by their distance in the sorted keys.
+
+    While many positions still have a partner at a distance, whole slices are compared, later single positions.
+    """
+    n, d, at = len(keys), 1, None
+    while d < n:
+        if at is None:
+            i, j = slice(0, n - d), slice(d, n)
+            same = keys[i] == keys[j]
+            partners = np.count_nonzero(same)
+            if partners:
+                hit = np.flatnonzero(same & test(i, j))
+            if 4 * partners < n:
+                at = np.flatnonzero(same)
+        else:
+            at = at[at + d < n]
+            at = at[keys[at] == keys[at + d]]
+            partners = len(at)
+            if partners:
+                hit = at[test(at, at + d)]
+        if not partners:
+            return
+        yield hit, hit + d
         d += 1
 
 
@@ -119,7 +138,7 @@ def near_forest(points: DataFrame, keys: Callable[[np.ndarray], np.ndarray], lin
     """Edges (a, b) that connect just what the links between fingerprints connect.
 
     points has one row for each distinct fingerprint, fp. keys gives the bucket keys of fingerprints; linked
-    takes an array of fingerprints and returns a test of pairs of its positions. Each bucket gives a
+    takes an array of fingerprints and returns a test of pairs of its positions (arrays or slices). Each bucket gives a
     spanning forest, so at most one edge for each member. Buckets over BUCKET_ROWS, which are counted before
     anything is moved, are split into blocks: pairs of chunks, each its own group.
     """
@@ -133,12 +152,11 @@ def near_forest(points: DataFrame, keys: Callable[[np.ndarray], np.ndarray], lin
     def compare(batches):
         for t in whole_keys(batches, "group"):
             key, fps = (t.column(c).to_numpy() for c in ("group", "fp"))
-            test, forest = linked(fps.view(np.uint64)), Forest(len(fps))
-            for i, j in same_key_pairs(key):
+            forest = Forest(len(fps))
+            for i, j in same_key_pairs(key, linked(fps.view(np.uint64))):
                 apart = forest.up[i] != forest.up[j]
-                i, j = i[apart], j[apart]
-                if len(i) and len(i := i[hit := test(i, j)]):
-                    forest.join(i, j[hit])
+                if apart.any():
+                    forest.join(i[apart], j[apart])
                     forest.roots()
             root = forest.roots()
             if len(own := np.flatnonzero(root != np.arange(len(fps)))):

@@ -81,12 +81,13 @@ class Pivots:
         """A test of pairs: largest coordinate difference, the wide references first, then the exact distance."""
         d = np.ascontiguousarray(self.distances(fps)[:, ::-1])
 
-        def test(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            alive = np.arange(len(i))
-            for cols in (slice(0, 4), slice(4, WIDE_PIVOTS), slice(WIDE_PIVOTS, None)):
-                alive = alive[np.abs(d[i[alive], cols] - d[j[alive], cols]).max(axis=1) <= self.radius]
-            out = np.zeros(len(i), dtype=bool)
-            out[alive[near(fps[i[alive]], fps[j[alive]], self.radius)]] = True
+        def test(i: np.ndarray | slice, j: np.ndarray | slice) -> np.ndarray:
+            out = np.abs(d[i, :4] - d[j, :4]).max(axis=1) <= self.radius
+            a, b = (np.arange(len(fps))[x][out] for x in (i, j))
+            for cols in (slice(4, WIDE_PIVOTS), slice(WIDE_PIVOTS, None)):
+                left = np.abs(d[a, cols] - d[b, cols]).max(axis=1) <= self.radius
+                a, b, out[out] = a[left], b[left], left
+            out[out] = near(fps[a], fps[b], self.radius)
             return out
 
         return test
