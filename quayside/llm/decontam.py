@@ -1,7 +1,8 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact shingles."""
+"""Benchmark decontamination: candidates by the items' own shingles, exact weighted shingles of passages."""
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -74,18 +75,26 @@ def window_prints(hashes: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]
     return out
 
 
+def rolled_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of k words."""
+    n = max(len(hashes) - k + 1, 0)
+    rolled = np.full(n, k, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(k if n else 0):
+            rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n]
+            rolled ^= rolled >> np.uint64(31)
+    return rolled
+
+
 def shingles(hashes: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hash and weight of each shingle; a shingle weighs the bytes of its words. Fewer words: one shingle of all."""
     k = min(SHINGLE_WORDS, len(words))
     n = len(words) - k + 1 if words else 0
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    rolled, weight = np.full(n, k, dtype=np.uint64), np.zeros(n, dtype=np.int64)
-    with np.errstate(over="ignore"):
-        for i in range(k if n else 0):
-            rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n]
-            rolled ^= rolled >> np.uint64(31)
-            weight += lengths[i : i + n]
-    return rolled, weight
+    weight = np.zeros(n, dtype=np.int64)
+    for i in range(k if n else 0):
+        weight += lengths[i : i + n]
+    return rolled_hashes(hashes, k)[:n], weight
 
 
 @dataclass
@@ -108,10 +117,15 @@ class Item:
 
 
 class Index:
-    """Anchors (the first and the last window of each item) of each window size, by the values of their blocks."""
+    """The shingles of all items with their places, and anchors (the first and the last window of each item) of
+    each window size, by the values of their blocks.
+
+    A passage that holds any share of an item has some of its shingles whole, so search goes by these and
+    finds every passage, cut short or edited. The windows' fingerprints alone would lose some.
+    """
 
     def __init__(self, items: list[tuple[object, str]], radius: int = RADIUS):
-        self.radius, self.items, anchors, own = radius, [], {}, WordHashes()
+        self.radius, self.items, self._places, anchors, own = radius, [], [], {}, WordHashes()
         for item_id, text in items:
             words = words_of(text or "")
             if not words:
@@ -124,11 +138,54 @@ class Index:
             for offset in sorted({0, len(words) - size}):
                 anchors.setdefault(size, []).append((int(prints[offset]), len(self.items), offset))
             self.items.append(Item(item_id, len(words), unique, weight[first] * counts, counts))
+            order = np.argsort(rolled, kind="stable")
+            self._places.append((order, np.append(np.cumsum(counts) - counts, len(rolled))))
         self.sizes = sorted(anchors)
+        self._entries()
         self.reach = max((i.words for i in self.items), default=0) + SLACK
         self.anchors = {s: tuple(np.array([x[k] for x in a], dtype=np.uint64 if k == 0 else np.int64) for k in range(3)) for s, a in anchors.items()}
         self.tables = {s: [self._by_value(a[0], b) for b in range(BLOCKS)] for s, a in self.anchors.items()}
 
+    def _entries(self) -> None:
+        """One entry for each item and shingle, sorted by shingle, and a bitmap of the shingles' low bits."""
+        sizes = np.array([len(i.shingles) for i in self.items], dtype=np.int64)
+        self.item_sizes = np.array([min(SHINGLE_WORDS, i.words) for i in self.items], dtype=np.int64)
+        self.item_weight = np.array([i.weights.sum() for i in self.items], dtype=np.float64)
+        self.shingle_sizes = sorted(set(self.item_sizes.tolist()))
+        every = np.concatenate([i.shingles for i in self.items] or [np.zeros(0, dtype=np.uint64)])
+        order = np.argsort(every, kind="stable")
+        self.entry_item = np.repeat(np.arange(len(sizes)), sizes)[order]
+        self.entry_rank = (np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order]
+        counts = np.concatenate([i.counts for i in self.items] or [np.zeros(0, dtype=np.int64)])
+        weights = np.concatenate([i.weights for i in self.items] or [np.zeros(0, dtype=np.int64)])
+        self.entry_count = counts[order]
+        self.entry_weight = weights[order] / np.maximum(counts[order], 1)
+        self.shingle, first = np.unique(every[order], return_index=True)
+        self.first = np.append(first, len(every))
+        self.bits = max(int(4 * len(every)).bit_length(), 16)
+        self.seen = np.zeros(1 << self.bits, dtype=bool)
+        self.seen[self._low(self.shingle)] = True
+
+    def _low(self, rolled: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((rolled * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def entries(self, rolled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, entry) of every item's shingle that is one of these."""
+        place = np.flatnonzero(self.seen[self._low(rolled)])
+        at = np.searchsorted(self.shingle, rolled[place])
+        at[at == len(self.shingle)] = 0
+        same = self.shingle[at] == rolled[place]
+        place, at = place[same], at[same]
+        n = self.first[at + 1] - self.first[at]
+        return np.repeat(place, n), np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+    def offsets(self, item: int, entry: int) -> list[int]:
+        """The places of an entry's shingle in its item."""
+        order, cuts = self._places[item]
+        k = int(self.entry_rank[entry])
+        return order[cuts[k] : cuts[k + 1]].tolist()
+
     def _by_value(self, prints: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each value of a block the anchors whose block is near enough: starts, counts and anchors."""
         bits, most = 64 // BLOCKS, self.radius // BLOCKS
@@ -169,30 +226,52 @@ def search(texts: list[str], index: Index, hashes: WordHashes, least: float = LE
 
     def block(words: list[bytes], texts_at: list[int], starts: list[int], skipped: list[int]) -> None:
         h, ends = hashes.of(words), [*starts[1:], len(words)]
-        rolled, tried = None, set()
-        for size, prints in window_prints(h, index.sizes).items():
-            _, item_of, offset_of = index.anchors[size]
-            for w, a in zip(*(x.tolist() for x in index.near(size, prints)), strict=True):
-                t = np.searchsorted(starts, w, side="right") - 1
-                if w + size > ends[t]:
-                    continue
-                k = int(item_of[a])
-                item, begin = index.items[k], w - int(offset_of[a])
-                if (k, begin) in tried:
-                    continue
-                tried.add((k, begin))
-                if rolled is None:
-                    rolled = shingles(h, words)[0]
-
-                def held(slack: int) -> float:
-                    if item.words < SHINGLE_WORDS:
-                        return item.held(shingles(h[w : w + size], words[w : w + size])[0])
-                    return item.held(rolled[max(starts[t], begin - slack) : max(min(ends[t], begin + item.words + slack) - SHINGLE_WORDS + 1, 0)])
-
-                found, key = held(SLACK), (texts_at[t], k)
+        edges = np.array(ends)
+        for k in index.shingle_sizes:
+            rolled = rolled_hashes(h, k)
+            place, entry = index.entries(rolled)
+            t = np.searchsorted(edges, place, side="right")
+            whole = place + k <= edges[t]
+            place, entry, t = place[whole], entry[whole], t[whole]
+            item = index.entry_item[entry]
+            fits = index.item_sizes[item] == k
+            place, entry, t, item = place[fits], entry[fits], t[fits], item[fits]
+            if not len(place):
+                continue
+            # what a text holds of an item in all bounds what any passage of it holds
+            pair = t * len(index.items) + item
+            there, times = np.unique(np.stack([pair, entry]), axis=1, return_counts=True)
+            pairs, first = np.unique(there[0], return_index=True)
+            weight = index.entry_weight[there[1]] * np.minimum(times, index.entry_count[there[1]])
+            bound = np.add.reduceat(weight, first)
+            likely = pairs[bound >= least * index.item_weight[pairs % len(index.items)] - 1e-6]
+            keep = np.isin(pair, likely)
+            order = np.argsort(pair[keep], kind="stable")
+            pair, place, entry = pair[keep][order], place[keep][order], entry[keep][order]
+            cuts = [*np.flatnonzero(np.diff(pair, prepend=-1)).tolist(), len(pair)]
+            for x, y in itertools.pairwise(cuts):
+                own_t, own_item = divmod(int(pair[x]), len(index.items))
+                passages(rolled, k, own_t, own_item, place[x:y], entry[x:y], starts[own_t], ends[own_t], texts_at[own_t], skipped[own_t])
+
+    def passages(rolled, k, t, own, place, entry, start, end, text, skip) -> None:
+        item, slack_of = index.items[own], SLACK if k == SHINGLE_WORDS and index.items[own].words >= SHINGLE_WORDS else 0
+
+        def held(begin: int, slack: int) -> float:
+            return item.held(rolled[max(start, begin - slack) : max(min(end, begin + item.words + slack) - k + 1, 0)])
+
+        def take(begins: np.ndarray) -> bool:
+            hit = False
+            for begin in np.unique(begins).tolist():
+                found = held(begin, slack_of)
                 if found >= least:
-                    rank = (-found, -held(0), max(starts[t], begin) - starts[t] + skipped[t])
-                    best[key] = min(rank, best.get(key, rank))
+                    rank, hit = (-found, -held(begin, 0), max(start, begin) - start + skip), True
+                    best[text, own] = min(rank, best.get((text, own), rank))
+            return hit
+
+        # alignments by a shared shingle; where words are put in or left out, also windows that begin at one
+        aligned = [p - o for p, e in zip(place.tolist(), entry.tolist(), strict=True) for o in index.offsets(own, e)]
+        if not take(np.array(aligned)):
+            take(place + slack_of)
 
     words: list[bytes] = []
     at: list[int] = []
@@ -229,8 +308,8 @@ def indexes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "te
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """(id, item_id, similarity, first_word) of each benchmark item that a document holds a passage of.
 
-    A passage is found if its first or last window of item size is within RADIUS bits of the item's, and holds
-    if it has LEAST_SIMILARITY or more of the item's weighted shingles. Null and empty texts and items hold
+    A passage, of the item's length and SLACK words at each end, holds if it has LEAST_SIMILARITY or more of the
+    item's weighted shingles. Every such passage is found, by the shingles themselves. Null and empty texts and items hold
     nothing; repeated rows of either table each count. Other columns are not looked at.
     """
     kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()

@@ -92,3 +92,29 @@ def test_slices_and_odd_tables(spark):
     assert len(whole) > 4
     assert decontam.contaminated(cases.nothing(spark), bench).count() == 0
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [16, 22, 30, 42, 58, 81, 113])
+def test_no_passage_that_holds_enough_is_lost(n):
+    """Against brute force over all windows: items cut short, at the end of a text, and with scattered edits."""
+    rng = random.Random(n)
+    due = 0
+    for k in range(40):
+        item = cases.prose(rng, n)
+        words = item.split()
+        if k % 2:
+            words = words[: n - rng.randint(0, n // 6)]
+        else:
+            for _ in range(rng.randint(0, max(n // 30, 1))):
+                words[rng.randrange(n)] = "changed"
+        if k % 5 == 0:
+            words.insert(n // 3, "added")
+        after = [] if k % 4 == 1 else cases.prose(rng, 50).split()
+        text = " ".join(cases.prose(rng, 50).split() + words + after)
+        own, there = decontam.words_of(item), decontam.words_of(text)
+        size = len(own) + 2 * decontam.SLACK
+        most = max(slow_held(own, there[at : at + size]) for at in range(max(len(there) - decontam.SHINGLE_WORDS + 1, 1)))
+        found = decontam.search([text], decontam.Index([(1, item)]), decontam.WordHashes())
+        assert bool(found) == (most >= decontam.LEAST_SIMILARITY), (k, most)
+        due += most >= decontam.LEAST_SIMILARITY
+    assert due > 12
