@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +23,14 @@ LEAST_SIMILARITY = 0.8
 GROUP_ROWS = 256
 #: Characters of texts that are hashed together, and bytes of a longer text that are hashed at a time.
 BLOCK_CHARS, BLOCK_BYTES = 200_000, 1_000_000
-_NORMAL = bytes(48 if 48 <= c <= 57 else c if c == 10 or c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+_NORMAL = bytes(c if c == 10 or c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 #: Multiplier of the words' rolling hash, and random numbers for the values of a byte.
 _STEP = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(7).integers(1, 2**64, 256, dtype=np.uint64)
 
 
 def normal(text: str) -> bytes:
-    """A text in lower case, with ASCII punctuation as spaces and every digit as 0; lines stay."""
+    """A text in lower case, with ASCII punctuation as spaces; lines stay."""
     return text.lower().encode("utf-8", "surrogatepass").translate(_NORMAL)
 
 
@@ -155,10 +156,15 @@ def similar(a: str, b: str, least: float = LEAST_SIMILARITY) -> bool:
     return abs(len(a) - len(b)) <= (1 - least) * longest and edit_distance(a, b) <= (1 - least) * longest + 1e-9
 
 
+def numbers(line: str) -> int:
+    """A number for the runs of digits of a line, in order; lines with other numbers say other things."""
+    return hash(tuple(re.findall(r"\d+", line)))
+
+
 def line_links(firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) between hashes of different lines that connect just what links connect.
 
-    A link: fingerprints within radius and edit similarity of LEAST_SIMILARITY or more. Fingerprints are
+    A link: fingerprints within radius, the same numbers, and edit similarity of LEAST_SIMILARITY or more. Fingerprints are
     first grouped by their Hamming links; only lines of groups of two or more fetch their text, from the
     one document of their first occurrence, and are compared within the group, large ones by blocks.
     """
@@ -183,10 +189,11 @@ def line_links(firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str, r
             group, fps, hashes = (t.column(c).to_numpy() for c in ("group", "fp", "hash"))
             fps = fps.view(np.uint64)
             lines = [b" ".join(normal(s).split()).decode("utf-8", "surrogatepass") for s in texts_of(t.column("said"))]
+            counted = np.fromiter(map(numbers, lines), dtype=np.int64, count=len(lines))
             ends, forest = np.searchsorted(group, group, side="right"), Forest(len(fps))
             for i in range(len(fps)):
                 if ends[i] > i + 1:
-                    for j in (np.flatnonzero(near(fps[i + 1 : ends[i]], fps[i], radius)) + i + 1).tolist():
+                    for j in (np.flatnonzero(near(fps[i + 1 : ends[i]], fps[i], radius) & (counted[i + 1 : ends[i]] == counted[i])) + i + 1).tolist():
                         if forest.find(i) != forest.find(j) and similar(lines[i], lines[j]):
                             forest.join(np.array([i]), np.array([j]))
             root = forest.roots()

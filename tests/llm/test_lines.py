@@ -128,3 +128,13 @@ def test_query_counts(spark, sf_dir):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     assert set(got) == set(docs)
     assert all(r["n_lines"] == docs[d].count("\n") + 1 and r["n_dropped"] == len([x for x in r["dropped_lines"].split(",") if x]) for d, r in got.items())
+
+
+def test_lines_that_differ_in_numbers_stay(spark):
+    said = ["Revenue in {} was {} million dollars", "{} {} 17 20 35 41 58", "the yearly count of ships at this quay in {} came to {} in all"]
+    rows = [(k, "\n".join(s.format(2010 + k, 100 + 7 * k) for s in said), "en", "s", 0) for k in range(6)]
+    rows += [(9, rows[2][1].upper().replace("COUNT OF", "count  of"), "en", "s", 0)]
+    docs = spark.createDataFrame(rows, cases.SCHEMA)
+    got = {(r["id"], r["line"], r["kept_id"], r["kept_line"]) for r in lines.repeated_lines(docs).collect()}
+    assert got == {(9, k, 2, k) for k in range(3)}
+    assert {r["doc_id"] for r in lines.dedup_lines(docs).collect()} == set(range(6))
