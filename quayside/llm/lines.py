@@ -24,14 +24,23 @@ GROUP_ROWS = 256
 #: Characters of texts that are hashed together, and bytes of a longer text that are hashed at a time.
 BLOCK_CHARS, BLOCK_BYTES = 200_000, 1_000_000
 _NORMAL = bytes(c if c == 10 or c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+#: Spaces and punctuation beyond ASCII that part words, and characters of scripts without spaces, each a word.
+_PARTS = re.compile("[\u00a0\u1680\u2000-\u200b\u202f\u205f\u3000-\u3003\u3008-\u3011\uff01-\uff0f\uff1a-\uff20]")
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
 #: Multiplier of the words' rolling hash, and random numbers for the values of a byte.
 _STEP = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(7).integers(1, 2**64, 256, dtype=np.uint64)
 
 
-def normal(text: str) -> bytes:
-    """A text in lower case, with ASCII punctuation as spaces; lines stay."""
-    return text.lower().encode("utf-8", "surrogatepass").translate(_NORMAL)
+def normal(text: str, apart: bool = True) -> bytes:
+    """A text in lower case, with ASCII punctuation as spaces; lines stay. With apart, each character of a script
+    without spaces is a word of its own."""
+    text = text.lower()
+    if not text.isascii():
+        text = _PARTS.sub(" ", text)
+        if apart:
+            text = _UNSPACED.sub(r" \1 ", text)
+    return text.encode("utf-8", "surrogatepass").translate(_NORMAL)
 
 
 def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +197,7 @@ def line_links(firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str, r
         for t in whole_keys(batches, "group"):
             group, fps, hashes = (t.column(c).to_numpy() for c in ("group", "fp", "hash"))
             fps = fps.view(np.uint64)
-            lines = [b" ".join(normal(s).split()).decode("utf-8", "surrogatepass") for s in texts_of(t.column("said"))]
+            lines = [b" ".join(normal(s, apart=False).split()).decode("utf-8", "surrogatepass") for s in texts_of(t.column("said"))]
             counted = np.fromiter(map(numbers, lines), dtype=np.int64, count=len(lines))
             ends, forest = np.searchsorted(group, group, side="right"), Forest(len(fps))
             for i in range(len(fps)):

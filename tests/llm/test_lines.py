@@ -138,3 +138,10 @@ def test_lines_that_differ_in_numbers_stay(spark):
     got = {(r["id"], r["line"], r["kept_id"], r["kept_line"]) for r in lines.repeated_lines(docs).collect()}
     assert got == {(9, k, 2, k) for k in range(3)}
     assert {r["doc_id"] for r in lines.dedup_lines(docs).collect()} == set(range(6))
+
+
+@pytest.mark.parametrize("line", ["今天的天气非常好我们去公园散步", "この記事を共有してください。", "สวัสดีครับยินดีต้อนรับ", "five\u00a0words\u3000of\u2009one\u00a0line"])
+def test_lines_of_scripts_without_spaces_take_part(line):
+    text, _, own, _ = lines.lines_of([line, "other words are said right here", f"  {line}!"])
+    assert text.tolist() == [0, 1, 2] and own[0] == own[2] != own[1]
+    assert lines.normal(line, apart=False).decode().replace(" ", "") == lines.normal(line).decode().replace(" ", "")
