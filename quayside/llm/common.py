@@ -6,11 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..sources.shared import written
 from ..sources.tables import table
 
-__all__ = ["majority", "table", "texts_of", "vote_counts", "whole_keys", "written"]
+__all__ = ["majority", "may_hold", "table", "texts_of", "vote_counts", "whole_keys", "written"]
+
+#: Bits of the largest bitmap of keys that is sent to all tasks: 8 MB.
+BITMAP_BITS = 1 << 26
+#: Hashes whose bits are unpacked at a time, 64 bytes for each.
+VOTE_ROWS = 1 << 17
 
 
 def texts_of(column: pa.Array) -> list[str]:
@@ -24,9 +31,11 @@ def vote_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     The unpacked bits are added eight byte lanes at a time; a lane holds 255, so longer runs are added
     in pieces first. Every run must have at least one hash.
     """
-    lanes = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64)
     ends = np.append(starts[1:], len(hashes))
     sizes = ends - starts
+    if len(hashes) > VOTE_ROWS:
+        return _votes_by_blocks(hashes, starts, ends)
+    lanes = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64)
     if len(sizes) and sizes.max() <= 255:
         return np.add.reduceat(lanes, starts, axis=0).view(np.uint8).reshape(-1, 64).astype(np.int64)
     pieces = -(-sizes // 255)
@@ -36,6 +45,16 @@ def vote_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(partial, first, axis=0)
 
 
+def _votes_by_blocks(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """vote_counts of many hashes, VOTE_ROWS at a time, so that a very long text needs no more memory than a block."""
+    out = np.zeros((len(starts), 64), dtype=np.int64)
+    for a in range(0, len(hashes), VOTE_ROWS):
+        b = min(a + VOTE_ROWS, len(hashes))
+        first, last = np.searchsorted(ends, a, side="right"), np.searchsorted(starts, b, side="left")
+        out[first:last] += vote_counts(hashes[a:b], np.maximum(starts[first:last] - a, 0))
+    return out
+
+
 def majority(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Fingerprints: a bit is 1 if set in over half of the hashes."""
     return np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
@@ -59,3 +78,33 @@ def whole_keys(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table
             held = [batch.slice(cut)]
     if held:
         yield pa.Table.from_batches(held)
+
+
+def may_hold(keys: DataFrame, key: str):
+    """A test of columns of 64-bit keys: false only for keys that are not among those of a table.
+
+    The test looks into a bitmap with eight bits a key at least while that fits BITMAP_BITS; beyond, more other keys pass.
+    It spares a join the rows that surely have no partner, and never decides alone.
+    """
+    bits = 1 << 16
+    rows = keys.select(key).distinct()
+    n = rows.count()
+    while bits < min(8 * n, BITMAP_BITS):
+        bits *= 2
+    place = F.pmod(F.col(key), F.lit(bits))
+    held = rows.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod({key}, 64) AS INT))")).alias("held")).toArrow()
+    bitmap = np.zeros(bits // 64, dtype=np.uint64)
+    bitmap[held.column("word").to_numpy()] = held.column("held").to_numpy().view(np.uint64)
+    shared = keys.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def test(column):
+        import pandas as pd
+
+        at = column.to_numpy(dtype=np.int64) & (bits - 1)
+        return pd.Series((shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    def column(name: Column) -> Column:
+        return test(name)
+
+    return column

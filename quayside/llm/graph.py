@@ -138,40 +138,72 @@ def near_forest(points: DataFrame, keys: Callable[[np.ndarray], np.ndarray], lin
     """Edges (a, b) that connect just what the links between fingerprints connect.
 
     points has one row for each distinct fingerprint, fp. keys gives the bucket keys of fingerprints; linked
-    takes an array of fingerprints and returns a test of pairs of its positions (arrays or slices). Each bucket gives a
-    spanning forest, so at most one edge for each member. Buckets over BUCKET_ROWS, which are counted before
-    anything is moved, are split into blocks: pairs of chunks, each its own group.
+    takes an array of fingerprints and returns a test of pairs of its positions (arrays or slices).
     """
+    own = points.select(F.col("fp").alias("node"), "fp")
+    return bucket_forest(keyed(own, keys), lambda columns: linked(columns["fp"].view(np.uint64)))
+
+
+def keyed(points: DataFrame, keys: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """points with key, one row for each bucket key of its fingerprint fp."""
+    names = points.columns
 
     def emit(batches):
         for batch in batches:
-            fps = batch.column("fp").to_numpy(zero_copy_only=False)
-            k = keys(fps.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64)), pa.array(np.repeat(fps, k.shape[1]))], names=["key", "fp"])
+            k = keys(batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64))
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), k.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64)), *(batch.column(c).take(rows) for c in names)], names=["key", *names])
+
+    return points.mapInArrow(emit, "key long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema))
+
+
+def bucket_forest(rows: DataFrame, linked: Callable[[dict[str, np.ndarray]], Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> DataFrame:
+    """Edges (a, b) between nodes that connect just what the links within buckets connect.
+
+    rows has key, node and whatever linked looks at, all numbers; linked takes these columns and returns a
+    test of pairs of positions. Each bucket gives a spanning forest, so at most one edge for each member.
+    Buckets over BUCKET_ROWS, which are counted before anything is moved, are split into blocks: pairs of
+    chunks, each its own group. linked sees the group as a column too; its lowest bit is that of the key.
+    """
+    others = [c for c in rows.columns if c != "key"]
 
     def compare(batches):
         for t in whole_keys(batches, "group"):
-            key, fps = (t.column(c).to_numpy() for c in ("group", "fp"))
-            forest = Forest(len(fps))
-            for i, j in same_key_pairs(key, linked(fps.view(np.uint64))):
+            columns = {c: t.column(c).to_numpy() for c in ["group", *others]}
+            key, nodes = columns["group"], columns["node"]
+            forest = Forest(len(nodes))
+            for i, j in same_key_pairs(key, linked(columns)):
                 apart = forest.up[i] != forest.up[j]
                 if apart.any():
                     forest.join(i[apart], j[apart])
                     forest.roots()
             root = forest.roots()
-            if len(own := np.flatnonzero(root != np.arange(len(fps)))):
-                yield pa.RecordBatch.from_arrays([pa.array(fps[own]), pa.array(fps[root[own]])], names=["a", "b"])
+            if len(own := np.flatnonzero(nodes[root] != nodes)):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], names=["a", "b"])
 
-    keyed = points.select("fp").mapInArrow(emit, "key long, fp long")
-    hot = written(keyed.groupBy("key").count().where(F.col("count") > BUCKET_ROWS), "hot")
+    hot = written(rows.groupBy("key").count().where(F.col("count") > BUCKET_ROWS), "hot")
     if hot.isEmpty():
-        grouped = keyed.select(F.col("key").alias("group"), "fp")
+        grouped = rows.select(F.col("key").alias("group"), *others)
     else:
-        grouped = keyed.join(hot, "key", "left").select("key", "fp", F.explode(blocks(F.col("fp"), F.col("count"))).alias("block"))
-        grouped = grouped.select(F.when(F.col("block") < 0, F.col("key")).otherwise(F.xxhash64("key", "block")).alias("group"), "fp")
+        grouped = rows.join(hot, "key", "left").select("key", *others, F.explode(blocks(F.col("node"), F.col("count"))).alias("block"))
+        own = F.xxhash64("key", "block").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("key").bitwiseAND(F.lit(1)))
+        grouped = grouped.select(F.when(F.col("block") < 0, F.col("key")).otherwise(own).alias("group"), *others)
     return grouped.repartition("group").sortWithinPartitions("group").mapInArrow(compare, "a long, b long")
 
 
+def in_groups(members: DataFrame, member: str, most: int) -> DataFrame:
+    """members, which have root, with group in its place: the root, or for a root of more than most members a block of it.
+
+    The roots over most are counted first; their members are repeated by blocks, so that no task holds a whole group.
+    """
+    sizes = written(members.groupBy("root").count().where(F.col("count") > most), "sizes")
+    others = [c for c in members.columns if c != "root"]
+    if sizes.isEmpty():
+        return members.select(F.col("root").alias("group"), *others)
+    placed = members.join(sizes, "root", "left").select("root", *others, F.explode(blocks(F.col(member), F.col("count"))).alias("block"))
+    return placed.select(F.when(F.col("block") < 0, F.col("root")).otherwise(F.xxhash64("root", "block")).alias("group"), *others)
+
+
 def blocks(member: Column, rows: Column) -> Column:
     """The blocks of a member of a group of so many rows, as numbers of pairs of chunks; -1 alone where rows is null.
 

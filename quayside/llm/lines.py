@@ -10,14 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import majority, table, texts_of, vote_counts, whole_keys, written
-from .graph import Forest, blocks, components, masked_keys, mixed, near, near_forest
+from .common import majority, may_hold, table, texts_of, vote_counts, whole_keys, written
+from .graph import Forest, bucket_forest, components, in_groups, keyed, masked_keys, mixed, near
 
-#: Shorter lines take no part: they are never dropped.
+#: Shorter lines have no near copies; equal ones are repeats all the same.
 LEAST_WORDS = 5
+#: Words at either end of a line that make a key: the most of these that are half of the line at most.
+END_WORDS = (6, 12, 24, 48, 96, 192, 384)
 #: Words of fewer bytes have no vote in a line's fingerprint, unless the line has no others.
 VOTING_BYTES = 4
 RADIUS = 4
+#: Bits that lines with the same words at one end may differ in to be compared.
+WIDE_RADIUS = 12
 LEAST_SIMILARITY = 0.8
 #: Lines of one group that are compared in one task; larger groups are split into blocks.
 GROUP_ROWS = 256
@@ -79,8 +83,36 @@ def line_prints(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return majority(vote_counts(mixed(words[votes]), np.cumsum(own) - own), own)
 
 
+def end_keys(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(lines, 4): hashes of the words at the beginning and at the end of each line, 0 where a line is too short.
+
+    The number of words is a step of END_WORDS; lines just above a step also have the keys of the step below, as a line with a
+    word less may fall there. An edit of a line leaves one end whole.
+    """
+    out = np.zeros((len(sizes), 4), dtype=np.uint64)
+    if not len(sizes):
+        return out
+    steps = np.array([0, *END_WORDS])
+    own = np.searchsorted(steps, sizes // 2, side="right") - 1
+    below = np.where(4 * sizes < 10 * steps[own], own - 1, 0)
+    with np.errstate(over="ignore"):
+        # sums of the words' hashes times powers by place, as of the bytes of a word
+        powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(words), _STEP, dtype=np.uint64)]))
+        inverse = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(words), pow(_STEP, -1, 2**64), dtype=np.uint64)]))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(words) * powers[: len(words)], dtype=np.uint64)])
+        for c, step in ((0, own), (2, below)):
+            k, on = steps[step], step > 0
+            for side, begin in ((0, starts), (1, starts + sizes - k)):
+                h = mixed((sums[begin + k] - sums[begin]) * inverse[begin] + (2 * k + side).astype(np.uint64))
+                out[:, c + side] = np.where(on, h | np.uint64(1), np.uint64(0))
+    return out
+
+
 def lines_of(texts: list[str]) -> tuple[np.ndarray, ...]:
-    """(text, line, hash, fingerprint) of every line of LEAST_WORDS or more, for all texts at once."""
+    """(text, line, hash, fingerprint, ends, words) of every line with a word, for all texts at once.
+
+    hash has two words of 64 bits; ends are the end_keys, of lines of LEAST_WORDS or more.
+    """
     own = [normal(t) for t in texts]
     counts = np.array([r.count(b"\n") + 1 for r in own])
     raw = b"\n".join(own)
@@ -98,17 +130,21 @@ def lines_of(texts: list[str]) -> tuple[np.ndarray, ...]:
     sizes = np.bincount(at, minlength=int(counts.sum()))
     text = np.repeat(np.arange(len(own)), counts)
     line = np.arange(len(sizes)) - np.repeat(np.cumsum(counts) - counts, counts)
-    keep = sizes >= LEAST_WORDS
-    words, sizes = words[keep[at]], sizes[keep]
+    keep = sizes > 0
+    sizes = sizes[keep]
     if not len(sizes):
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
-    return text[keep], line[keep], line_hashes(words, sizes).view(np.int64), line_prints(words, sizes).view(np.int64)
+        return tuple(np.zeros((0, k) if k else 0, dtype=np.int64) for k in (0, 0, 2, 0, 4, 0))
+    starts = np.cumsum(sizes) - sizes
+    with np.errstate(over="ignore"):
+        hashes = np.stack([line_hashes(words, sizes), line_hashes(mixed(words ^ np.uint64(_STEP)), sizes)], axis=1)
+    ends = np.where((sizes >= LEAST_WORDS)[:, None], end_keys(words, starts, sizes), np.uint64(0))
+    return text[keep], line[keep], hashes.view(np.int64), line_prints(words, sizes).view(np.int64), ends.view(np.int64), sizes
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_key, line, hash, fp) of every line of LEAST_WORDS or more. text_key and id together name a text.
+    """(id, text_key, line, hash, fp, ends) of every line with a word. text_key and id together name a text.
 
-    hash is one of 64 bits of the normalised line; among n different lines two share one with odds of n * n / 2**65.
+    hash is one of 128 bits of the normalised line. fp and ends are null for lines of under LEAST_WORDS words.
     """
 
     def run(batches):
@@ -118,17 +154,22 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for row, text in enumerate(texts):
                 size += len(text) + 1
                 if size >= BLOCK_CHARS or row + 1 == len(texts):
-                    at, line, own, fps = lines_of(texts[first : row + 1])
+                    at, line, own, fps, ends, sizes = lines_of(texts[first : row + 1])
                     rows = pa.array(at + first)
+                    short = sizes < LEAST_WORDS
+                    held = ends != 0
+                    cuts = np.concatenate([[0], np.cumsum(held.sum(axis=1))])
+                    some = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ends[held]))
+                    both = pa.Array.from_buffers(pa.binary(16), len(line), [None, pa.py_buffer(np.ascontiguousarray(own).tobytes())]).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("id").take(rows), batch.column("text_key").take(rows), pa.array(line, pa.int32()), pa.array(own), pa.array(fps)],
-                        names=["id", "text_key", "line", "hash", "fp"],
+                        [batch.column("id").take(rows), batch.column("text_key").take(rows), pa.array(line, pa.int32()), both, pa.array(fps, pa.int64(), mask=short), some],
+                        names=["id", "text_key", "line", "hash", "fp", "ends"],
                     )
                     first, size = row + 1, 0
 
     kind = docs.schema[id_col].dataType.simpleString()
     named = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-    return named.mapInArrow(run, f"id {kind}, text_key long, line int, hash long, fp long")
+    return named.mapInArrow(run, f"id {kind}, text_key long, line int, hash binary, fp long, ends array<long>")
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -170,64 +211,69 @@ def numbers(line: str) -> int:
     return hash(tuple(re.findall(r"\d+", line)))
 
 
-def line_links(firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str, radius: int = RADIUS) -> DataFrame:
+def line_links(firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str, radius: int = RADIUS, wide: int = WIDE_RADIUS) -> DataFrame:
     """Edges (a, b) between hashes of different lines that connect just what links connect.
 
-    A link: fingerprints within radius, the same numbers, and edit similarity of LEAST_SIMILARITY or more. Fingerprints are
-    first grouped by their Hamming links; only lines of groups of two or more fetch their text, from the
-    one document of their first occurrence, and are compared within the group, large ones by blocks.
+    A link: the same numbers, edit similarity of LEAST_SIMILARITY or more, and fingerprints within radius, or within wide
+    with the same words at one end. Lines are first grouped by fingerprints and ends; only lines of groups of two or
+    more fetch their text, from the one document of their first occurrence, and are compared within the group, large ones by blocks.
     """
-    prints = firsts.groupBy("fp").agg(F.count(F.lit(1)).alias("lines"))
-    prints = written(prints, "prints")
-    keys = masked_keys(radius, prints.count())
-    joined = components(near_forest(prints, keys, lambda fps: lambda i, j: near(fps[i], fps[j], radius)))
-    grouped = prints.join(joined.withColumnRenamed("node", "fp"), "fp", "left").where("lines > 1 OR root IS NOT NULL").select("fp", F.coalesce("root", "fp").alias("root"))
-    members = written(firsts.join(grouped, "fp").select("hash", "fp", "root", "first.*"), "members")
-    sizes = written(members.groupBy("root").count().where(F.col("count") > GROUP_ROWS), "sizes")
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    same = texts["id"].eqNullSafe(members["id"]) & (texts["text_key"] == members["text_key"])
-    said = texts.join(members, same).select("hash", "fp", "root", F.get(F.split("text", "\n"), F.col("line")).alias("said")).dropDuplicates(["hash"])
-    if sizes.isEmpty():
-        placed = said.withColumn("group", F.col("root"))
-    else:
-        said = written(said, "said")
-        placed = said.join(sizes, "root", "left").select("hash", "fp", "root", "said", F.explode(blocks(F.col("hash"), F.col("count"))).alias("block")).withColumn("group", F.when(F.col("block") < 0, F.col("root")).otherwise(F.xxhash64("root", "block")))
+    points = written(firsts.where("fp IS NOT NULL").select(F.xxhash64("hash").alias("node"), "fp", "ends", "hash", "first"), "points")
+    by_print = keyed(points.select("node", "fp"), masked_keys(radius, points.count())).select((F.col("key").bitwiseAND(F.lit(-2))).alias("key"), "node", "fp")
+    by_end = points.select(F.explode("ends").alias("key"), "node", "fp")
+
+    def linked(columns):
+        fps, most = columns["fp"].view(np.uint64), np.where(columns["group"] & 1, wide, radius)
+        return lambda i, j: np.bitwise_count(fps[i] ^ fps[j]) <= most[i]
+
+    joined = written(components(bucket_forest(by_print.unionByName(by_end), linked)), "candidates")
+    members = written(points.join(joined, "node").select("hash", "fp", "ends", "root", "first.*"), "members")
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    texts = texts.where(may_hold(members, "text_key")(F.col("text_key"))).alias("t")
+    members = members.alias("m")
+    same = F.col("t.id").eqNullSafe(F.col("m.id")) & (F.col("t.text_key") == F.col("m.text_key"))
+    said = texts.join(members, same).select("hash", "fp", "ends", "root", F.get(F.split("text", "\n"), F.col("line")).alias("said")).dropDuplicates(["hash"])
+    placed = in_groups(written(said, "said"), "hash", GROUP_ROWS)
 
     def compare(batches):
         for t in whole_keys(batches, "group"):
-            group, fps, hashes = (t.column(c).to_numpy() for c in ("group", "fp", "hash"))
-            fps = fps.view(np.uint64)
+            group, fps, hashes = t.column("group").to_numpy(), t.column("fp").to_numpy().view(np.uint64), t.column("hash").combine_chunks()
+            ends = [frozenset(x) for x in t.column("ends").to_pylist()]
             lines = [b" ".join(normal(s, apart=False).split()).decode("utf-8", "surrogatepass") for s in texts_of(t.column("said"))]
-            counted = np.fromiter(map(numbers, lines), dtype=np.int64, count=len(lines))
-            ends, forest = np.searchsorted(group, group, side="right"), Forest(len(fps))
+            counted, long = np.fromiter(map(numbers, lines), dtype=np.int64, count=len(lines)), np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+            last, forest = np.searchsorted(group, group, side="right"), Forest(len(fps))
             for i in range(len(fps)):
-                if ends[i] > i + 1:
-                    for j in (np.flatnonzero(near(fps[i + 1 : ends[i]], fps[i], radius) & (counted[i + 1 : ends[i]] == counted[i])) + i + 1).tolist():
-                        if forest.find(i) != forest.find(j) and similar(lines[i], lines[j]):
+                if last[i] > i + 1:
+                    rest = slice(i + 1, last[i])
+                    apart = np.bitwise_count(fps[rest] ^ fps[i])
+                    fits = (apart <= wide) & (counted[rest] == counted[i]) & (np.abs(long[rest] - long[i]) <= (1 - LEAST_SIMILARITY) * np.maximum(long[rest], long[i]))
+                    for j in (np.flatnonzero(fits) + i + 1).tolist():
+                        if forest.find(i) != forest.find(j) and (apart[j - i - 1] <= radius or ends[i] & ends[j]) and similar(lines[i], lines[j]):
                             forest.join(np.array([i]), np.array([j]))
             root = forest.roots()
             own = np.flatnonzero(root != np.arange(len(fps)))
             if len(own):
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[own]), pa.array(hashes[root[own]])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([hashes.take(pa.array(own)), hashes.take(pa.array(root[own]))], names=["a", "b"])
 
-    return placed.select("group", "fp", "hash", "said").repartition("group").sortWithinPartitions("group", "hash").mapInArrow(compare, "a long, b long")
+    return placed.select("group", "fp", "ends", "hash", "said").repartition("group").sortWithinPartitions("group", "hash").mapInArrow(compare, "a binary, b binary")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """(id, text_key, line, kept_id, kept_line) of every line to drop, with the place of the line that stays.
 
-    Of each group of lines that links connect (equal normalised lines always) the first stays, by id (null
-    first), key of the text and number. Lines of under LEAST_WORDS words take no part. Null and empty texts have no
-    lines. Rows that repeat id and text are one text, and keep the same lines.
+    Of each group of lines that links connect (equal normalised lines always, however short) the first stays, by id (null
+    first), key of the text and number. Lines of under LEAST_WORDS words have no near copies; lines without a word
+    take no part. Null and empty texts have no lines. Rows that repeat id and text are one text, and keep the same lines.
+    A text of any length is read whole, in blocks of BLOCK_BYTES. An empty table has no repeats.
     """
     lines = written(line_table(docs, id_col, text_col), "lines")
-    firsts = written(lines.groupBy("hash").agg(F.min("fp").alias("fp"), F.min(F.struct("id", "text_key", "line")).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
-    joined = written(components(line_links(firsts.select("hash", "fp", "first"), docs, id_col, text_col, radius)), "joined")
+    firsts = written(lines.groupBy("hash").agg(F.min("fp").alias("fp"), F.first("ends").alias("ends"), F.min(F.struct("id", "text_key", "line")).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+    joined = written(components(line_links(firsts, docs, id_col, text_col, radius)), "joined")
     classes = written(firsts.join(joined.withColumnRenamed("node", "hash"), "hash", "left").where("n > 1 OR root IS NOT NULL").select("hash", "first", F.coalesce("root", "hash").alias("root")), "classes")
     kept = written(classes.groupBy("root").agg(F.min("first").alias("kept")), "kept")
     of_hash = written(classes.join(kept, "root").select("hash", "kept"), "of_hash")
     here = F.struct("id", "text_key", "line")
-    return lines.join(of_hash, "hash").where(~here.eqNullSafe(F.col("kept"))).select("id", "text_key", "line", F.col("kept.id").alias("kept_id"), F.col("kept.line").alias("kept_line"))
+    return lines.select("id", "text_key", "line", "hash").join(of_hash, "hash").where(~here.eqNullSafe(F.col("kept"))).select("id", "text_key", "line", F.col("kept.id").alias("kept_id"), F.col("kept.line").alias("kept_line"))
 
 
 def _drops(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -237,21 +283,27 @@ def _drops(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """docs with their texts less the repeated lines; a text left without a word by that goes."""
+    """docs with their texts less the repeated lines; a text left without a word by that goes.
+
+    Only texts that may have lines to drop are moved to meet them; the others pass by.
+    """
     drops = written(_drops(docs, id_col, text_col), "drops")
-    same = docs[id_col].eqNullSafe(drops["_q_id"]) & (F.xxhash64(docs[text_col]) == drops["_q_text"])
-    lines = F.split(docs[text_col], "\n")
+    test = may_hold(drops, "_q_text")
+    named = docs.withColumn("_q_key", F.xxhash64(F.col(text_col)))
+    aside, some = named.where(~test(F.col("_q_key"))), named.where(test(F.col("_q_key")))
+    same = some[id_col].eqNullSafe(drops["_q_id"]) & (some["_q_key"] == drops["_q_text"])
+    lines = F.split(some[text_col], "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drops["_q_lines"])
-    left = F.when(drops["_q_lines"].isNull(), docs[text_col]).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    named = {c: F.col(c) for c in docs.columns} | {text_col: F.col("_q_left")}
+    left = F.when(drops["_q_lines"].isNull(), some[text_col]).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    out = {c: some[c] for c in docs.columns} | {text_col: F.col("_q_left")}
     if length_col in docs.columns:
-        named[length_col] = F.when(F.col("_q_lines").isNull(), docs[length_col]).otherwise(F.length("_q_left").cast(docs.schema[length_col].dataType))
-    joined = docs.join(drops, same, "left").withColumn("_q_left", left).where(F.col("_q_lines").isNull() | F.col("_q_left").rlike(r"[^\x20\x09-\x0D]"))
-    return joined.select(*(v.alias(c) for c, v in named.items()))
+        out[length_col] = F.when(F.col("_q_lines").isNull(), some[length_col]).otherwise(F.length("_q_left").cast(docs.schema[length_col].dataType))
+    joined = some.join(drops, same, "left").withColumn("_q_left", left).where(F.col("_q_lines").isNull() | F.col("_q_left").rlike(r"[^\x20\x09-\x0D]"))
+    return aside.select(*docs.columns).unionByName(joined.select(*(v.alias(c) for c, v in out.items())))
 
 
 def op9_fuzzy_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """For each document its lines, those dropped, and their numbers."""
+    """For each row of documents its lines, how many of them repeat a line that stays, and the numbers of those."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     drops = written(_drops(docs, "doc_id", "text"), "drops")
     sizes = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
@@ -261,4 +313,5 @@ def op9_fuzzy_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs less their repeated lines, as dedup_lines; documents of repeats alone go, null and empty texts stay."""
     return dedup_lines(docs)

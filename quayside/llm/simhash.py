@@ -8,12 +8,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import majority, table, texts_of, vote_counts, written
-from .graph import block_plan, components, mixed, near, near_forest
+from .common import majority, may_hold, table, texts_of, vote_counts, whole_keys, written
+from .graph import Forest, block_plan, bucket_forest, components, in_groups, keyed, mixed, near, near_forest
 
 SHINGLE_WORDS = 4
 RADIUS = 4
 SEED = 42
+#: The stage of the pipeline: shingles and the least share of them that two near copies have in common.
+STAGE_SHINGLE_WORDS, LEAST_SIMILARITY = 5, 0.8
+#: Words of the least part of a text that has a fingerprint of its own, and bits that equal parts may differ in. Larger parts
+#: have twice, four times, ... as many words; a text has four parts at least, or none.
+PART_WORDS, PART_RADIUS = 6, 3
+#: Bits that the fingerprints of whole texts may differ in where a part is near. Texts that share 0.8 of their shingles
+#: differ in 2 to 4 of 100 words, which is 4 to 8 bits on average.
+WHOLE_RADIUS = 18
+#: Texts of a group that one task compares; larger groups are split into blocks.
+GROUP_ROWS = 256
 #: Reference fingerprints that are spread over all bits, beside those of the blocks.
 WIDE_PIVOTS = 16
 
@@ -23,13 +33,18 @@ def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
+    hashes = shingle_hashes(words, shingle_words)
+    return int(majority(vote_counts(hashes, np.zeros(1, dtype=np.int64)), np.array([len(hashes)]))[0])
+
+
+def shingle_hashes(words: list[bytes], shingle_words: int) -> np.ndarray:
+    """XXH64 of the shingles of one word or more, in their order; of fewer words than a shingle, of all."""
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     k = min(shingle_words, len(words))
     starts = np.append(0, ends[:-1] + 1)[: len(words) - k + 1].tolist()
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)]), dtype=">u8").astype(np.uint64)
-    return int(majority(vote_counts(hashes, np.zeros(1, dtype=np.int64)), np.array([len(hashes)]))[0])
+    return np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)]), dtype=">u8").astype(np.uint64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -116,8 +131,127 @@ def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+class WordHashes(dict):
+    """Hashes of words, some of them kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, SEED)
+        return h
+
+
+def part_prints(text: str, hashes: WordHashes) -> list[int]:
+    """SimHash of the words of a text, A-Z in lower case, then of its parts.
+
+    Parts are runs of equal length, counted from the beginning in the first half of a text and from the end in the second, so
+    that words put in or left out at one place move no part before or after it. Texts just above a step of the
+    length of parts have those of the step below as well, as a near copy may fall there.
+    """
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    n = len(words)
+    if not n:
+        return []
+    own = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=n)
+    step = PART_WORDS
+    while 8 * step <= n:
+        step *= 2
+    least = step // 2 if PART_WORDS < step and n < 5 * step else step
+    p = n // 2 // least if n >= 4 * PART_WORDS else 0
+    cuts = [least * k for k in range(p)] + [least * p] * (2 * least * p < n) + [n - least * k for k in range(p, 0, -1)]
+    counts = vote_counts(own, np.array(cuts))
+    fps = [majority(counts.sum(axis=0)[None, :], np.array([n]))]
+    if p:
+        q = p // 2
+        levels = [(least, counts[:p], counts[-p:])]
+        if least < step:
+            levels.append((step, counts[: 2 * q].reshape(q, 2, 64).sum(axis=1), counts[len(counts) - 2 * q :].reshape(q, 2, 64).sum(axis=1)))
+        fps += [majority(x, np.full(len(x), size)) for size, *sides in levels for x in sides]
+    return np.concatenate(fps).tolist()
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = STAGE_SHINGLE_WORDS, least: float = LEAST_SIMILARITY) -> DataFrame:
+    """(text_key, root): texts that are joined by links, for every text with a word that has a link; root is one of their keys.
+
+    A link: a part (or the whole) of one text has a fingerprint within PART_RADIUS bits of that of a part of the other, the
+    whole texts are within WHOLE_RADIUS, and the sets of word shingles have a Jaccard similarity of least or more.
+    Candidates come by pivot distance tables over the parts' fingerprints; as most edits leave a part of a text
+    alone, a small radius does. Only texts with a candidate are moved to be compared.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            found = [part_prints(t, hashes) for t in texts_of(batch.column("text"))]
+            values = np.array([x for f in found for x in f], dtype=np.uint64).view(np.int64)
+            cuts = np.concatenate([[0], np.cumsum([len(f) for f in found])])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values))], names=["node", "fps"])
+
+    prints = written(docs.select(F.xxhash64(text).alias("node"), text.alias("text")).mapInArrow(run, "node long, fps array<long>").where(F.size("fps") > 0).dropDuplicates(["node"]), "prints")
+    points = prints.select("node", F.explode(F.array_distinct("fps")).alias("fp"), F.get("fps", F.lit(0)).alias("whole"))
+    pivots = Pivots(PART_RADIUS, 6 * prints.count())
+
+    def linked(columns):
+        test, wholes = pivots.linked(columns["fp"].view(np.uint64)), columns["whole"].view(np.uint64)
+        return lambda i, j: (np.bitwise_count(wholes[i] ^ wholes[j]) <= WHOLE_RADIUS) & test(i, j)
+
+    roots = written(components(bucket_forest(keyed(points, pivots.keys), linked)), "candidates")
+    members = prints.join(roots, "node").select("node", "fps", "root")
+    texts = docs.select(F.xxhash64(text).alias("node"), text.alias("text")).where(may_hold(roots, "node")(F.col("node")))
+    said = written(texts.join(members, "node").dropDuplicates(["node"]), "said")
+
+    def compare(batches):
+        for t in whole_keys(batches, "group"):
+            group, nodes = t.column("group").to_numpy(), t.column("node").to_numpy()
+            fps = [np.array(x, dtype=np.int64).view(np.uint64) for x in t.column("fps").to_pylist()]
+            wholes, own = np.array([f[0] for f in fps], dtype=np.uint64), [None] * len(nodes)
+            last, forest = np.searchsorted(group, group, side="right"), Forest(len(nodes))
+
+            def shingles(i):
+                if own[i] is None:
+                    own[i] = np.unique(shingle_hashes(t.column("text")[i].as_py().encode("utf-8", "surrogatepass").lower().split(), shingle_words))
+                return own[i]
+
+            for i in range(len(nodes)):
+                for j in (np.flatnonzero(near(wholes[i + 1 : last[i]], wholes[i], WHOLE_RADIUS)) + i + 1).tolist():
+                    if forest.find(i) != forest.find(j) and near(fps[i][:, None], fps[j][None, :], PART_RADIUS).any():
+                        a, b = shingles(i), shingles(j)
+                        if min(len(a), len(b)) >= least * max(len(a), len(b)):
+                            both = len(np.intersect1d(a, b, assume_unique=True))
+                            if both >= least * (len(a) + len(b) - both):
+                                forest.join(np.array([i]), np.array([j]))
+                own[i] = None
+            root = forest.roots()
+            if len(moved := np.flatnonzero(root != np.arange(len(nodes)))):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], names=["a", "b"])
+
+    placed = in_groups(said, "node", GROUP_ROWS)
+    edges = placed.repartition("group").sortWithinPartitions("group", "node").mapInArrow(compare, "a long, b long")
+    return components(edges).select(F.col("node").alias("text_key"), "root")
+
+
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with one document of each group: the one with the least id; rows that repeat id and text are one."""
-    found = near_duplicates(docs)
-    keep = found.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """docs with one document of each group of equal texts and near copies: that of the least id, null ids last.
+
+    Near copies are those of near_copies: five-word shingles, similarity 0.8 or more, candidates by pivot distance tables. Rows
+    that repeat id and text are one; of those with other columns that differ, any one stays. Equal ids
+    with different texts are different documents. Texts without a word are equal to one another. An empty table stays empty.
+    """
+    word = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    none = F.lit(0).cast("bigint")
+    # two hashes of 64 bits with different seeds name a text
+    named = docs.withColumn("_q_key", F.when(word, F.xxhash64(F.col("text"))).otherwise(none)).withColumn("_q_more", F.when(word, F.xxhash64(F.lit(7), F.col("text"))).otherwise(none))
+    roots = written(near_copies(docs), "near").withColumnRenamed("text_key", "_q_key")
+    placed = written(named.select("doc_id", "_q_key", "_q_more").join(roots, "_q_key", "left"), "placed")
+    own = [F.coalesce("root", "_q_key").alias("group"), F.when(F.col("root").isNull(), F.col("_q_more")).otherwise(none).alias("more")]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("_q_key").alias("key"))).alias("first")
+    groups = written(placed.groupBy(*own).agg(F.count(F.lit(1)).alias("n"), first).where("n > 1"), "copied")
+    touched = written(placed.select(*own, "_q_key").join(groups, ["group", "more"]).select("_q_key", "first").distinct(), "touched")
+    test = may_hold(touched, "_q_key")
+    aside, some = named.where(~test(F.col("_q_key"))), named.where(test(F.col("_q_key")))
+    met = some.join(touched.withColumnRenamed("_q_key", "_q_own"), F.col("_q_key") == F.col("_q_own"), "left")
+    stays = F.col("first").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("_q_key") == F.col("first.key")))
+    kept = met.where(stays)
+    alone, repeated = kept.where("first IS NULL"), kept.where("first IS NOT NULL").dropDuplicates(["doc_id", "_q_key"])
+    return aside.select(*docs.columns).unionByName(alone.select(*docs.columns)).unionByName(repeated.select(*docs.columns))

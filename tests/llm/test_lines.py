@@ -42,25 +42,39 @@ def test_lines_of_many_texts_at_once(monkeypatch, block):
     monkeypatch.setattr(lines, "BLOCK_BYTES", block)
     texts = [t or "" for t in cases.texts() if len(t or "") < 5000] + ["a b c d\x01 e\n\n f g h i j k", "of an it is on", "\n", ""]
     by_line, n = {}, 0
-    for t, k, h, fp in zip(*lines.lines_of(texts)):
+    by_end = {}
+    for t, k, h, fp, ends, size in zip(*lines.lines_of(texts)):
         words = tuple(lines.normal(texts[t]).split(b"\n")[k].split())
-        assert len(words) >= lines.LEAST_WORDS and int(fp) % 2**64 == slow_print(list(words))
-        assert by_line.setdefault(words, int(h)) == h
+        assert len(words) == size > 0 and int(fp) % 2**64 == slow_print(list(words))
+        assert by_line.setdefault(words, tuple(h)) == tuple(h)
+        own = slow_ends(words)
+        assert len(own) == (ends != 0).sum() and all(by_end.setdefault(e, set()) is not None for e in own)
+        for e, key in zip(own, ends[ends != 0].tolist()):
+            by_end[e].add(key)
         n += 1
-    assert len(set(by_line.values())) == len(by_line)
-    assert n == sum(len(x.split()) >= lines.LEAST_WORDS for t in texts for x in lines.normal(t).split(b"\n"))
-    assert all(len(x) == 0 for x in lines.lines_of(["", "one two", "\n"]))
+    assert all(len({h[c] for h in by_line.values()}) == len(by_line) for c in (0, 1))
+    assert all(len(x) == 1 for x in by_end.values()) and len({min(x) for x in by_end.values()}) == len(by_end) > 4
+    assert n == sum(len(x.split()) > 0 for t in texts for x in lines.normal(t).split(b"\n"))
+    assert all(len(x) == 0 for x in lines.lines_of(["", " .", "\n"]))
 
 
-def slow_groups(docs, radius=lines.RADIUS):
+def slow_ends(words):
+    """The words at the beginning and at the end of a line, as many as a step, and as the step below just above one."""
+    steps = [k for k in lines.END_WORDS if 2 * k <= len(words)]
+    chosen = steps[-1:] + [k for k in steps[-2:-1] if 4 * len(words) < 10 * steps[-1]]
+    return [(side, words[:k] if side == 0 else words[-k:]) for k in chosen for side in (0, 1)]
+
+
+def slow_groups(docs, radius=lines.RADIUS, wide=lines.WIDE_RADIUS):
     """Occurrences of lines, and the groups of their normalised forms, by comparing all with all."""
     places = {}
     for doc_id, key, text in docs:
         for k, words in enumerate(x.split() for x in lines.normal(text or "").split(b"\n")):
-            if len(words) >= lines.LEAST_WORDS:
+            if words:
                 places.setdefault(b" ".join(words).decode(), []).append((doc_id, key, k))
     forms = list(places)
     prints = [slow_print(f.encode().split()) for f in forms]
+    ends = [set(slow_ends(tuple(f.encode().split()))) for f in forms]
     up = list(range(len(forms)))
 
     def find(i):
@@ -68,9 +82,13 @@ def slow_groups(docs, radius=lines.RADIUS):
             i = up[i]
         return i
 
+    def near(i, j):
+        apart = (prints[i] ^ prints[j]).bit_count()
+        return min(len(forms[k].split()) for k in (i, j)) >= lines.LEAST_WORDS and (apart <= radius or apart <= wide and ends[i] & ends[j])
+
     for i in range(len(forms)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= radius and levenshtein(forms[i], forms[j]) <= 0.2 * max(len(forms[i]), len(forms[j])) + 1e-9:
+            if near(i, j) and lines.numbers(forms[i]) == lines.numbers(forms[j]) and levenshtein(forms[i], forms[j]) <= 0.2 * max(len(forms[i]), len(forms[j])) + 1e-9:
                 up[max(find(i), find(j))] = min(find(i), find(j))
     groups = {}
     for i, f in enumerate(forms):
@@ -104,14 +122,14 @@ def test_drops_are_those_of_brute_force(spark, monkeypatch, bucket):
 
 def test_texts_without_their_repeats(spark):
     line, other = "one line of many plain words", "another line of quite different sounding text"
-    rows = [(1, f"{line}\nshort\n{other}", "en", "s", 99), (2, f"{line}\nown words are kept right here", "en", "s", 99), (3, f"{line.upper()}.\n{other}", "en", "s", 99), (4, "short\nshort", "en", "s", 11), (5, None, None, None, None)]
+    rows = [(1, f"{line}\nshort\n{other}", "en", "s", 99), (2, f"{line}\nown words are kept right here\nShort.", "en", "s", 99), (3, f"{line.upper()}.\n{other}", "en", "s", 99), (4, "brief\n--\nbrief\n--", "en", "s", 14), (5, None, None, None, None)]
     docs = spark.createDataFrame(rows, cases.SCHEMA)
     got = {r["doc_id"]: r for r in lines.dedup_lines(docs).collect()}
     assert lines.dedup_lines(docs).columns == docs.columns
     assert set(got) == {1, 2, 4, 5}
     assert got[1]["text"] == rows[0][1] and got[1]["n_chars"] == 99
     assert got[2]["text"] == "own words are kept right here" and got[2]["n_chars"] == len(got[2]["text"])
-    assert got[4]["text"] == "short\nshort" and got[5]["text"] is None
+    assert got[4]["text"] == "brief\n--\n--" and got[4]["n_chars"] == 11 and got[5]["text"] is None
 
 
 def test_odd_tables(spark):
@@ -142,6 +160,39 @@ def test_lines_that_differ_in_numbers_stay(spark):
 
 @pytest.mark.parametrize("line", ["今天的天气非常好我们去公园散步", "この記事を共有してください。", "สวัสดีครับยินดีต้อนรับ", "five\u00a0words\u3000of\u2009one\u00a0line"])
 def test_lines_of_scripts_without_spaces_take_part(line):
-    text, _, own, _ = lines.lines_of([line, "other words are said right here", f"  {line}!"])
+    text, _, own, *_ = lines.lines_of([line, "other words are said right here", f"  {line}!"])
+    own = list(map(tuple, own.tolist()))
     assert text.tolist() == [0, 1, 2] and own[0] == own[2] != own[1]
     assert lines.normal(line, apart=False).decode().replace(" ", "") == lines.normal(line).decode().replace(" ", "")
+
+
+def edited(rng, words, vocabulary):
+    words = list(words)
+    for _ in range(rng.choice([1, 1, 1, 2])):
+        at = rng.randrange(len(words))
+        kind = rng.random()
+        if kind < 0.5:
+            words[at] = rng.choice(vocabulary)
+        elif kind < 0.75:
+            words.insert(at, rng.choice(vocabulary))
+        elif len(words) > 5:
+            del words[at]
+    return words
+
+
+def test_near_copies_by_edit_similarity_alone(spark):
+    """Recall against edit similarity alone, for copies with a word or two changed, put in or left out."""
+    rng = random.Random(11)
+    vocabulary = cases.prose(rng, 4000).split() + ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    pairs = []
+    for _ in range(400):
+        own = [rng.choice(vocabulary) for _ in range(rng.randint(12, 60))]
+        other = edited(rng, own, vocabulary)
+        if lines.similar(" ".join(own), " ".join(other)):
+            pairs.append((" ".join(own), " ".join(other)))
+    rows = [(2 * k + side, pair[side], "en", "s", 0) for k, pair in enumerate(pairs) for side in (0, 1)]
+    docs = spark.createDataFrame(rows, cases.SCHEMA)
+    got = {(r["id"], r["kept_id"]) for r in lines.repeated_lines(docs).collect()}
+    assert all(a // 2 == b // 2 for a, b in got)
+    found = sum((2 * k + 1, 2 * k) in got or pairs[k][0] == pairs[k][1] for k in range(len(pairs)))
+    assert len(pairs) > 350 and found >= 0.9 * len(pairs), found / len(pairs)

@@ -1,10 +1,10 @@
 """The pipeline against its stages in plain Python."""
 
 import corpus_pipeline
-from quayside.llm import bpe, decontam, language, simhash
+from quayside.llm import bpe, decontam, language
 
 from .test_lines import slow_groups
-from .test_simhash import slow_components, slow_fingerprint
+from .test_simhash import slow_kept
 
 
 def test_pipeline_meets_brute_force(spark, sf_dir):
@@ -25,12 +25,7 @@ def test_pipeline_meets_brute_force(spark, sf_dir):
         else:
             docs[d] = left
 
-    prints = {d: slow_fingerprint(t) for d, t in docs.items()}
-    roots = slow_components(set(prints.values()), simhash.RADIUS)
-    firsts = {}
-    for d in docs:
-        firsts.setdefault(roots[prints[d]], []).append(d)
-    docs = {min(g): docs[min(g)] for g in firsts.values()}
+    docs = {min(g)[1]: min(g)[2] for g in slow_kept(list(docs.items())).values()}
 
     items = [decontam.words_of(r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     held = lambda item, words: sum(set(item[i : i + 5]) <= set(words) and any(item[i : i + 5] == words[j : j + 5] for j in range(len(words))) for i in range(len(item) - 4)) / (len(item) - 4)
