@@ -5,9 +5,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import itertools
 import re
 from array import array
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import table, texts_of
 
-#: Pre-tokens whose ids a Python worker keeps between texts.
-MEMO_ENTRIES = 400_000
+#: Pre-tokens whose ids a Python worker keeps between texts, at most twice as many. About 0.2 KB each.
+MEMO_ENTRIES = 500_000
 #: Keys of one bucket of the perfect hash, on average.
 BUCKET_KEYS = 2
 #: Characters on which the classes of Python's re and of \p{L}, \p{N} and \s surely agree, as ranges.
@@ -48,6 +48,7 @@ class PerfectHash:
 
     def __init__(self, tokens: list[bytes]):
         self.n, self.tokens = len(tokens), tokens
+        self.digest = hashlib.sha256(b"".join(len(t).to_bytes(4, "little") + t for t in tokens)).digest()
         self.buckets = max(1, self.n // BUCKET_KEYS)
         own: list[list[tuple[int, int]]] = [[] for _ in range(self.buckets)]
         for rank, token in enumerate(tokens):
@@ -83,15 +84,19 @@ class PerfectHash:
 
 
 class Codec(dict):
-    """Encodes and decodes by one vocabulary. As a dict it maps pre-tokens to their ids' bytes, up to MEMO_ENTRIES."""
+    """Encodes and decodes by one vocabulary. As a dict it maps pre-tokens to their ids' bytes, up to MEMO_ENTRIES; a full
+    one is kept aside until the next is full, so that frequent pre-tokens are not looked up anew.
+    """
 
     def __init__(self, perfect: PerfectHash, pattern: str):
         super().__init__()
-        self.tokens, self.perfect = perfect.tokens, perfect
+        self.tokens, self.perfect, self.older = perfect.tokens, perfect, {}
         rank_of = {t: i for i, t in enumerate(self.tokens)}
         self.of_byte = [rank_of[bytes([b])] for b in range(256)]
         halves = ((t[:k], t[k:], i) for t, i in rank_of.items() for k in range(1, len(t)))
-        self.joined = {rank_of[a] << 32 | rank_of[b]: i for a, b, i in halves if a in rank_of and b in rank_of}.get
+        self.bits = len(self.tokens).bit_length()
+        self.joined = {rank_of[a] << self.bits | rank_of[b]: i for a, b, i in halves if a in rank_of and b in rank_of}.get
+        self.of_pair = [rank_of.get(bytes([a, b])) for a in range(256) for b in range(256)]
         self.split = regex.compile(pattern).findall
         # the same pattern in Python's quicker re, for texts of plain characters alone
         chars = [chr(c) for a, b in _PLAIN for c in range(a, b + 1)]
@@ -103,10 +108,13 @@ class Codec(dict):
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= MEMO_ENTRIES:
+            self.older = dict(self)
             self.clear()
-        raw = piece.encode("utf-8", "surrogatepass")
-        rank = self.perfect.find(raw)
-        ids = array("I", [rank] if rank >= 0 else self.merge(raw)).tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            raw = piece.encode("utf-8", "surrogatepass")
+            rank = self.perfect.find(raw)
+            ids = array("I", [rank] if rank >= 0 else self.merge(raw)).tobytes()
         if len(piece) <= 64:
             self[piece] = ids
         return ids
@@ -117,38 +125,37 @@ class Codec(dict):
         Parts are linked by the position of their first byte; the heap holds rank and position in one
         number, and an entry is void when its part has another rank by now.
         """
-        joined, push, pop = self.joined, heapq.heappush, heapq.heappop
+        joined, bits, of_pair, push, pop = self.joined, self.bits, self.of_pair, heapq.heappush, heapq.heappop
+        n = len(raw)
         ids = [self.of_byte[b] for b in raw]
-        rank = [joined(a << 32 | b) for a, b in itertools.pairwise(ids)]
-        n = len(ids)
+        rank = [of_pair[a << 8 | b] for a, b in zip(raw, raw[1:], strict=False)]
         rank.append(None)
-        heap = [r << 32 | i for i, r in enumerate(rank) if r is not None]
-        if not heap:
-            return ids
+        places = n.bit_length()
+        mask = (1 << places) - 1
+        heap = [r << places | i for i, r in enumerate(rank) if r is not None]
         heapq.heapify(heap)
         after, before = list(range(1, n + 1)), list(range(-1, n))
         while heap:
             top = pop(heap)
-            i = top & 0xFFFFFFFF
-            own = top >> 32
+            i, own = top & mask, top >> places
             if rank[i] != own:
                 continue
             j = after[i]
             after[i] = end = after[j]
-            ids[i], ids[j], rank[j] = own, None, None
             before[end] = i
+            ids[i], ids[j], rank[j] = own, -1, None
             if end < n:
-                rank[i] = r = joined(own << 32 | ids[end])
+                rank[i] = r = joined(own << bits | ids[end])
                 if r is not None:
-                    push(heap, r << 32 | i)
+                    push(heap, r << places | i)
             else:
                 rank[i] = None
             if i:
                 k = before[i]
-                rank[k] = r = joined(ids[k] << 32 | own)
+                rank[k] = r = joined(ids[k] << bits | own)
                 if r is not None:
-                    push(heap, r << 32 | k)
-        return [x for x in ids if x is not None]
+                    push(heap, r << places | k)
+        return [x for x in ids if x >= 0]
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, each as a little-endian unsigned 32-bit integer."""
@@ -156,18 +163,19 @@ class Codec(dict):
         return b"".join([self[x] for x in pieces])
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        found = np.frombuffer(ids, dtype="<u4").tolist()
+        return b"".join(itemgetter(*found)(self.tokens)) if len(found) > 1 else b"".join(self.tokens[x] for x in found)
 
 
-_CODECS: dict[tuple[int, str], Codec] = {}
+_CODECS: dict[tuple[bytes, str], Codec] = {}
 
 
-def codec_of(shared, pattern: str) -> Codec:
-    """The codec of a broadcast vocabulary, built once in each Python worker."""
-    key = (shared._jid if hasattr(shared, "_jid") else id(shared), pattern)
+def codec_of(perfect: PerfectHash, pattern: str) -> Codec:
+    """The codec of a vocabulary, built once in each Python worker; vocabularies are told apart by a digest of their tokens."""
+    key = (perfect.digest, pattern)
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(shared.value, pattern)
+        _CODECS[key] = Codec(perfect, pattern)
     return _CODECS[key]
 
 
@@ -182,7 +190,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
     shared = spark.sparkContext.broadcast(PerfectHash(read_ranks(vocabulary)))
 
     def run(batches):
-        codec = codec_of(shared, pattern)
+        codec = codec_of(shared.value, pattern)
         for batch in batches:
             n, a, b, kept = [], [], [], []
             for text in texts_of(batch.column("text")):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import written
 from ..sources.tables import table
 
-__all__ = ["majority", "may_hold", "table", "texts_of", "vote_counts", "whole_keys", "written"]
+__all__ = ["bitmap_of", "in_bitmap", "majority", "may_hold", "table", "texts_of", "vote_counts", "whole_keys", "written"]
 
 #: Bits of the largest bitmap of keys that is sent to all tasks: 8 MB.
 BITMAP_BITS = 1 << 26
@@ -80,31 +80,35 @@ def whole_keys(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
-def may_hold(keys: DataFrame, key: str):
+def bitmap_of(keys: DataFrame, key: str, bits: int) -> np.ndarray:
+    """A bitmap, as 64-bit words, with the bit of each key modulo bits (a power of two); the driver gets bits / 8 bytes at most."""
+    place = F.pmod(F.col(key), F.lit(bits))
+    held = keys.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod({key}, 64) AS INT))")).alias("held")).toArrow()
+    bitmap = np.zeros(bits // 64, dtype=np.uint64)
+    bitmap[held.column("word").to_numpy()] = held.column("held").to_numpy().view(np.uint64)
+    return bitmap
+
+
+def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys.view(np.int64) & (64 * len(bitmap) - 1)
+    return (bitmap[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def may_hold(keys: DataFrame, key: str) -> Callable[[Column], Column]:
     """A test of columns of 64-bit keys: false only for keys that are not among those of a table.
 
     The test looks into a bitmap with eight bits a key at least while that fits BITMAP_BITS; beyond, more other keys pass.
     It spares a join the rows that surely have no partner, and never decides alone.
     """
-    bits = 1 << 16
-    rows = keys.select(key).distinct()
-    n = rows.count()
+    bits, n = 1 << 16, keys.count()
     while bits < min(8 * n, BITMAP_BITS):
         bits *= 2
-    place = F.pmod(F.col(key), F.lit(bits))
-    held = rows.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod({key}, 64) AS INT))")).alias("held")).toArrow()
-    bitmap = np.zeros(bits // 64, dtype=np.uint64)
-    bitmap[held.column("word").to_numpy()] = held.column("held").to_numpy().view(np.uint64)
-    shared = keys.sparkSession.sparkContext.broadcast(bitmap)
+    shared = keys.sparkSession.sparkContext.broadcast(bitmap_of(keys, key, bits))
 
     @F.pandas_udf("boolean")
     def test(column):
         import pandas as pd
 
-        at = column.to_numpy(dtype=np.int64) & (bits - 1)
-        return pd.Series((shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
-
-    def column(name: Column) -> Column:
-        return test(name)
+        return pd.Series(in_bitmap(shared.value, column.to_numpy(dtype=np.int64)))
 
-    return column
+    return lambda name: test(name)

@@ -1,8 +1,7 @@
-"""Benchmark decontamination: candidates by the items' own shingles, exact weighted shingles of passages."""
+"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted shingles of passages."""
 
 from __future__ import annotations
 
-import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,20 +9,24 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import table, texts_of
+from .common import bitmap_of, in_bitmap, may_hold, table, texts_of, written
+from .graph import mixed
 
 SHINGLE_WORDS = 5
 LEAST_SIMILARITY = 0.8
-#: Bits that a window's fingerprint may differ in from that of its item.
-RADIUS = 7
+#: Bits that a window's fingerprint may differ in from that of its item. A fifth of other words is 13 bits on average.
+RADIUS = 19
 #: Blocks of the fingerprints; within the radius one block differs in at most RADIUS // BLOCKS bits.
 BLOCKS = 4
 #: Words beside the aligned passage in which shingles are looked for.
 SLACK = 2
-#: Items of one index. Larger benchmarks are searched slice by slice, each against all documents.
-SLICE_ITEMS = 20_000
+#: Items of one index. Of larger benchmarks each slice is searched for in the texts that may hold anything of the benchmark.
+SLICE_ITEMS = 2_000
 BLOCK_WORDS = 16_384
+#: Places of a shingle in the filter of texts, and its bits: 8 MB at most.
+FILTER_PLACES, FILTER_BITS = 3, 1 << 26
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -45,34 +48,16 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def window_size(words: int) -> int:
-    """The largest of a ladder of sizes (5, then each 1.4 times the last) that an item of so many words fills."""
-    size = min(words, SHINGLE_WORDS)
-    while (larger := int(size * 1.4)) <= words and size >= SHINGLE_WORDS:
-        size = larger
-    return size
+def bit_sums(hashes: np.ndarray) -> np.ndarray:
+    """(words + 1, 64): how many of the words before a place have each bit set."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.concatenate([np.zeros((1, 64), dtype=np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
 
 
-def window_prints(hashes: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
-    """Fingerprints of all windows of each size over the words' hashes.
-
-    Bit counts of windows of 1, 2, 4, ... words are added up from one another, and any size from those.
-    """
-    kind = np.uint8 if max(sizes, default=0) <= 255 else np.uint32
-    powers = {1: np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(kind, copy=False)}
-    while (k := max(powers)) * 2 <= max(sizes, default=0) and len(powers[k]) > k:
-        powers[2 * k] = powers[k][:-k] + powers[k][k:]
-    out = {}
-    for size in sizes:
-        n = len(hashes) - size + 1
-        if n <= 0:
-            continue
-        total, at = None, 0
-        for k in sorted((k for k in powers if size & k), reverse=True):
-            part = powers[k][at : at + n]
-            total, at = part if total is None else total + part, at + k
-        out[size] = np.packbits(total > size // 2, axis=1, bitorder="little").view("<u8").reshape(-1)
-    return out
+def window_prints(sums: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """SimHash of the words of each window, from the sums of bit_sums."""
+    counts = sums[ends] - sums[begins]
+    return np.packbits(2 * counts > (ends - begins)[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
 def rolled_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -117,15 +102,10 @@ class Item:
 
 
 class Index:
-    """The shingles of all items with their places, and anchors (the first and the last window of each item) of
-    each window size, by the values of their blocks.
-
-    A passage that holds any share of an item has some of its shingles whole, so search goes by these and
-    finds every passage, cut short or edited. The windows' fingerprints alone would lose some.
-    """
+    """The items' fingerprints by their number of words, each under the values of its blocks, and their shingles."""
 
     def __init__(self, items: list[tuple[object, str]], radius: int = RADIUS):
-        self.radius, self.items, self._places, anchors, own = radius, [], [], {}, WordHashes()
+        self.radius, self.items, of_size, own = radius, [], {}, WordHashes()
         for item_id, text in items:
             words = words_of(text or "")
             if not words:
@@ -133,189 +113,192 @@ class Index:
             h = own.of(words)
             rolled, weight = shingles(h, words)
             unique, first, counts = np.unique(rolled, return_index=True, return_counts=True)
-            size = window_size(len(words))
-            prints = window_prints(h, [size])[size]
-            for offset in sorted({0, len(words) - size}):
-                anchors.setdefault(size, []).append((int(prints[offset]), len(self.items), offset))
+            of_size.setdefault(len(words), []).append((int(window_prints(bit_sums(h), np.array([0]), np.array([len(h)]))[0]), len(self.items)))
             self.items.append(Item(item_id, len(words), unique, weight[first] * counts, counts))
-            order = np.argsort(rolled, kind="stable")
-            self._places.append((order, np.append(np.cumsum(counts) - counts, len(rolled))))
-        self.sizes = sorted(anchors)
-        self._entries()
-        self.reach = max((i.words for i in self.items), default=0) + SLACK
-        self.anchors = {s: tuple(np.array([x[k] for x in a], dtype=np.uint64 if k == 0 else np.int64) for k in range(3)) for s, a in anchors.items()}
+        self.sizes = sorted(of_size)
+        self.reach = max(self.sizes, default=0) + SLACK
+        self.anchors = {s: tuple(np.array([x[k] for x in a], dtype=np.uint64 if k == 0 else np.int64) for k in range(2)) for s, a in of_size.items()}
         self.tables = {s: [self._by_value(a[0], b) for b in range(BLOCKS)] for s, a in self.anchors.items()}
+        self.shingle_sizes = sorted({min(SHINGLE_WORDS, s) for s in self.sizes})
+        self.shingles = np.unique(np.concatenate([i.shingles for i in self.items] or [np.zeros(0, dtype=np.uint64)]))
+
+    def places(self, rolled: np.ndarray) -> np.ndarray:
+        """Where a shingle is one of the items'."""
+        at = np.searchsorted(self.shingles, rolled)
+        at[at == len(self.shingles)] = 0
+        return np.flatnonzero(self.shingles[at] == rolled)
 
-    def _entries(self) -> None:
-        """One entry for each item and shingle, sorted by shingle, and a bitmap of the shingles' low bits."""
-        sizes = np.array([len(i.shingles) for i in self.items], dtype=np.int64)
-        self.item_sizes = np.array([min(SHINGLE_WORDS, i.words) for i in self.items], dtype=np.int64)
-        self.item_weight = np.array([i.weights.sum() for i in self.items], dtype=np.float64)
-        self.shingle_sizes = sorted(set(self.item_sizes.tolist()))
-        every = np.concatenate([i.shingles for i in self.items] or [np.zeros(0, dtype=np.uint64)])
-        order = np.argsort(every, kind="stable")
-        self.entry_item = np.repeat(np.arange(len(sizes)), sizes)[order]
-        self.entry_rank = (np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order]
-        counts = np.concatenate([i.counts for i in self.items] or [np.zeros(0, dtype=np.int64)])
-        weights = np.concatenate([i.weights for i in self.items] or [np.zeros(0, dtype=np.int64)])
-        self.entry_count = counts[order]
-        self.entry_weight = weights[order] / np.maximum(counts[order], 1)
-        self.shingle, first = np.unique(every[order], return_index=True)
-        self.first = np.append(first, len(every))
-        self.bits = max(int(4 * len(every)).bit_length(), 16)
-        self.seen = np.zeros(1 << self.bits, dtype=bool)
-        self.seen[self._low(self.shingle)] = True
-
-    def _low(self, rolled: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return ((rolled * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def entries(self, rolled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, entry) of every item's shingle that is one of these."""
-        place = np.flatnonzero(self.seen[self._low(rolled)])
-        at = np.searchsorted(self.shingle, rolled[place])
-        at[at == len(self.shingle)] = 0
-        same = self.shingle[at] == rolled[place]
-        place, at = place[same], at[same]
-        n = self.first[at + 1] - self.first[at]
-        return np.repeat(place, n), np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-
-    def offsets(self, item: int, entry: int) -> list[int]:
-        """The places of an entry's shingle in its item."""
-        order, cuts = self._places[item]
-        k = int(self.entry_rank[entry])
-        return order[cuts[k] : cuts[k + 1]].tolist()
-
-    def _by_value(self, prints: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each value of a block the anchors whose block is near enough: starts, counts and anchors."""
+    def _by_value(self, prints: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each value of a block the anchors whose block is near enough: where they start, and the anchors."""
         bits, most = 64 // BLOCKS, self.radius // BLOCKS
-        flips = [0]
-        for _ in range(most):
-            flips = sorted({f ^ 1 << k for f in flips for k in range(bits)} | set(flips))
-        value = (prints >> np.uint64(bits * block)).astype(np.int64) & (1 << bits) - 1
-        near = (value[:, None] ^ np.array(flips)[None, :]).reshape(-1)
+        every = np.arange(1 << bits, dtype=np.uint64)
+        flips = every[np.bitwise_count(every) <= most]
+        value = prints >> np.uint64(bits * block) & np.uint64((1 << bits) - 1)
+        near = (value[:, None] ^ flips[None, :]).astype(np.uint16).reshape(-1)
         order = np.argsort(near, kind="stable")
-        counts = np.bincount(near, minlength=1 << bits)
-        return (np.cumsum(counts) - counts).astype(np.int32), counts.astype(np.int32), np.repeat(np.arange(len(prints)), len(flips))[order]
+        starts = np.concatenate([[0], np.cumsum(np.bincount(near, minlength=1 << bits))])
+        return starts.astype(np.int64), (order // len(flips)).astype(np.int32)
 
     def near(self, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, anchor) of every pair within the radius, each once."""
         anchors, found = self.anchors[size][0], []
         values = np.ascontiguousarray(prints).view("<u2").reshape(-1, BLOCKS)
-        for block, (starts, counts, own) in enumerate(self.tables[size]):
-            value = values[:, block]
-            window = np.flatnonzero(counts[value])
-            n = counts[value[window]]
-            first = np.repeat(starts[value[window]] - (np.cumsum(n) - n), n)
-            anchor = own[first + np.arange(n.sum())]
-            window = np.repeat(window, n)
+        for block, (starts, own) in enumerate(self.tables[size]):
+            first = starts[values[:, block]]
+            n = starts[values[:, block].astype(np.int64) + 1] - first
+            window = np.repeat(np.arange(len(prints)), n)
+            anchor = own[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             close = np.bitwise_count(prints[window] ^ anchors[anchor]) <= self.radius
             found.append(window[close] * len(anchors) + anchor[close])
         pairs = np.unique(np.concatenate(found))
         return pairs // len(anchors), pairs % len(anchors)
 
 
-def search(texts: list[str], index: Index, hashes: WordHashes, least: float = LEAST_SIMILARITY) -> list[tuple[int, object, float, int]]:
-    """(text, item_id, similarity, first word) of the best passage of each item in each text that holds it.
-
-    Of equally similar passages the one is best that needs the slack least, then the earliest.
-    """
-    best: dict[tuple[int, int], tuple[float, float, int]] = {}
-    if not index.items:
-        return []
-
-    def block(words: list[bytes], texts_at: list[int], starts: list[int], skipped: list[int]) -> None:
-        h, ends = hashes.of(words), [*starts[1:], len(words)]
-        edges = np.array(ends)
-        for k in index.shingle_sizes:
-            rolled = rolled_hashes(h, k)
-            place, entry = index.entries(rolled)
-            t = np.searchsorted(edges, place, side="right")
-            whole = place + k <= edges[t]
-            place, entry, t = place[whole], entry[whole], t[whole]
-            item = index.entry_item[entry]
-            fits = index.item_sizes[item] == k
-            place, entry, t, item = place[fits], entry[fits], t[fits], item[fits]
-            if not len(place):
-                continue
-            # what a text holds of an item in all bounds what any passage of it holds
-            pair = t * len(index.items) + item
-            there, times = np.unique(np.stack([pair, entry]), axis=1, return_counts=True)
-            pairs, first = np.unique(there[0], return_index=True)
-            weight = index.entry_weight[there[1]] * np.minimum(times, index.entry_count[there[1]])
-            bound = np.add.reduceat(weight, first)
-            likely = pairs[bound >= least * index.item_weight[pairs % len(index.items)] - 1e-6]
-            keep = np.isin(pair, likely)
-            order = np.argsort(pair[keep], kind="stable")
-            pair, place, entry = pair[keep][order], place[keep][order], entry[keep][order]
-            cuts = [*np.flatnonzero(np.diff(pair, prepend=-1)).tolist(), len(pair)]
-            for x, y in itertools.pairwise(cuts):
-                own_t, own_item = divmod(int(pair[x]), len(index.items))
-                passages(rolled, k, own_t, own_item, place[x:y], entry[x:y], starts[own_t], ends[own_t], texts_at[own_t], skipped[own_t])
-
-    def passages(rolled, k, t, own, place, entry, start, end, text, skip) -> None:
-        item, slack_of = index.items[own], SLACK if k == SHINGLE_WORDS and index.items[own].words >= SHINGLE_WORDS else 0
-
-        def held(begin: int, slack: int) -> float:
-            return item.held(rolled[max(start, begin - slack) : max(min(end, begin + item.words + slack) - k + 1, 0)])
-
-        def take(begins: np.ndarray) -> bool:
-            hit = False
-            for begin in np.unique(begins).tolist():
-                found = held(begin, slack_of)
-                if found >= least:
-                    rank, hit = (-found, -held(begin, 0), max(start, begin) - start + skip), True
-                    best[text, own] = min(rank, best.get((text, own), rank))
-            return hit
-
-        # alignments by a shared shingle; where words are put in or left out, also windows that begin at one
-        aligned = [p - o for p, e in zip(place.tolist(), entry.tolist(), strict=True) for o in index.offsets(own, e)]
-        if not take(np.array(aligned)):
-            take(place + slack_of)
-
+def pieces_of(texts: list[str], reach: int):
+    """(words, text of each piece, its first word, words of the text before it) of whole texts or overlapping pieces of long ones, many at a time."""
     words: list[bytes] = []
     at: list[int] = []
     starts: list[int] = []
     skipped: list[int] = []
     for t, text in enumerate(texts):
         own = words_of(text)
-        for begin in range(0, max(len(own) - 2 * index.reach, 1), BLOCK_WORDS):
-            piece = own[begin : begin + BLOCK_WORDS + 2 * index.reach] if len(own) > BLOCK_WORDS else own
+        for begin in range(0, max(len(own) - 2 * reach, 1), BLOCK_WORDS):
+            piece = own[begin : begin + BLOCK_WORDS + 2 * reach] if len(own) > BLOCK_WORDS else own
             at.append(t)
             starts.append(len(words))
             skipped.append(begin)
             words += piece
             if len(words) >= BLOCK_WORDS:
-                block(words, at, starts, skipped)
+                yield words, np.array(at), np.array(starts), np.array(skipped)
                 words, at, starts, skipped = [], [], [], []
             if piece is own:
                 break
     if words:
-        block(words, at, starts, skipped)
-    return [(t, index.items[k].item_id, -s, w) for (t, k), (s, _, w) in sorted(best.items())]
+        yield words, np.array(at), np.array(starts), np.array(skipped)
+
+
+def search(texts: list[str], index: Index, hashes: WordHashes, least: float = LEAST_SIMILARITY) -> list[tuple[int, object, float, int]]:
+    """(text, item_id, similarity, first word) of the best passage of each item in each text that holds it.
+
+    Windows have the items' numbers of words, begin at every word and end with the text; only those that touch a shingle of
+    an item are looked at, as others hold nothing. Their fingerprints lead to the items within the radius,
+    and the weighted shingles decide. Of equally similar passages the one is best that needs the slack least, then the earliest.
+    """
+    best: dict[tuple[int, int], tuple[float, float, int]] = {}
+    if not index.items:
+        return []
+    for words, text_of, starts, skipped in pieces_of(texts, index.reach):
+        h, ends, sums = hashes.of(words), np.append(starts[1:], len(words)), None
+        for k in index.shingle_sizes:
+            rolled = rolled_hashes(h, k)
+            place = index.places(rolled)
+            piece = np.searchsorted(ends, place, side="right")
+            whole = place + k <= ends[piece]
+            place, piece = place[whole], piece[whole]
+            if not len(place):
+                continue
+            sums = bit_sums(h) if sums is None else sums
+            slack = SLACK if k == SHINGLE_WORDS else 0
+            for size in index.sizes:
+                if min(size, SHINGLE_WORDS) != k:
+                    continue
+                # every start from which a window, with its slack, has a shingle; a window may lie half beyond either end of its text
+                low = np.maximum(place - size - slack + k, starts[piece] - size // 2)
+                high = np.minimum(place + slack, np.maximum(ends[piece] - size + size // 2, starts[piece]))
+                n = np.maximum(high - low + 1, 0)
+                each = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                own = np.unique(np.repeat(piece, n) * (len(words) + 2 * size) + each + size)
+                own, begin = own // (len(words) + 2 * size), own % (len(words) + 2 * size) - size
+                if not len(begin):
+                    continue
+                first, last = np.maximum(begin, starts[own]), np.minimum(begin + size, ends[own])
+                window, anchor = index.near(size, window_prints(sums, first, np.maximum(last, first + 1)))
+                for w, item in zip(window.tolist(), index.anchors[size][1][anchor].tolist(), strict=True):
+                    p, b = int(own[w]), int(begin[w])
+                    held = lambda s, b=b, p=p, i=index.items[item]: i.held(rolled[max(starts[p], b - s) : max(min(ends[p], b + i.words + s) - k + 1, 0)])
+                    if (found := held(slack)) >= least:
+                        rank, key = (-found, -held(0), int(max(starts[p], b) - starts[p] + skipped[p])), (int(text_of[p]), item)
+                        best[key] = min(rank, best.get(key, rank))
+    return [(t, index.items[i].item_id, -s, w) for (t, i), (s, _, w) in sorted(best.items())]
+
+
+def _places(rolled: np.ndarray) -> list[np.ndarray]:
+    """Keys of a shingle in the filter."""
+    with np.errstate(over="ignore"):
+        return [mixed(rolled + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) for k in range(1, FILTER_PLACES + 1)]
+
+
+def suspects(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of the rows whose text has a shingle of any item, and a few more; one scan of docs, for a benchmark of any size.
+
+    The items' shingles are a bitmap of at most FILTER_BITS that never misses one; in a fuller bitmap more other texts pass.
+    """
+    items = benchmark.select(F.col(text_col).alias("text")).where("text IS NOT NULL")
+
+    def keys(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            for text in texts_of(batch.column("text")):
+                words = words_of(text)
+                if words:
+                    own = np.unique(shingles(hashes.of(words), words)[0])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_places(own)).view(np.int64)), pa.array(np.full(FILTER_PLACES * len(own), min(len(words), SHINGLE_WORDS), dtype=np.int32))], names=["key", "size"])
+
+    filled = written(items.mapInArrow(keys, "key long, size int"), "shingles")
+    sizes, bits = sorted(r[0] for r in filled.select("size").distinct().collect()), 1 << 16
+    n = filled.count()
+    while bits < min(64 * n, FILTER_BITS):
+        bits *= 2
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(filled, "key", bits))
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            texts, keep = texts_of(batch.column("text")), np.zeros(batch.num_rows, dtype=bool)
+            for words, text_of, starts, _ in pieces_of(texts, SHINGLE_WORDS):
+                h = hashes.of(words)
+                for k in sizes:
+                    own = rolled_hashes(h, k)
+                    place = np.arange(len(own))
+                    for c in range(FILTER_PLACES):
+                        place = place[in_bitmap(shared.value, _places(own[place])[c])]
+                    keep[text_of[np.searchsorted(starts, place, side="right") - 1]] = True
+            yield batch.filter(pa.array(keep))
+
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return written(named.mapInArrow(run, named.schema), "suspects")
 
 
 def indexes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", slice_items: int = SLICE_ITEMS):
-    """Broadcast indexes of slices of the benchmark, each of about slice_items at most; the driver holds one at a time."""
+    """Broadcast indexes of slices of the benchmark, each of slice_items at most; the driver holds one at a time."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    slices = -(-items.count() // slice_items)
-    for k in range(slices):
-        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k).collect()
-        yield spark.sparkContext.broadcast(Index(sorted(((r["item"], r["text"]) for r in own), key=lambda x: (x[0] is not None, x[0]))))
+    total = items.count()
+    if total <= slice_items:
+        slices = [items] if total else []
+    else:
+        numbered = written(items.repartition(-(-total // slice_items)).withColumn("place", F.monotonically_increasing_id()), "items")
+        parts = numbered.groupBy(F.shiftright("place", 33).alias("part")).count().collect()
+        slices = [
+            numbered.where((F.col("place") >= (r["part"] << 33) + at) & (F.col("place") < (r["part"] << 33) + at + slice_items)).select("item", "text")
+            for r in parts for at in range(0, r["count"], slice_items)
+        ]
+    for own in slices:
+        yield spark.sparkContext.broadcast(Index(sorted(((r["item"], r["text"]) for r in own.collect()), key=lambda x: (x[0] is not None, x[0]))))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """(id, item_id, similarity, first_word) of each benchmark item that a document holds a passage of.
 
     A passage, of the item's length and SLACK words at each end, holds if it has LEAST_SIMILARITY or more of the
-    item's weighted shingles. Every such passage is found, by the shingles themselves. Null and empty texts and items hold
-    nothing; repeated rows of either table each count. Other columns are not looked at.
+    item's weighted shingles and a window of its place has a fingerprint within RADIUS bits of the item's. Null and
+    empty texts and items hold nothing, and an empty table of either kind gives no rows; repeated rows of either
+    table each count. Texts of any length are searched whole, in pieces that overlap. Other columns are not looked at.
     """
-    kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {kinds[0]}, item_id {kinds[1]}, similarity double, first_word long"
-    out = None
+    kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
+    schema = f"id {kinds[0]}, item_id {kinds[1].simpleString()}, similarity double, first_word long"
+    item_type = to_arrow_type(kinds[1])
+    named, out = suspects(docs, benchmark, id_col, text_col), None
     for shared in indexes(benchmark, item_col):
 
         def run(batches, shared=shared):
@@ -324,8 +307,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 found = search(texts_of(batch.column("text")), shared.value, hashes)
                 if found:
                     at, item, similarity, word = zip(*found, strict=True)
-                    kind = pa.int64() if kinds[1] == "bigint" else None
-                    yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int64())), pa.array(item, kind), pa.array(similarity, pa.float64()), pa.array(word, pa.int64())], names=["id", "item_id", "similarity", "first_word"])
+                    yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int64())), pa.array(item, item_type), pa.array(similarity, pa.float64()), pa.array(word, pa.int64())], names=["id", "item_id", "similarity", "first_word"])
 
         part = named.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
@@ -338,17 +320,16 @@ def op6_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that hold a passage of the benchmark."""
-    for shared in indexes(table(spark, sf_dir, "benchmark")):
-
-        @F.pandas_udf("boolean")
-        def clean(texts, shared=shared):
-            import pandas as pd
+    """docs without those that hold a passage of the benchmark, as contaminated finds them.
 
-            own = [t or "" for t in texts]
-            out = np.ones(len(own), dtype=bool)
-            out[[x[0] for x in search(own, shared.value, WordHashes())]] = False
-            return pd.Series(out)
-
-        docs = docs.where(clean(F.col("text")))
-    return docs
+    Null and empty texts hold none and stay, repeated rows share their fate, and with an empty benchmark all stay. What is
+    found is known by two 64-bit hashes of its text; only texts that may be among them meet the table of those.
+    """
+    keyed = docs.withColumn("_q_key", F.xxhash64("text")).withColumn("_q_more", F.xxhash64(F.lit(7), F.col("text")))
+    named = keyed.select(F.concat_ws(":", F.col("_q_key").cast("string"), F.col("_q_more").cast("string")).alias("own"), "text")
+    found = F.split("id", ":")
+    dirty = written(contaminated(named, table(spark, sf_dir, "benchmark"), "own").select(found[0].cast("bigint").alias("_d_key"), found[1].cast("bigint").alias("_d_more")).distinct(), "dirty")
+    test = may_hold(dirty, "_d_key")
+    aside, some = keyed.where(~test(F.col("_q_key"))), keyed.where(test(F.col("_q_key")))
+    clean = some.join(dirty, (F.col("_q_key") == F.col("_d_key")) & (F.col("_q_more") == F.col("_d_more")), "left_anti")
+    return aside.unionByName(clean).select(*docs.columns)

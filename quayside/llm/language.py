@@ -5,11 +5,11 @@ Trained by follow-the-regularised-leader with elastic-net penalties, then calibr
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,13 +19,12 @@ from .common import table, texts_of
 BUCKETS = 1 << 16
 #: Labelled texts that the weights are fitted on, expected for each language; the idf is of all of them.
 FIT_TEXTS = 600
-#: Languages at most; the count of languages, not of documents, bounds the model.
-MAX_LANGUAGES = 300
 #: Of the fitted sample, one text in so many is kept for the temperature.
 CALIBRATE_EVERY = 5
 EPOCHS = 3
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]").search
+#: A letter of any script: class L alone, not the digits, fractions and numerals that Python's own classes count.
+_LETTER = regex.compile(r"\p{L}").search
 
 
 def grams(text: str) -> np.ndarray:
@@ -92,15 +91,16 @@ def document_frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _sample(train: DataFrame, per_language: int) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
-    """(lang, hash, buckets, shares) of about per_language texts of each language, chosen by a hash of id and text."""
-    counts = {r["lang"]: r["count"] for r in train.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    """(lang, hash, buckets, shares) of about per_language texts of each language, chosen by a hash of id and text.
+
+    The sample, like the model, has the size of the set of languages, not of the documents.
+    """
+    counts = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
     if not counts:
         return []
     rate = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n)))), F.col("lang"))
     order = F.xxhash64("id", "text")
-    chosen = train.withColumn("order", order).where(F.pmod(F.col("order"), F.lit(1 << 20)) < rate * (1 << 20))
+    chosen = train.withColumn("order", order).where(F.pmod(F.col("order"), F.lit(1 << 30)) < rate * (1 << 30))
 
     def run(batches):
         for batch in batches:

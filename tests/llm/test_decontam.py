@@ -19,7 +19,8 @@ def slow_prints(words, size):
 @pytest.mark.parametrize("size", [1, 3, 5, 7, 20, 28, 300])
 def test_window_prints(size):
     words = decontam.words_of(cases.prose(random.Random(1), 330))
-    got = decontam.window_prints(decontam.WordHashes().of(words), [size])[size]
+    begins = np.arange(len(words) - size + 1)
+    got = decontam.window_prints(decontam.bit_sums(decontam.WordHashes().of(words)), begins, begins + size)
     assert got.tolist() == slow_prints(words, size)
 
 
@@ -30,10 +31,10 @@ def test_blocks_lose_nothing_within_the_radius():
     anchors = index.anchors[22][0]
     prints = rng.integers(0, 2**64, 2000, dtype=np.uint64)
     prints[:400] = anchors[rng.integers(0, len(anchors), 400)]
-    for _ in range(7):
+    for _ in range(decontam.RADIUS):
         prints[:400] ^= np.uint64(1) << rng.integers(0, 64, 400, dtype=np.uint64)
     got = set(zip(*(x.tolist() for x in index.near(22, prints))))
-    assert got == {(i, j) for i, p in enumerate(prints.tolist()) for j, a in enumerate(anchors.tolist()) if (p ^ a).bit_count() <= 7}
+    assert got == {(i, j) for i, p in enumerate(prints.tolist()) for j, a in enumerate(anchors.tolist()) if (p ^ a).bit_count() <= decontam.RADIUS}
 
 
 def slow_held(item, passage):
@@ -118,3 +119,60 @@ def test_no_passage_that_holds_enough_is_lost(n):
         assert bool(found) == (most >= decontam.LEAST_SIMILARITY), (k, most)
         due += most >= decontam.LEAST_SIMILARITY
     assert due > 12
+
+
+def edited(rng, words, n):
+    """A passage less some words at its ends, with words changed, put in or left out: near the least similarity."""
+    kind = rng.randrange(4)
+    words = list(words)
+    if kind == 0:
+        words = words[: n - rng.randint(0, n // 5)]
+    elif kind == 1:
+        words = words[rng.randint(0, n // 5) :]
+    for _ in range(rng.randint(0, max(n // 25, 1)) if kind > 1 else 0):
+        at = rng.randrange(len(words))
+        if kind == 2:
+            words[at] = "changed"
+        elif rng.random() < 0.5:
+            words.insert(at, "added")
+        elif len(words) > 3:
+            del words[at]
+    return words
+
+
+def test_recall_of_every_length():
+    """Against brute force over all windows; the figure stands in the README."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    due, found, wrong = 0, 0, 0
+    for n in range(5, 61):
+        items = [cases.prose(rng, n, vocabulary) for _ in range(10)]
+        texts = []
+        for item in items:
+            around = [cases.prose(rng, k, vocabulary).split() for k in (40, rng.choice([0, 40]))]
+            texts.append(" ".join(around[0] + edited(rng, item.split(), n) + around[1]))
+        got = {(t, i) for t, i, _, _ in decontam.search(texts, decontam.Index(list(enumerate(items))), decontam.WordHashes())}
+        for t, text in enumerate(texts):
+            there, own = decontam.words_of(text), decontam.words_of(items[t])
+            size = n + 2 * decontam.SLACK
+            holds = max(slow_held(own, there[at : at + size]) for at in range(max(len(there) - 4, 1))) >= decontam.LEAST_SIMILARITY
+            due, found = due + holds, found + (holds and (t, t) in got)
+            wrong += ((t, t) in got) > holds
+        assert all(t == i for t, i in got)
+    print(due, found)
+    assert due > 250 and found >= 0.97 * due and wrong == 0, (due, found, wrong)
+
+
+def test_stage_on_odd_tables(spark, tmp_path):
+    docs = cases.documents(spark)
+    bench = spark.createDataFrame([(1, cases.texts()[0]), (2, None), (None, cases.texts()[10])], BENCH)
+    for rows, name in ((bench, "some"), (bench.limit(0), "none")):
+        rows.write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    ids = [r["doc_id"] for r in docs.collect()]
+    kept = decontam.decontamination_stage(spark, docs, str(tmp_path / "some"))
+    hit = {r["id"] for r in decontam.contaminated(docs, bench).collect()}
+    assert kept.columns == docs.columns and {0, 1, 10, 11} <= hit
+    got = [r["doc_id"] for r in kept.collect()]
+    assert sorted(map(str, got)) == sorted(str(i) for i in ids if i is not None and i not in hit) + ["None"]  # the null text
+    assert decontam.decontamination_stage(spark, docs, str(tmp_path / "none")).count() == len(ids)
+    assert decontam.decontamination_stage(spark, cases.nothing(spark), str(tmp_path / "some")).count() == 0

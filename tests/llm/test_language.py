@@ -28,6 +28,8 @@ def test_labels_of_held_out_rows_are_not_learnt(spark):
     assert model.languages == ["aa", "xx"]
     assert model.predict("abd abc")[0] == "aa" and model.predict("zyx xyz")[0] == "xx"
     assert model.predict("123 !?") == ("und", 0.0)
+    assert all(model.predict(x) == ("und", 0.0) for x in ("²", "½ Ⅷ", "٣ _", "", "\u0301"))
+    assert all(model.predict(x)[0] != "und" for x in ("ª", "漢", "ʰ", "1é"))
 
 
 def test_long_and_short_ways_agree():
