@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -205,23 +206,61 @@ def search(texts: list[str], index: Index, hashes: WordHashes, least: float = LE
                 # every start from which a window, with its slack, has a shingle; a window may lie half beyond either end of its text
                 low = np.maximum(place - size - slack + k, starts[piece] - size // 2)
                 high = np.minimum(place + slack, np.maximum(ends[piece] - size + size // 2, starts[piece]))
-                n = np.maximum(high - low + 1, 0)
-                each = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                own = np.unique(np.repeat(piece, n) * (len(words) + 2 * size) + each + size)
-                own, begin = own // (len(words) + 2 * size), own % (len(words) + 2 * size) - size
+                own, begin = _union(piece, low, high)
                 if not len(begin):
                     continue
                 first, last = np.maximum(begin, starts[own]), np.minimum(begin + size, ends[own])
                 window, anchor = index.near(size, window_prints(sums, first, np.maximum(last, first + 1)))
-                for w, item in zip(window.tolist(), index.anchors[size][1][anchor].tolist(), strict=True):
-                    p, b = int(own[w]), int(begin[w])
-                    held = lambda s, b=b, p=p, i=index.items[item]: i.held(rolled[max(starts[p], b - s) : max(min(ends[p], b + i.words + s) - k + 1, 0)])
-                    if (found := held(slack)) >= least:
-                        rank, key = (-found, -held(0), int(max(starts[p], b) - starts[p] + skipped[p])), (int(text_of[p]), item)
+                item = index.anchors[size][1][anchor]
+                order = np.lexsort((window, item, own[window]))
+                cuts = np.flatnonzero(np.diff(own[window[order]] * len(index.items) + item[order], prepend=-1)).tolist()
+                for x, y in itertools.pairwise([*cuts, len(order)]):
+                    p, i = int(own[window[order[x]]]), int(item[order[x]])
+                    found = _best_window(index.items[i], rolled, k, slack, begin[window[order[x:y]]], int(starts[p]), int(ends[p]), least)
+                    if found:
+                        rank, key = (-found[0], -found[1], found[2] - int(starts[p]) + int(skipped[p])), (int(text_of[p]), i)
                         best[key] = min(rank, best.get(key, rank))
     return [(t, index.items[i].item_id, -s, w) for (t, i), (s, _, w) in sorted(best.items())]
 
 
+def _union(piece: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, number) of every number in the intervals from low to high, which do not fall within a piece, each once."""
+    some = high >= low
+    piece, low, high = piece[some], low[some], high[some]
+    if not len(low):
+        return piece, low
+    before = np.concatenate([[False], piece[1:] == piece[:-1]])
+    low = np.where(before, np.maximum(low, np.concatenate([[0], high[:-1]]) + 1), low)
+    n = np.maximum(high - low + 1, 0)
+    return np.repeat(piece, n), np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _best_window(item: Item, rolled: np.ndarray, k: int, slack: int, begins: np.ndarray, start: int, end: int, least: float) -> tuple[float, float, int] | None:
+    """(similarity, that without slack, first word) of the best of the windows of an item in a text, or None if none is similar.
+
+    The weights of all of the item's shingles in a window bound what it holds, as repeats beyond the item's
+    count less; windows are taken by falling bounds until no other can be the best.
+    """
+    own = rolled[start : max(end - k + 1, start)]
+    at = np.searchsorted(item.shingles, own)
+    at[at == len(item.shingles)] = 0
+    weight = np.where(item.shingles[at] == own, item.weights[at] / item.counts[at], 0.0)
+    sums = np.concatenate([[0.0], np.cumsum(weight)])
+    a, b = np.clip(begins - slack - start, 0, len(own)), np.clip(begins + item.words + slack - k + 1 - start, 0, len(own))
+    bound = (sums[np.maximum(a, b)] - sums[a]) / item.weights.sum()
+    best = None
+    for w in np.argsort(-bound, kind="stable").tolist():
+        if bound[w] < (least if best is None else -best[0]) - 1e-9:
+            break
+        held = item.held(own[a[w] : max(b[w], a[w])])
+        if held >= least:
+            begin = int(begins[w])
+            exact = item.held(rolled[max(start, begin) : max(min(end, begin + item.words) - k + 1, 0)])
+            rank = (-held, -exact, max(start, begin))
+            best = rank if best is None else min(best, rank)
+    return None if best is None else (-best[0], -best[1], best[2])
+
+
 def _places(rolled: np.ndarray) -> list[np.ndarray]:
     """Keys of a shingle in the filter."""
     with np.errstate(over="ignore"):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import re
 
 import numpy as np
@@ -21,7 +22,7 @@ END_WORDS = (6, 12, 24, 48, 96, 192, 384)
 VOTING_BYTES = 4
 RADIUS = 4
 #: Bits that lines with the same words at one end may differ in to be compared.
-WIDE_RADIUS = 12
+WIDE_RADIUS = 10
 LEAST_SIMILARITY = 0.8
 #: Lines of one group that are compared in one task; larger groups are split into blocks.
 GROUP_ROWS = 256
@@ -74,10 +75,16 @@ def line_hashes(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def line_prints(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Fingerprints of lines, each of one word or more."""
-    starts = np.cumsum(sizes) - sizes
+    """Fingerprints of lines, each of one word or more; a word that a line repeats has one vote."""
+    line = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+    bits = np.uint64(max(len(sizes).bit_length(), 1))
+    order = np.argsort(line << (np.uint64(64) - bits) | words >> bits)
+    line, words = line[order], words[order]
+    new = np.concatenate([[True], (line[1:] != line[:-1]) | (words[1:] != words[:-1])])
+    line, words = line[new].astype(np.int64), words[new]
+    sizes = np.bincount(line, minlength=len(sizes))
     votes = (words & np.uint64(1)).astype(bool)
-    own = np.add.reduceat(votes, starts, dtype=np.int64)
+    own = np.add.reduceat(votes, np.cumsum(sizes) - sizes, dtype=np.int64)
     votes |= np.repeat(own == 0, sizes)
     own = np.where(own == 0, sizes, own)
     return majority(vote_counts(mixed(words[votes]), np.cumsum(own) - own), own)
@@ -172,8 +179,11 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return named.mapInArrow(run, f"id {kind}, text_key long, line int, hash binary, fp long, ends array<long>")
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance: common ends are cut off, the rest is bit-parallel in whole numbers of any length."""
+def edit_distance(a: str, b: str, most: float = math.inf) -> int:
+    """Levenshtein distance: common ends are cut off, the rest is bit-parallel in whole numbers of any length.
+
+    Ends early, with some number over most, once what is left of b can no longer bring the distance down to most.
+    """
     if len(a) > len(b):
         a, b = b, a
     begin, n = 0, len(a)
@@ -190,12 +200,14 @@ def edit_distance(a: str, b: str) -> int:
         where[c] = where.get(c, 0) | 1 << i
     mask, top = (1 << len(a)) - 1, 1 << len(a) - 1
     up, down, distance = mask, 0, len(a)
-    for c in b:
+    for left, c in zip(range(len(b) - 1, -1, -1), b, strict=True):
         equal = where.get(c, 0)
         vertical = equal | down
         level = ((equal & up) + up ^ up) | equal
         higher, lower = down | mask & ~(level | up), up & level
         distance += bool(higher & top) - bool(lower & top)
+        if distance - left > most:
+            return distance - left
         higher = (higher << 1 | 1) & mask
         up, down = (lower << 1) & mask | mask & ~(vertical | higher), higher & vertical
     return distance
@@ -203,7 +215,8 @@ def edit_distance(a: str, b: str) -> int:
 
 def similar(a: str, b: str, least: float = LEAST_SIMILARITY) -> bool:
     longest = max(len(a), len(b))
-    return abs(len(a) - len(b)) <= (1 - least) * longest and edit_distance(a, b) <= (1 - least) * longest + 1e-9
+    most = (1 - least) * longest + 1e-9
+    return abs(len(a) - len(b)) <= most and edit_distance(a, b, most) <= most
 
 
 def numbers(line: str) -> int:

@@ -23,7 +23,9 @@ def levenshtein(a, b):
 @settings(max_examples=300, deadline=None)
 @given(st.text("abé ", max_size=25), st.text("abé ", max_size=25))
 def test_edit_distance(a, b):
-    assert lines.edit_distance(a, b) == levenshtein(a, b)
+    d = levenshtein(a, b)
+    assert lines.edit_distance(a, b) == d
+    assert all((lines.edit_distance(a, b, most) <= most) == (d <= most) for most in (0, 2, 5, 10))
 
 
 def slow_word(word):
@@ -32,7 +34,7 @@ def slow_word(word):
 
 
 def slow_print(words):
-    voting = [w for w in words if len(w) >= lines.VOTING_BYTES] or words
+    voting = [w for w in set(words) if len(w) >= lines.VOTING_BYTES] or list(set(words))
     own = [int(lines.mixed(np.array([slow_word(w)], dtype=np.uint64))[0]) for w in voting]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > len(own))
 
