@@ -20,8 +20,8 @@ STAGE_SHINGLE_WORDS, LEAST_SIMILARITY = 5, 0.8
 #: have twice, four times, ... as many words; a text has four parts at least, or none.
 PART_WORDS, PART_RADIUS = 6, 3
 #: Bits that the fingerprints of whole texts may differ in where a part is near. Texts that share 0.8 of their shingles
-#: differ in 2 to 4 of 100 words, which is 4 to 8 bits on average.
-WHOLE_RADIUS = 18
+#: differ in about 5 of 100 pairs of words, which is 6 or 7 bits on average; unlike texts differ in 32.
+WHOLE_RADIUS = 16
 #: Texts of a group that one task compares; larger groups are split into blocks.
 GROUP_ROWS = 256
 #: Reference fingerprints that are spread over all bits, beside those of the blocks.
@@ -142,7 +142,7 @@ class WordHashes(dict):
 
 
 def part_prints(text: str, hashes: WordHashes) -> list[int]:
-    """SimHash of the words of a text, A-Z in lower case, then of its parts.
+    """SimHash of the pairs of neighbouring words of a text, A-Z in lower case, each pair once, then of its parts.
 
     Parts are runs of equal length, counted from the beginning in the first half of a text and from the end in the second, so
     that words put in or left out at one place move no part before or after it. Texts just above a step of the
@@ -153,6 +153,8 @@ def part_prints(text: str, hashes: WordHashes) -> list[int]:
     if not n:
         return []
     own = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=n)
+    with np.errstate(over="ignore"):
+        own = mixed(own * np.uint64(0x9E3779B97F4A7C15) + np.append(own[1:], np.uint64(0)))
     step = PART_WORDS
     while 8 * step <= n:
         step *= 2
@@ -160,7 +162,8 @@ def part_prints(text: str, hashes: WordHashes) -> list[int]:
     p = n // 2 // least if n >= 4 * PART_WORDS else 0
     cuts = [least * k for k in range(p)] + [least * p] * (2 * least * p < n) + [n - least * k for k in range(p, 0, -1)]
     counts = vote_counts(own, np.array(cuts))
-    fps = [majority(counts.sum(axis=0)[None, :], np.array([n]))]
+    every = np.unique(own)
+    fps = [majority(vote_counts(every, np.zeros(1, dtype=np.int64)), np.array([len(every)]))]
     if p:
         q = p // 2
         levels = [(least, counts[:p], counts[-p:])]
