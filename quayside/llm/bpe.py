@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import table, texts_of
 
 #: Pre-tokens whose ids a Python worker keeps between texts, at most twice as many. About 0.2 KB each.
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 200_000
 #: Keys of one bucket of the perfect hash, on average.
 BUCKET_KEYS = 2
 #: Characters on which the classes of Python's re and of \p{L}, \p{N} and \s surely agree, as ranges.

@@ -130,23 +130,22 @@ class Index:
         return np.flatnonzero(self.shingles[at] == rolled)
 
     def _by_value(self, prints: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each value of a block the anchors whose block is near enough: where they start, and the anchors."""
+        """The values of a block that are near enough to that of an anchor, sorted, and their anchors."""
         bits, most = 64 // BLOCKS, self.radius // BLOCKS
         every = np.arange(1 << bits, dtype=np.uint64)
         flips = every[np.bitwise_count(every) <= most]
         value = prints >> np.uint64(bits * block) & np.uint64((1 << bits) - 1)
         near = (value[:, None] ^ flips[None, :]).astype(np.uint16).reshape(-1)
         order = np.argsort(near, kind="stable")
-        starts = np.concatenate([[0], np.cumsum(np.bincount(near, minlength=1 << bits))])
-        return starts.astype(np.int64), (order // len(flips)).astype(np.int32)
+        return near[order], (order // len(flips)).astype(np.int32)
 
     def near(self, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, anchor) of every pair within the radius, each once."""
         anchors, found = self.anchors[size][0], []
         values = np.ascontiguousarray(prints).view("<u2").reshape(-1, BLOCKS)
-        for block, (starts, own) in enumerate(self.tables[size]):
-            first = starts[values[:, block]]
-            n = starts[values[:, block].astype(np.int64) + 1] - first
+        for block, (value, own) in enumerate(self.tables[size]):
+            first = np.searchsorted(value, values[:, block], side="left")
+            n = np.searchsorted(value, values[:, block], side="right") - first
             window = np.repeat(np.arange(len(prints)), n)
             anchor = own[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             close = np.bitwise_count(prints[window] ^ anchors[anchor]) <= self.radius

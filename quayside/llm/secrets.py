@@ -18,8 +18,8 @@ KINDS: tuple[tuple[str, str, int, int], ...] = (
 #: What a document must hold for the slower search of a kind to be worth while; implied by the kind's pattern.
 _HINTS = {"assign": r"(?i:passw|secret|token|api_?key)", "access": "AKIA[A-Z0-9]", "hex": "[0-9a-f]{16}", "live": "[A-Za-z0-9+/_=-]{24}"}
 BASE_KINDS = 3
-#: A secret that so many owners hold is a copied example.
-COPIED_OWNERS = 3
+#: A secret that so many owners hold, or one owner in so many repositories, is a copied example.
+COPIED_OWNERS, COPIED_REPOS = 3, 20
 
 
 def _hits(text: Column, kind: int) -> Column:
@@ -62,16 +62,19 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.join(repos, "secret")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", copied_owners: int = COPIED_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS) -> DataFrame:
     """(id, spans) for every row; spans are (start, kind, end, secret, owners, repos, copied), by start and kind.
 
     Matches of the base kinds stay whatever their ownership; of the kind live only those stay that fewer
-    than copied_owners owners hold. copied tells the two apart for every span. Null and empty texts have no
+    than copied_owners owners hold, in fewer than copied_repos repositories. copied tells the two apart for every span. Null and empty texts have no
     spans; repeated rows keep their rows; other columns are not looked at.
     """
     found = written(candidates(docs, id_col, text_col, repo_col, owner_col), "candidates")
     freq = written(ownership(found), "ownership")
-    known = found.join(freq, "secret", "left").withColumn("copied", F.coalesce(F.col("owners") >= copied_owners, F.lit(False)))
+    held = found.where("secret IS NOT NULL").join(freq, "secret", "left")
+    none = found.where("secret IS NULL").withColumn("owners", F.lit(None).cast("bigint")).withColumn("repos", F.lit(None).cast("bigint"))
+    copied = F.coalesce((F.col("owners") >= copied_owners) | (F.col("repos") >= copied_repos), F.lit(False))
+    known = held.unionByName(none).withColumn("copied", copied)
     span = F.when((F.col("kind") < BASE_KINDS) | ((F.col("kind") >= BASE_KINDS) & ~F.col("copied")), F.struct("start", "kind", "end", "secret", "owners", "repos", "copied"))
     return known.groupBy("row", "id").agg(F.array_sort(F.collect_list(span)).alias("spans")).drop("row")
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..sources.shared import shared_dir
 from .common import table
 
 SLOTS = 8192
@@ -107,9 +109,17 @@ def assign(placed: DataFrame, entries: list[tuple]) -> DataFrame:
 
 
 def op4_virtual_slot_shards(spark, sf_dir: str) -> DataFrame:
+    """The records by version 0 of a stored map; grown_slot_shard is the shard of version 1, with one shard more.
+
+    Version 0 is stored and read again, then edited for a forty-first shard and stored as version 1.
+    """
     placed = records(table(spark, sf_dir, "documents"))
-    found = assign(placed, first_map(slot_sizes(placed)))
-    return found.select(
+    path = f"{shared_dir(spark)}/quayside/slot-map-{uuid.uuid4().hex}"
+    save_map(spark, first_map(slot_sizes(placed)), path)
+    save_map(spark, grown_map(load_map(spark, path)), path)
+    found = assign(placed, load_map(spark, path, 0))
+    grown = F.broadcast(spark.createDataFrame(load_map(spark, path), MAP_SCHEMA).select("virtual_slot", F.col("shard").alias("grown_slot_shard"), F.col("version").alias("grown_version")))
+    return found.join(grown, "virtual_slot").select(
         F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(0).alias("map_version"),
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(0).alias("map_version"), "grown_slot_shard", "grown_version",
     )
