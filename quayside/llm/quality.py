@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, texts_of
+from .common import table, texts_of, written
 
 WINDOW_WORDS = 8
 #: The rules in the order of their bits. Each is a condition on the measurements under which a text fails.
@@ -114,10 +114,18 @@ def ablation(entries: DataFrame, version: int = CURRENT) -> DataFrame:
     )
 
 
+def without(rule: str, version: int = CURRENT) -> Column:
+    """Whether a policy less one rule keeps a text."""
+    return F.col("failure_bits").bitwiseAND(F.lit(mask_of(tuple(r for r in POLICIES[version] if r != rule))).cast("long")) == 0
+
+
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
-    entries = ledger(table(spark, sf_dir, "documents"))
+    """The stored ledger of documents under every policy. due_to names the rule without which the current policy would keep a text."""
+    entries = written(ledger(table(spark, sf_dir, "documents")), "ledger")
     base_failed = F.col("failure_bits").bitwiseAND(F.lit(mask_of(BASE)).cast("long")) != 0
+    due_to = F.when(~passes(CURRENT), F.coalesce(*(F.when(without(r), F.lit(r)) for r in POLICIES[CURRENT])))
     return entries.select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed.alias("base_failed"), (~base_failed & passes(CURRENT)).alias("kept"), "failure_bits", F.lit(CURRENT).alias("policy"),
+        *(passes(v).alias(f"kept_v{v}") for v in POLICIES), due_to.alias("due_to"),
     )

@@ -31,7 +31,9 @@ def slow_cosines(texts):
 
     def best(line):
         own = vector(line)
-        return max((round(sum(own.get(t, 0) * x for t, x in v.items()) / norm(own) / norm(v), 9), name) for name, v in ((k, vector(x)) for k, x in licenses.TEMPLATES))
+        marks = {t for t in own if t.isdigit() or t in licenses.MARKS}
+        fits = lambda x: set(licenses.marks(x)) <= marks and (marks & set(licenses.MARKS)) <= set(licenses.marks(x))
+        return max(((round(sum(own.get(t, 0) * x for t, x in v.items()) / norm(own) / norm(v), 9), name) for name, v in ((k, vector(x)) for k, x in licenses.TEMPLATES if fits(x))), default=(0, None))
 
     return best
 
@@ -68,3 +70,20 @@ def test_odd_tables(spark):
     docs = cases.documents(spark)
     assert licenses.scan(docs, "path").count() == docs.count()
     assert licenses.scan(cases.nothing(spark).selectExpr("*", "'' AS path"), "path").count() == 0
+
+
+def test_versions_and_variants_are_told_apart(spark):
+    said = {
+        "Licensed under the GNU General Public License, version 2": "GPL-2.0",
+        "Licensed under the GNU Affero General Public License, version 3": "AGPL-3.0",
+        "Licensed under the GNU Lesser General Public License, version 2.1": "LGPL-2.1",
+        "Released under the BSD License, two clauses": "BSD-2-Clause",
+        "Licensed under CC BY-ND 4.0": "CC-BY-ND-4.0",
+        "Licensed under CC BY 3.0": "CC-BY-3.0",
+        "Licensed under the Eclipse Public License 2.0": "EPL-2.0",
+        "SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+        "Licensed under the Apache License, Version 1.1": None,
+    }
+    docs = spark.createDataFrame([(i, f"{PROSE}\n{x}", f"d{i}/x.py") for i, x in enumerate(said)], "doc_id bigint, text string, path string")
+    got = {r["id"]: r["own_license"] for r in licenses.scan(docs, "path").collect()}
+    assert got == dict(enumerate(said.values()))

@@ -53,3 +53,14 @@ def test_labelled_good_documents_stay(spark, sf_dir):
     bad = [r["doc_id"] for r in labels if r["quality"] == 0]
     assert all(kept[d]["kept"] for d in good)
     assert sum(not kept[d]["kept"] for d in bad) >= 0.9 * len(bad)
+
+
+def test_query_applies_every_policy_and_ablation(spark, sf_dir):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    bit = lambda r: quality.mask_of((r,))
+    for r in quality.op8_quality_rules(spark, sf_dir).collect():
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == slow(texts[r["doc_id"]])[:5]
+        for version, rules in quality.POLICIES.items():
+            assert r[f"kept_v{version}"] == (not any(r["failure_bits"] & bit(x) for x in rules))
+        failed = [x for x in quality.POLICIES[quality.CURRENT] if r["failure_bits"] & bit(x)]
+        assert r["due_to"] == (failed[0] if len(failed) == 1 else None)
