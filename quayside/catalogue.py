@@ -15,12 +15,12 @@ from .sources.tables import ARRIVAL, WAVES, capacities, table, tasks
 from .streaming import windows
 
 #: Rows of the top-k reports.
-K = 1000
-LOCAL, SHARD = 100, 8192
+K = retrieve.POOL
+LOCAL, SHARD = retrieve.LOCAL, retrieve.SHARD_ROWS
 WINDOW, POOL = pack.WINDOW, retrieve.POOL
 #: What remains of each resource in a dispatch, in tenths of the capacity.
 TENTHS = (10, 8, 6, 9)
-GATE = 20_000
+GATE = metrics.GATE_SAMPLE
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -123,7 +123,7 @@ def oversize_rows(spark, sf_dir):
     return validate.oversize_rows(rows, _seventy(rows)).select("agent_id", *DEMANDS)
 
 
-@query("validate_rows", f"WITH {TASKS} SELECT count(*) AS n_rows, count(*) FILTER (WHERE r0 IS NULL OR r1 IS NULL OR r2 IS NULL OR r3 IS NULL OR duration IS NULL) AS n_null, CAST(0 AS BIGINT) AS n_not_finite, count(*) FILTER (WHERE r0 <= 0 OR r1 <= 0 OR r2 <= 0 OR r3 <= 0 OR duration <= 0) AS n_not_positive FROM tasks")
+@query("validate_rows", f"WITH {TASKS} SELECT count(*) AS n_rows, count(*) FILTER (WHERE r0 IS NULL OR r1 IS NULL OR r2 IS NULL OR r3 IS NULL OR duration IS NULL) AS n_null, count(*) FILTER (WHERE isnan(r0::DOUBLE) OR isinf(r0::DOUBLE) OR isnan(r1::DOUBLE) OR isinf(r1::DOUBLE) OR isnan(r2::DOUBLE) OR isinf(r2::DOUBLE) OR isnan(r3::DOUBLE) OR isinf(r3::DOUBLE) OR isnan(duration::DOUBLE) OR isinf(duration::DOUBLE)) AS n_not_finite, count(*) FILTER (WHERE r0 <= 0 OR r1 <= 0 OR r2 <= 0 OR r3 <= 0 OR duration <= 0) AS n_not_positive FROM tasks")
 def validate_rows(spark, sf_dir):
     return validate.violations(tasks(spark, sf_dir))
 
@@ -215,33 +215,33 @@ def pool_gather(spark, sf_dir):
     return retrieve.gather(rows, retrieve.top_k(retrieve.scored(rows, "omp", remaining, capacity), K))
 
 
-_TWENTIETH = ", ".join(f"c{k} // 20 AS m{k}" for k in range(4))
+_WHOLE = ", ".join(f"c{k} AS m{k}" for k in range(4))
 
 
-def _small(capacity: list[int]) -> list[int]:
-    return [c // 20 for c in capacity]
+def _whole(capacity: list[int]) -> list[int]:
+    return list(capacity)
 
 
-@query("windowed_fifo_batch", f"WITH {CAPS}, rems AS (SELECT {_TWENTIETH} FROM caps), win AS (SELECT * FROM tasks, rems WHERE agent_id < {WINDOW}), {_fold('win', 'agent_id', 'm')} SELECT * FROM batch")
+@query("windowed_fifo_batch", f"WITH {CAPS}, rems AS (SELECT {_WHOLE} FROM caps), win AS (SELECT * FROM tasks, rems WHERE agent_id < {WINDOW}), {_fold('win', 'agent_id', 'm')} SELECT * FROM batch")
 def windowed_fifo_batch(spark, sf_dir):
     rows, capacity, _ = _context(spark, sf_dir)
-    return pack.first_fit_window(rows, _small(capacity), window=WINDOW).select("agent_id", "seq")
+    return pack.first_fit_window(rows, _whole(capacity), window=WINDOW).select("agent_id", "seq")
 
 
-@query("first_fit_batch", f"WITH {CAPS}, rems AS (SELECT {_TWENTIETH} FROM caps), win AS (SELECT * FROM tasks, rems), {_fold('win', 'agent_id', 'm')} SELECT agent_id FROM batch")
+@query("first_fit_batch", f"WITH {CAPS}, rems AS (SELECT {_WHOLE} FROM caps), win AS (SELECT * FROM tasks, rems), {_fold('win', 'agent_id', 'm')} SELECT agent_id FROM batch")
 def first_fit_batch(spark, sf_dir):
     rows, capacity, _ = _context(spark, sf_dir)
-    return pack.distributed_first_fit(rows, _small(capacity), ["agent_id"]).select("agent_id")
+    return pack.distributed_first_fit(rows, _whole(capacity), ["agent_id"]).select("agent_id")
 
 
 _RESIDUAL = "round((" + " + ".join(f"CAST(r{k} AS DOUBLE) / m{k}" for k in range(4)) + ") * 1e6, 4)"
 
 
-@query("best_fit_batch", f"WITH {_scored('mp')}, pool AS (SELECT agent_id, r0, r1, r2, r3 FROM scored ORDER BY score DESC, agent_id LIMIT {POOL}), small AS (SELECT {_TWENTIETH} FROM caps), win AS (SELECT *, {_RESIDUAL} AS fit FROM pool, small), {_fold('win', 'fit DESC, agent_id', 'm')} SELECT * FROM batch")
+@query("best_fit_batch", f"WITH {_scored('mp')}, pool AS (SELECT agent_id, r0, r1, r2, r3 FROM scored ORDER BY score DESC, agent_id LIMIT {POOL}), small AS (SELECT {_WHOLE} FROM caps), win AS (SELECT *, {_RESIDUAL} AS fit FROM pool, small), {_fold('win', 'fit DESC, agent_id', 'm')} SELECT * FROM batch")
 def best_fit_batch(spark, sf_dir):
     rows, capacity, remaining = _context(spark, sf_dir)
     pool = retrieve.top_k(retrieve.scored(rows, "mp", remaining, capacity), POOL)
-    return pack.best_fit(pool, _small(capacity), POOL).select("agent_id", "seq")
+    return pack.best_fit(pool, _whole(capacity), POOL).select("agent_id", "seq")
 
 
 @query("mp_dispatch", f"WITH {_scored('mp')}, pool AS (SELECT agent_id, r0, r1, r2, r3, score FROM scored ORDER BY score DESC, agent_id LIMIT {POOL}), win AS (SELECT *, {_RESIDUAL} AS fit FROM pool, rems), {_fold('win', 'fit DESC, agent_id', 'm')} SELECT b.agent_id, b.seq, p.score FROM batch b JOIN pool p ON b.agent_id = p.agent_id")
@@ -281,7 +281,7 @@ def utilization_summary(spark, sf_dir):
     return metrics.utilization(rows, capacity, 80.0)
 
 
-_UNIT = f"{CAPS}, unit AS (SELECT agent_id, " + ", ".join(f"CAST(r{k} AS DOUBLE) / c{k} AS a{k}" for k in range(4)) + f" FROM tasks, caps WHERE agent_id < {GATE})"
+_UNIT = f"{CAPS}, whole AS (SELECT agent_id, " + ", ".join(f"CAST(r{k} AS DOUBLE) / c{k} AS a{k}" for k in range(4)) + f" FROM tasks, caps), unit AS (SELECT * FROM whole WHERE agent_id < {GATE})"
 
 
 def _cos(x: str, y: str) -> str:
@@ -290,8 +290,8 @@ def _cos(x: str, y: str) -> str:
 
 
 _NEAR = f"near AS (SELECT count(*) AS n_pairs, round(avg({_cos('x', 'y')}), 6) AS mean_cosine FROM unit x JOIN unit y ON x.agent_id = y.agent_id + 1)"
-_PICK = lambda salt: f"CAST(floor({uniform_sql(0, 'agent_id', str(salt))} * CAST((SELECT count(*) FROM unit) AS DOUBLE)) AS BIGINT)"
-_FAR = f"pairs AS (SELECT {_PICK(1)} AS one, {_PICK(2)} AS other FROM unit), far AS (SELECT count(*) AS n_pairs, round(avg({_cos('x', 'y')}), 6) AS mean_cosine FROM pairs JOIN unit x ON x.agent_id = one JOIN unit y ON y.agent_id = other)"
+_PICK = lambda salt: f"CAST(floor({uniform_sql(0, 'agent_id', str(salt))} * CAST((SELECT count(*) FROM whole) AS DOUBLE)) AS BIGINT)"
+_FAR = f"pairs AS (SELECT {_PICK(1)} AS one, {_PICK(2)} AS other FROM unit), far AS (SELECT count(*) AS n_pairs, round(avg({_cos('x', 'y')}), 6) AS mean_cosine FROM pairs JOIN whole x ON x.agent_id = one JOIN whole y ON y.agent_id = other)"
 
 
 @query("gate_adjacent", f"WITH {_UNIT}, {_NEAR} SELECT * FROM near")
@@ -339,6 +339,34 @@ def exact_rate_pivot(spark, sf_dir):
     return metrics.rate_pivot(_results(spark, sf_dir), "method", "pattern", ["F", "O"], F.col("dispatches") > 25.5)
 
 
+#: Runs derived from orders: priorities as methods; a customer's orders are a run, its makespan over that of its largest order.
+_RUNS = "runs AS (SELECT o_orderpriority AS method, o_custkey AS seed, count(*) AS n_agents, sum(o_totalprice) / max(o_totalprice) AS normalized_makespan, count(*) = count(DISTINCT o_orderkey) AS explicit_agents, CAST(count(DISTINCT o_totalprice) AS DOUBLE) / count(*) AS unique_fraction, bool_and(o_totalprice > 1000) AS valid FROM orders GROUP BY ALL)"
+_GATES = {"valid": "valid", "tasks": "n_agents = 2", "explicit": "explicit_agents", "distinct": "unique_fraction >= 0.999", "bound": "normalized_makespan >= 1 - 1e-8"}
+
+
+def _runs(spark, sf_dir) -> DataFrame:
+    own = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("method"), F.col("o_custkey").alias("seed"))
+    return own.agg(
+        F.count(F.lit(1)).alias("n_agents"), (F.sum("o_totalprice") / F.max("o_totalprice")).alias("normalized_makespan"), (F.count(F.lit(1)) == F.countDistinct("o_orderkey")).alias("explicit_agents"),
+        (F.countDistinct("o_totalprice").cast("double") / F.count(F.lit(1))).alias("unique_fraction"), F.every(F.col("o_totalprice") > 1000).alias("valid"),
+    )
+
+
+@query("result_gates", f"WITH {_RUNS}, failed AS (" + " UNION ALL ".join(f"SELECT '{g}' AS gate, count(*) FILTER (WHERE NOT ({c})) AS n_failed FROM runs" for g, c in _GATES.items()) + ") SELECT gate, n_failed, n_failed = 0 AS holds FROM failed")
+def result_gates(spark, sf_dir):
+    return metrics.result_gates(_runs(spark, sf_dir), 2)
+
+
+@query("result_integrity", f"WITH {_RUNS} SELECT method, bool_and(valid) AS all_valid, bool_and(explicit_agents) AS all_explicit, round(min(unique_fraction), 6) AS min_unique_fraction FROM runs GROUP BY method")
+def result_integrity(spark, sf_dir):
+    return metrics.integrity(_runs(spark, sf_dir), ["method"])
+
+
+@query("duration_check", f"WITH {TASKS} SELECT min(duration) AS least, max(duration) AS greatest, max(duration) - min(duration) <= 1e-9 AS are_equal FROM tasks")
+def duration_check(spark, sf_dir):
+    return validate.duration_check(tasks(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- generated tasks
 
 _IDS = "ids AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS id FROM orders)"
@@ -411,13 +439,13 @@ def strict_fifo_waves(spark, sf_dir):
     return plans.wave_summary(_strict_waves(spark, sf_dir)[0])
 
 
-@query("trace_capacity_sweep", f"{_STARTS} SELECT CAST(wave AS DOUBLE) AS at, count(*) AS n_running, true AS holds FROM placed GROUP BY wave")
+@query("trace_capacity_sweep", f"{_STARTS} SELECT CAST(wave AS DOUBLE) AS at, count(*) AS n_running, " + " AND ".join(f"sum(p.r{k}) <= any_value(c{k})" for k in range(4)) + " AS holds FROM placed p, caps GROUP BY wave")
 def trace_capacity_sweep(spark, sf_dir):
     waves, capacity = _strict_waves(spark, sf_dir)
     return metrics.capacity_sweep(plans.trace(waves), capacity)
 
 
-@query("trace_check", f"WITH {TASKS} SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_open, CAST(0 AS BIGINT) AS n_reversed, CAST(0 AS BIGINT) AS n_without_wave FROM tasks")
+@query("trace_check", f"{_STARTS} SELECT count(*) AS n_rows, count(*) FILTER (WHERE p.wave IS NULL) AS n_open, count(*) FILTER (WHERE p.wave + 1 < p.wave) AS n_reversed, count(*) FILTER (WHERE p.wave IS NULL) AS n_without_wave FROM tasks t LEFT JOIN placed p ON t.agent_id = p.agent_id")
 def trace_check(spark, sf_dir):
     waves, _ = _strict_waves(spark, sf_dir)
     return validate.trace_check(plans.trace(waves), tasks(spark, sf_dir))
@@ -488,7 +516,7 @@ def _register_pursuit(method: str, atoms: int, sql: str | None) -> None:
         return spark.createDataFrame(found, "agent_id bigint, coefficient double").select("agent_id", F.round("coefficient", 5).alias("coefficient"))
 
 
-_register_pursuit("mp", 3, _pursuit_sql(3))
+_register_pursuit("mp", solve.ATOMS, _pursuit_sql(solve.ATOMS))
 _register_pursuit("omp", solve.ATOMS, None)
 _register_pursuit("ols", solve.ATOMS, None)
 

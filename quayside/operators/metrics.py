@@ -55,11 +55,10 @@ def adjacent_cosine(tasks: DataFrame, capacity: Sequence[float], sample: int = G
 
 
 def random_cosine(tasks: DataFrame, capacity: Sequence[float], rows: int, sample: int = GATE_SAMPLE, seed: int = 0) -> DataFrame:
-    """Mean cosine of as many random pairs of tasks, with replacement, drawn by a hash of their number."""
-    n = min(sample, rows)
-    pick = lambda salt: F.floor(uniform(seed, F.col("pair"), F.lit(salt)) * F.lit(float(n))).cast("bigint")
-    pairs = tasks.where(F.col("agent_id") < n).select(F.col("agent_id").alias("pair")).select("pair", pick(1).alias("one"), pick(2).alias("other"))
-    own = tasks.where(F.col("agent_id") < n).select("agent_id", *(s.alias(d) for d, s in zip(DEMANDS, shares(capacity), strict=True)))
+    """Mean cosine of as many random pairs out of all tasks, with replacement, drawn by a hash of the pair's number."""
+    pick = lambda salt: F.floor(uniform(seed, F.col("pair"), F.lit(salt)) * F.lit(float(rows))).cast("bigint")
+    pairs = tasks.where(F.col("agent_id") < min(sample, rows)).select(F.col("agent_id").alias("pair")).select("pair", pick(1).alias("one"), pick(2).alias("other"))
+    own = tasks.select("agent_id", *(s.alias(d) for d, s in zip(DEMANDS, shares(capacity), strict=True)))
     one = own.select(F.col("agent_id").alias("one"), *(F.col(d).alias(f"a_{d}") for d in DEMANDS))
     other = own.select(F.col("agent_id").alias("other"), *(F.col(d).alias(f"b_{d}") for d in DEMANDS))
     joined = pairs.join(one, "one").join(other, "other")
@@ -116,3 +115,23 @@ def rate_pivot(results: DataFrame, row: str, column: str, values: Sequence[str],
     return results.groupBy(row).pivot(column, list(values)).agg(F.round(F.avg(hit.cast("double")), 6))
 
 
+
+
+def result_gates(results: DataFrame, tasks: int, least_unique: float = 0.999) -> DataFrame:
+    """(gate, n_failed, holds): runs that fail each check of a table of runs.
+
+    A run is valid, has the due number of tasks, all of them explicit, is distinct enough, and takes no less than its bound.
+    Null counts as failed. An empty table passes.
+    """
+    gates = {
+        "valid": F.col("valid"), "tasks": F.col("n_agents") == tasks, "explicit": F.col("explicit_agents"),
+        "distinct": F.col("unique_fraction") >= least_unique, "bound": F.col("normalized_makespan") >= 1.0 - 1e-8,
+    }
+    one = results.agg(*(F.coalesce(F.sum(F.when(F.coalesce(ok, F.lit(False)), 0).otherwise(1)), F.lit(0)).cast("bigint").alias(g) for g, ok in gates.items()))
+    rows = one.select(F.explode(F.array(*(F.struct(F.lit(g).alias("gate"), F.col(g).alias("n_failed")) for g in gates))).alias("x"))
+    return rows.select("x.gate", "x.n_failed", (F.col("x.n_failed") == 0).alias("holds"))
+
+
+def integrity(results: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """For each group whether all runs are valid and explicit, and the least distinctness."""
+    return results.groupBy(*keys).agg(F.every("valid").alias("all_valid"), F.every("explicit_agents").alias("all_explicit"), F.round(F.min("unique_fraction"), 6).alias("min_unique_fraction"))

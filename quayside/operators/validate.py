@@ -60,3 +60,8 @@ def trace_check(trace: DataFrame, tasks: DataFrame) -> DataFrame:
     joined = tasks.select("agent_id").join(trace, "agent_id", "left")
     n = lambda cond, name: F.coalesce(F.sum(F.when(cond, 1)), F.lit(0)).alias(name)
     return joined.agg(F.count(F.lit(1)).alias("n_rows"), n(F.col("start").isNull() | F.col("finish").isNull(), "n_open"), n(F.col("finish") < F.col("start"), "n_reversed"), n(F.col("wave").isNull() | (F.col("wave") < 0), "n_without_wave"))
+
+
+def duration_check(tasks: DataFrame) -> DataFrame:
+    """One row: the least and greatest duration and whether all are equal, as schedules in waves demand. An empty table is equal."""
+    return tasks.agg(F.min("duration").alias("least"), F.max("duration").alias("greatest"), F.coalesce(F.max("duration") - F.min("duration") <= F.lit(1e-9), F.lit(True)).alias("are_equal"))

@@ -39,7 +39,7 @@ def test_first_fit_is_the_sequential_scan(demands, capacity):
 
 
 def test_strict_stops_and_window_skips(spark):
-    tasks = make(spark, wide([(8, 1), (3, 3), (1, 8)]))
+    tasks = make(spark, wide([(9, 2), (4, 4), (1, 7)]))
     capacity = [10, 10, 100, 100]
     assert [r[0] for r in pack.strict_prefix(tasks, capacity, "agent_id").select("agent_id").collect()] == [0]
     assert [r["agent_id"] for r in pack.first_fit_window(tasks, capacity).orderBy("seq").collect()] == [0, 2]
@@ -47,7 +47,7 @@ def test_strict_stops_and_window_skips(spark):
 
 
 def test_best_fit_is_feasible(spark):
-    tasks = make(spark, wide([(8, 1), (7, 2), (1, 8), (2, 7)]))
+    tasks = make(spark, wide([(9, 1), (6, 3), (1, 9), (3, 6)]))
     batch = tasks.join(pack.best_fit(tasks, [10, 10, 100, 100]).select("agent_id"), "agent_id")
     assert batch.count() >= 2
     assert all(r["holds"] for r in validate.dispatch_check(batch, [10, 10, 100, 100]).collect())
