@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import written
 from ..sources.tables import table
 
-__all__ = ["bitmap_of", "in_bitmap", "majority", "may_hold", "table", "texts_of", "vote_counts", "whole_keys", "written"]
+__all__ = ["bitmap_of", "in_bitmap", "joined_to_owner", "majority", "may_hold", "table", "texts_of", "vote_counts", "whole_keys", "written"]
 
 #: Bits of the largest bitmap of keys that is sent to all tasks: 8 MB.
 BITMAP_BITS = 1 << 26
@@ -112,3 +112,18 @@ def may_hold(keys: DataFrame, key: str) -> Callable[[Column], Column]:
         return pd.Series(in_bitmap(shared.value, column.to_numpy(dtype=np.int64)))
 
     return lambda name: test(name)
+
+
+def joined_to_owner(rows: DataFrame, owners: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """rows left-joined to owners, which has one row for each key, where a key may own any share of the rows.
+
+    size names owners' column with the number of rows a key owns. Keys that own over a thousandth of all rows, a thousand at
+    most, are broadcast; no other key brings more than that to one task of the shuffled join. Null keys stay without owner.
+    """
+    total = owners.agg(F.sum(size)).first()[0] or 0
+    hot = owners.where(F.col(size) > max(1_000, total / 1_000))
+    names = [c for c in owners.columns if c not in keys]
+    early = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+    found = early.where("_hot").select(*rows.columns, *names)
+    rest = early.where(F.col("_hot").isNull()).select(*rows.columns)
+    return found.unionByName(rest.join(owners, keys, "left").select(*rows.columns, *names))

@@ -11,6 +11,7 @@ from .quality import op8_quality_rules
 from .secrets import op5_secret_ownership
 from .sharding import op4_virtual_slot_shards
 from .simhash import op2_simhash_near_dedup
+from .vectors import op12_embedding_near_dedup
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_fuzzy_line_dedup": op9_fuzzy_line_dedup,
     "op10_perspective_rotation": op10_perspective_rotation,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {"op10_perspective_rotation": chat.ORACLE_SQL}
