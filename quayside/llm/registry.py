@@ -1,6 +1,6 @@
 """Queries of the training-data operators, and their oracles where SQL can express them."""
 
-from . import chat
+from . import chat, trie
 from .bpe import op3_bpe_round_trip
 from .chat import op10_perspective_rotation
 from .decontam import op6_benchmark_decontamination
@@ -11,6 +11,7 @@ from .quality import op8_quality_rules
 from .secrets import op5_secret_ownership
 from .sharding import op4_virtual_slot_shards
 from .simhash import op2_simhash_near_dedup
+from .trie import op11_conversation_trie
 from .vectors import op12_embedding_near_dedup
 
 QUERIES = {
@@ -24,7 +25,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_fuzzy_line_dedup": op9_fuzzy_line_dedup,
     "op10_perspective_rotation": op10_perspective_rotation,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_embedding_near_dedup": op12_embedding_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_perspective_rotation": chat.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op10_perspective_rotation": chat.ORACLE_SQL, "op11_conversation_trie": trie.ORACLE_SQL}
