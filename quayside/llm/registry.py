@@ -1,6 +1,7 @@
 """Queries of the training-data operators, and their oracles where SQL can express them."""
 
 from . import chat, trie
+from .alignment import op13_cross_tokenizer_alignment
 from .bpe import op3_bpe_round_trip
 from .chat import op10_perspective_rotation
 from .decontam import op6_benchmark_decontamination
@@ -27,6 +28,7 @@ QUERIES = {
     "op10_perspective_rotation": op10_perspective_rotation,
     "op11_conversation_trie": op11_conversation_trie,
     "op12_embedding_near_dedup": op12_embedding_near_dedup,
+    "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {"op10_perspective_rotation": chat.ORACLE_SQL, "op11_conversation_trie": trie.ORACLE_SQL}
