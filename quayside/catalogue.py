@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.demand import DEMANDS, METHODS, affinity, rank_key, shares, uniform_sql
-from .operators import metrics, pack, retrieve, solve, validate
+from .operators import metrics, pack, proximal, retrieve, solve, validate
 from .operators.order import ranked
 from .plans import dispatch
 from .plans import waves as plans
@@ -52,13 +52,12 @@ def _scored(method: str) -> str:
     return f"{SHARED},\nscored AS (SELECT *, round(({SCORE[method]}) * 1e6, 4) AS score FROM shared WHERE {FITS})"
 
 
-def _fold(source: str, order: str, caps: str) -> str:
-    """First fit over the rows of source in an order, as a fold; caps names four columns of a one-row table rems or caps."""
-    m = [f"{caps}{k}" for k in range(4)]
-    row = "{'id': agent_id, 'r0': r0, 'r1': r1, 'r2': r2, 'r3': r3, 'took': CAST([] AS BIGINT[])}"
-    first = "{'id': CAST(-1 AS BIGINT), 'r0': any_value(" + m[0] + "), 'r1': any_value(" + m[1] + "), 'r2': any_value(" + m[2] + "), 'r3': any_value(" + m[3] + "), 'took': CAST([] AS BIGINT[])}"
-    fits = " AND ".join(f"x.r{k} <= s.r{k}" for k in range(4))
-    step = "{'id': s.id, " + ", ".join(f"'r{k}': s.r{k} - x.r{k}" for k in range(4)) + ", 'took': list_append(s.took, x.id)}"
+def _fold(source: str, order: str, caps: str, m: int = 4) -> str:
+    """First fit over the rows of source in an order, as a fold; caps begins the names of m columns of a one-row table rems or caps."""
+    row = "{'id': agent_id, " + ", ".join(f"'r{k}': r{k}" for k in range(m)) + ", 'took': CAST([] AS BIGINT[])}"
+    first = "{'id': CAST(-1 AS BIGINT), " + ", ".join(f"'r{k}': any_value({caps}{k})" for k in range(m)) + ", 'took': CAST([] AS BIGINT[])}"
+    fits = " AND ".join(f"x.r{k} <= s.r{k}" for k in range(m))
+    step = "{'id': s.id, " + ", ".join(f"'r{k}': s.r{k} - x.r{k}" for k in range(m)) + ", 'took': list_append(s.took, x.id)}"
     return f"""packed AS (
   SELECT list_reduce(list({row} ORDER BY {order}), lambda s, x: CASE WHEN {fits} THEN {step} ELSE s END, {first}) AS p FROM {source}),
 batch AS (SELECT unnest(p.took) AS agent_id, CAST(unnest(range(len(p.took))) AS BIGINT) AS seq FROM packed)"""
@@ -429,8 +428,14 @@ placed AS (SELECT t.agent_id, t.r0, t.r1, t.r2, t.r3, s.wave FROM tasks t ASOF J
 _USED = ", ".join(f"CAST(sum(r{k}) AS BIGINT) AS used_r{k}" for k in range(4))
 
 
+def _units(rows: DataFrame) -> DataFrame:
+    """The tasks as of one unit of time each, as waves demand."""
+    return rows.withColumn("duration", F.lit(1).cast("bigint"))
+
+
 def _strict_waves(spark, sf_dir) -> tuple[DataFrame, list[int]]:
     rows, capacity, _ = _context(spark, sf_dir)
+    rows = _units(rows)
     return plans.strict_waves(rows, capacity, rows.count()), capacity
 
 
@@ -468,13 +473,13 @@ filled AS (SELECT wave, b.n AS n_tasks, c0 - b.r0 AS used_r0, c1 - b.r1 AS used_
 @query("windowed_fifo_waves", f"{BINS} SELECT * FROM filled")
 def windowed_fifo_waves(spark, sf_dir):
     rows, capacity, _ = _context(spark, sf_dir)
-    return plans.wave_summary(plans.policy_waves(rows, capacity, plans.fifo_policy()))
+    return plans.wave_summary(plans.policy_waves(_units(rows), capacity, plans.fifo_policy()))
 
 
 @query("mp_waves")
 def mp_waves(spark, sf_dir):
     rows, capacity, _ = _context(spark, sf_dir)
-    return plans.wave_summary(plans.policy_waves(rows, capacity, plans.sparse_policy("mp")))
+    return plans.wave_summary(plans.policy_waves(_units(rows), capacity, plans.sparse_policy("mp")))
 
 
 _GATE_SQL = f"SELECT CASE WHEN near.mean_cosine - far.mean_cosine > 0.1 THEN 'mp' ELSE 'fifo_windowed' END AS policy FROM near, far"
@@ -486,7 +491,7 @@ def adaptive_waves(spark, sf_dir):
     rows, capacity, _ = _context(spark, sf_dir)
     chosen = metrics.gate(rows, capacity, rows.count(), GATE).first()["policy"]
     policy = plans.sparse_policy("mp") if chosen == "mp" else plans.fifo_policy()
-    return plans.wave_summary(plans.policy_waves(rows, capacity, policy)).withColumn("policy", F.lit(chosen))
+    return plans.wave_summary(plans.policy_waves(_units(rows), capacity, policy)).withColumn("policy", F.lit(chosen))
 
 
 # ---------------------------------------------------------------- solvers
@@ -521,15 +526,17 @@ _register_pursuit("omp", solve.ATOMS, None)
 _register_pursuit("ols", solve.ATOMS, None)
 
 
-def _register_pools(method: str) -> None:
+def _register_proximal(method: str) -> None:
     @query(f"solve_{method}")
     def solved(spark, sf_dir):
+        """Every task's coefficient; those under the tolerance are left out of the report, not of the solution."""
         rows, capacity, remaining = _context(spark, sf_dir)
-        return solve.solve_pools(rows, _target(capacity, remaining), capacity, method)
+        found, _ = {"fista": proximal.fista, "irls": proximal.irls}[method](rows, _target(capacity, remaining), capacity)
+        return found.where(F.col("coefficient") > proximal.TOLERANCE).select("agent_id", F.round("coefficient", 6).alias("coefficient"))
 
 
 for _m in ("fista", "irls"):
-    _register_pools(_m)
+    _register_proximal(_m)
 
 
 def _register_ranked(method: str) -> None:
@@ -549,3 +556,6 @@ for _m in METHODS:
 @query("stream_windows", "SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS window_start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 1000) AS BIGINT)) AS BIGINT) AS value_milli FROM events GROUP BY ALL")
 def stream_windows(spark, sf_dir):
     return windows.drain(spark, sf_dir)
+
+
+from . import catalogue_more  # noqa: E402, F401  registers its queries beside these

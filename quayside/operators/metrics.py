@@ -6,69 +6,74 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.demand import DEMANDS, cosine, shares, uniform
+from ..functions.demand import Amounts, by_demand, cosine, demand_columns, demands_of, shares, uniform
 from .order import neighbours
 
 GATE_SAMPLE = 50_000
 GATE_THRESHOLD = 0.1
 
 
-def column_stats(tasks: DataFrame) -> DataFrame:
+def column_stats(tasks: DataFrame, demands: Sequence[str] | None = None) -> DataFrame:
     """For each resource the least, mean and greatest demand."""
-    one = tasks.agg(*(f(d).alias(f"{f.__name__}_{d}") for d in DEMANDS for f in (F.min, F.avg, F.max)))
-    rows = F.explode(F.array(*(F.struct(F.lit(d).alias("resource"), F.col(f"min_{d}").alias("least"), F.round(f"avg_{d}", 6).alias("mean"), F.col(f"max_{d}").alias("greatest")) for d in DEMANDS))).alias("x")
+    demands = demand_columns(tasks, demands)
+    one = tasks.agg(*(f(d).alias(f"{f.__name__}_{d}") for d in demands for f in (F.min, F.avg, F.max)))
+    rows = F.explode(F.array(*(F.struct(F.lit(d).alias("resource"), F.col(f"min_{d}").alias("least"), F.round(f"avg_{d}", 6).alias("mean"), F.col(f"max_{d}").alias("greatest")) for d in demands))).alias("x")
     return one.select(rows).select("x.*")
 
 
-def wave_bound(tasks: DataFrame, capacity: Sequence[float]) -> DataFrame:
+def wave_bound(tasks: DataFrame, capacity: Amounts) -> DataFrame:
     """Waves that any schedule of unit tasks needs at least."""
-    most = F.greatest(*(F.sum(d) / F.lit(float(c)) for d, c in zip(DEMANDS, capacity, strict=True)))
+    most = F.greatest(*(F.sum(d) / F.lit(float(c)) for d, c in by_demand(capacity).items()))
     return tasks.agg(F.greatest(F.lit(1), F.ceil(most - F.lit(1e-12))).cast("bigint").alias("waves"))
 
 
-def event_bound(tasks: DataFrame, capacity: Sequence[float]) -> DataFrame:
+def event_bound(tasks: DataFrame, capacity: Amounts) -> DataFrame:
     """Time that any schedule needs at least: work over capacity, or the longest task."""
-    work = [F.sum(F.col(d) * F.col("duration")) / F.lit(float(c)) for d, c in zip(DEMANDS, capacity, strict=True)]
+    work = [F.sum(F.col(d) * F.col("duration")) / F.lit(float(c)) for d, c in by_demand(capacity).items()]
     return tasks.agg(F.round(F.greatest(*work, F.max("duration").cast("double")), 6).alias("time"))
 
 
-def usage_integral(tasks: DataFrame) -> DataFrame:
+def usage_integral(tasks: DataFrame, demands: Sequence[str] | None = None) -> DataFrame:
     """For each resource the demand times duration of all tasks: what any complete schedule uses over time."""
-    one = tasks.agg(*(F.sum(F.col(d) * F.col("duration")).alias(d) for d in DEMANDS))
-    return one.select(F.explode(F.array(*(F.struct(F.lit(d).alias("resource"), F.col(d).alias("usage")) for d in DEMANDS))).alias("x")).select("x.*")
+    demands = demand_columns(tasks, demands)
+    one = tasks.agg(*(F.sum(F.col(d) * F.col("duration")).alias(d) for d in demands))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(d).alias("resource"), F.col(d).alias("usage")) for d in demands))).alias("x")).select("x.*")
 
 
-def utilization(tasks: DataFrame, capacity: Sequence[float], makespan: float) -> DataFrame:
+def utilization(tasks: DataFrame, capacity: Amounts, makespan: float) -> DataFrame:
     """Mean, least and 95th percentile over the resources of usage over capacity and time, cut to 0 to 1."""
-    one = tasks.agg(*(F.sum(F.col(d) * F.col("duration")).alias(d) for d in DEMANDS))
+    one = tasks.agg(*(F.sum(F.col(d) * F.col("duration")).alias(d) for d in demands_of(capacity)))
     share = lambda d, c: F.least(F.greatest(F.col(d) / F.lit(float(c) * makespan), F.lit(0.0)), F.lit(1.0 + 1e-8))
-    rows = one.select(F.explode(F.array(*(share(d, c) for d, c in zip(DEMANDS, capacity, strict=True)))).alias("share"))
+    rows = one.select(F.explode(F.array(*(share(d, c) for d, c in by_demand(capacity).items()))).alias("share"))
     return rows.agg(F.round(F.avg("share"), 6).alias("mean_utilization"), F.round(F.min("share"), 6).alias("min_utilization"), F.round(F.percentile("share", F.lit(0.95)), 6).alias("p95_utilization"))
 
 
-def adjacent_cosine(tasks: DataFrame, capacity: Sequence[float], sample: int = GATE_SAMPLE) -> DataFrame:
-    """Mean cosine of tasks that arrive one after another, among the first sample."""
-    first = tasks.where(F.col("agent_id") < sample).select("agent_id", *(s.alias(d) for d, s in zip(DEMANDS, shares(capacity), strict=True)))
-    pairs = neighbours(first, "agent_id", DEMANDS)
-    return pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg(cosine([F.col(d) for d in DEMANDS], [F.col(f"before_{d}") for d in DEMANDS])), 6).alias("mean_cosine"))
+def adjacent_cosine(tasks: DataFrame, capacity: Amounts, sample: int = GATE_SAMPLE, rank: str = "agent_id") -> DataFrame:
+    """Mean cosine of tasks that arrive one after another, among the first sample by a dense rank."""
+    demands = demands_of(capacity)
+    first = tasks.where(F.col(rank) < sample).select(rank, *(s.alias(d) for d, s in zip(demands, shares(capacity), strict=True)))
+    pairs = neighbours(first, rank, demands)
+    return pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg(cosine([F.col(d) for d in demands], [F.col(f"before_{d}") for d in demands])), 6).alias("mean_cosine"))
 
 
-def random_cosine(tasks: DataFrame, capacity: Sequence[float], rows: int, sample: int = GATE_SAMPLE, seed: int = 0) -> DataFrame:
-    """Mean cosine of as many random pairs out of all tasks, with replacement, drawn by a hash of the pair's number."""
+def random_cosine(tasks: DataFrame, capacity: Amounts, rows: int, sample: int = GATE_SAMPLE, seed: int = 0, rank: str = "agent_id") -> DataFrame:
+    """Mean cosine of as many random pairs out of all tasks, with replacement, drawn by a hash of the pair's number among the ranks."""
+    demands = demands_of(capacity)
     pick = lambda salt: F.floor(uniform(seed, F.col("pair"), F.lit(salt)) * F.lit(float(rows))).cast("bigint")
-    pairs = tasks.where(F.col("agent_id") < min(sample, rows)).select(F.col("agent_id").alias("pair")).select("pair", pick(1).alias("one"), pick(2).alias("other"))
-    own = tasks.select("agent_id", *(s.alias(d) for d, s in zip(DEMANDS, shares(capacity), strict=True)))
-    one = own.select(F.col("agent_id").alias("one"), *(F.col(d).alias(f"a_{d}") for d in DEMANDS))
-    other = own.select(F.col("agent_id").alias("other"), *(F.col(d).alias(f"b_{d}") for d in DEMANDS))
+    pairs = tasks.where(F.col(rank) < min(sample, rows)).select(F.col(rank).alias("pair")).select("pair", pick(1).alias("one"), pick(2).alias("other"))
+    own = tasks.select(rank, *(s.alias(d) for d, s in zip(demands, shares(capacity), strict=True)))
+    one = own.select(F.col(rank).alias("one"), *(F.col(d).alias(f"a_{d}") for d in demands))
+    other = own.select(F.col(rank).alias("other"), *(F.col(d).alias(f"b_{d}") for d in demands))
     joined = pairs.join(one, "one").join(other, "other")
-    return joined.agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg(cosine([F.col(f"a_{d}") for d in DEMANDS], [F.col(f"b_{d}") for d in DEMANDS])), 6).alias("mean_cosine"))
+    return joined.agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg(cosine([F.col(f"a_{d}") for d in demands], [F.col(f"b_{d}") for d in demands])), 6).alias("mean_cosine"))
 
 
-def gate(tasks: DataFrame, capacity: Sequence[float], rows: int, sample: int = GATE_SAMPLE, threshold: float = GATE_THRESHOLD, seed: int = 0) -> DataFrame:
-    """One row: how much more alike neighbours are than random pairs, and the policy that follows from it."""
-    near = adjacent_cosine(tasks, capacity, sample).select(F.col("mean_cosine").alias("near"))
-    far = random_cosine(tasks, capacity, rows, sample, seed).select(F.col("mean_cosine").alias("far"))
+def gate(tasks: DataFrame, capacity: Amounts, rows: int, sample: int = GATE_SAMPLE, threshold: float = GATE_THRESHOLD, seed: int = 0, rank: str = "agent_id") -> DataFrame:
+    """One row: how much more alike neighbours by rank are than random pairs, and the policy that follows from it."""
+    near = adjacent_cosine(tasks, capacity, sample, rank).select(F.col("mean_cosine").alias("near"))
+    far = random_cosine(tasks, capacity, rows, sample, seed, rank).select(F.col("mean_cosine").alias("far"))
     both = near.withColumn("k", F.lit(0)).join(far.withColumn("k", F.lit(0)), "k")
     return both.select(F.round(F.col("near") - F.col("far"), 6).alias("gate_score"), F.when(F.col("near") - F.col("far") > threshold, "mp").otherwise("fifo_windowed").alias("policy"))
 
@@ -79,19 +84,18 @@ def label_runs(labelled: DataFrame, rank: str, label: str) -> DataFrame:
     return pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.coalesce(F.sum(F.when(F.col(label) != F.col(f"before_{label}"), 1)), F.lit(0)).alias("n_changes"))
 
 
-def capacity_sweep(trace: DataFrame, capacity: Sequence[float]) -> DataFrame:
+def capacity_sweep(trace: DataFrame, capacity: Amounts) -> DataFrame:
     """For each moment of a schedule at which tasks start: tasks running and whether every resource holds.
 
     Starts and finishes are first added up by their moment; the running sum is over moments, not tasks.
     """
-    from pyspark.sql.window import Window
-
-    moves = trace.select(F.explode(F.array(*(F.struct(F.col(at).alias("at"), F.lit(sign).alias("sign")) for at, sign in (("start", 1), ("finish", -1))))).alias("x"), *DEMANDS)
-    change = moves.groupBy("x.at").agg(F.sum("x.sign").alias("n"), F.max(F.when(F.col("x.sign") > 0, 1).otherwise(0)).alias("starts"), *(F.sum(F.col("x.sign") * F.col(d)).alias(d) for d in DEMANDS))
+    demands = demands_of(capacity)
+    moves = trace.select(F.explode(F.array(*(F.struct(F.col(at).alias("at"), F.lit(sign).alias("sign")) for at, sign in (("start", 1), ("finish", -1))))).alias("x"), *demands)
+    change = moves.groupBy("x.at").agg(F.sum("x.sign").alias("n"), F.max(F.when(F.col("x.sign") > 0, 1).otherwise(0)).alias("starts"), *(F.sum(F.col("x.sign") * F.col(d)).alias(d) for d in demands))
     so_far = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    level = change.select("at", "starts", F.sum("n").over(so_far).alias("n_running"), *(F.sum(d).over(so_far).alias(d) for d in DEMANDS))
+    level = change.select("at", "starts", F.sum("n").over(so_far).alias("n_running"), *(F.sum(d).over(so_far).alias(d) for d in demands))
     holds = F.lit(True)
-    for d, c in zip(DEMANDS, capacity, strict=True):
+    for d, c in by_demand(capacity).items():
         holds = holds & (F.col(d) <= F.lit(c))
     return level.where("starts = 1").select("at", "n_running", holds.alias("holds"))
 

@@ -46,6 +46,33 @@ def running_sums(df: DataFrame, rank: str, values: Sequence[str], rows: int, pre
     return summed.select(*df.columns, *((F.col(f"_w_{v}") + F.col(f"_b_{v}")).alias(f"{prefix}{v}") for v in values))
 
 
+def arrival_ranks(order: DataFrame, place: str, row: str, rank: str = "arrival") -> DataFrame:
+    """(row, rank): the inverse of an order of arrival, which lists the rows by any numbers as places.
+
+    Places need not be dense. The order is checked to name each row once; a row it names twice or not at all is an error,
+    as is a null one.
+    """
+    told = order.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(row).alias("rows"), F.countDistinct(place).alias("places")).first()
+    if not told["n"] == told["rows"] == told["places"]:
+        raise ValueError(f"{told['n']} entries name {told['rows']} rows at {told['places']} places")
+    return ranked(order.select(place, row), [place], rank).select(row, rank)
+
+
+def with_arrival(tasks: DataFrame, order: DataFrame, place: str, row: str = "agent_id", rank: str = "arrival") -> DataFrame:
+    """tasks with the rank of their arrival; an order that leaves tasks out or names others is an error."""
+    ranks = written(arrival_ranks(order, place, row, rank), "arrival")
+    joined = written(tasks.join(ranks, row, "full_outer").withColumn("_known", F.coalesce(*(F.col(c).cast("string") for c in tasks.columns if c != row)).isNotNull()), "arrived")
+    lost = joined.agg(F.count(F.when(F.col(rank).isNull(), 1)).alias("unranked"), F.count(F.when(~F.col("_known"), 1)).alias("unknown")).first()
+    if lost["unranked"] or lost["unknown"]:
+        raise ValueError(f"the order of arrival leaves out {lost['unranked']} tasks and names {lost['unknown']} others")
+    return joined.select(*tasks.columns, rank)
+
+
+def reranked(active: DataFrame, rank: str = "arrival") -> DataFrame:
+    """Tasks that are left, with dense ranks in the same order."""
+    return ranked(active.withColumnRenamed(rank, "_was"), ["_was"], rank).drop("_was")
+
+
 def neighbours(df: DataFrame, rank: str, columns: Sequence[str]) -> DataFrame:
     """Each row beside the one before it in a dense rank, as the columns before_*: a shuffled self-join, not a window."""
     earlier = df.select((F.col(rank) + 1).alias(rank), *(F.col(c).alias(f"before_{c}") for c in columns))

@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.demand import DEMANDS, conjunction, residual_key
+from ..functions.demand import TOLERANCE, Amounts, by_demand, conjunction, demands_of, feasible, like_given, residual_key
 from .order import ranked, running_sums
 
 #: Candidates that one packing looks at.
@@ -17,43 +17,50 @@ WINDOW = 65_536
 
 
 def first_fit(demands: np.ndarray, capacity: np.ndarray) -> np.ndarray:
-    """Positions that first fit takes along the rows' order.
+    """Positions that first fit takes along the rows' order; what fits but for TOLERANCE fits.
 
     Whole prefixes at a time: the longest prefix whose running sums fit is taken and what no longer fits
     alone is dropped, until nothing is left. Demands are positive, so a dropped row could not fit later.
     """
     left, alive, taken = capacity.astype(np.float64).copy(), np.arange(len(demands)), []
-    while len(alive := alive[(demands[alive] <= left).all(axis=1)]):
+    while len(alive := alive[(demands[alive] <= left + TOLERANCE).all(axis=1)]):
         sums = np.cumsum(demands[alive], axis=0)
-        n = int(np.searchsorted(~(sums <= left).all(axis=1), True)) or 1
+        n = int(np.searchsorted(~(sums <= left + TOLERANCE).all(axis=1), True)) or 1
         taken.append(alive[:n])
         left -= sums[n - 1]
         alive = alive[n:]
     return np.concatenate(taken) if taken else alive
 
 
-def strict_prefix(tasks: DataFrame, remaining: Sequence[float], rank: str, window: int = WINDOW) -> DataFrame:
-    """Tasks in order until the first that does not fit: sums grow, so those whose sums fit are a prefix."""
-    first = tasks.where(F.col(rank) < window)
-    summed = running_sums(first, rank, DEMANDS, window)
-    return summed.where(conjunction([F.col(f"s_{d}") <= F.lit(c) for d, c in zip(DEMANDS, remaining, strict=True)])).select(*tasks.columns)
+def _sums_fit(left: Amounts) -> Column:
+    return conjunction([F.col(f"s_{d}") <= F.lit(c if isinstance(c, int) else c + TOLERANCE) for d, c in by_demand(left).items()])
 
 
-def pack_in_order(pool: DataFrame, remaining: Sequence[float], order: Sequence, window: int = WINDOW) -> DataFrame:
-    """First fit over the first window rows of a pool in an order; seq is the place in the batch.
+def strict_prefix(tasks: DataFrame, remaining: Amounts, rank: str, window: int = WINDOW) -> DataFrame:
+    """Tasks in order until the first that does not fit: sums grow, so those whose sums fit are a prefix.
+
+    rank is any order of arrival; the window has so many ranks from the first of tasks on, whether all are there or not.
+    """
+    head = tasks.agg(F.min(rank)).first()[0] or 0
+    first = tasks.where(F.col(rank) < head + window)
+    return running_sums(first, rank, demands_of(remaining), window).where(_sums_fit(remaining)).select(*tasks.columns)
+
+
+def pack_in_order(pool: DataFrame, remaining: Amounts, order: Sequence, window: int = WINDOW) -> DataFrame:
+    """First fit over the first window rows of a pool in an order, all columns kept; seq is the place in the batch.
 
     The pool is bounded by window, which is part of the query, and Spark keeps the best window rows of each
     task before one task packs them.
     """
-    capacity = np.array(remaining, dtype=np.float64)
-    columns = [c for c in pool.columns if c in ("agent_id", "score", "fit", *DEMANDS, "duration")]
+    demands, capacity = demands_of(remaining), np.array(list(by_demand(remaining).values()), dtype=np.float64)
+    columns = [c for c in pool.columns if c in ("agent_id", "score", "fit", *demands, "duration", "arrival")]
 
     def pack(frames):
         parts = list(frames)
         if not parts:
             return
         rows = pd.concat(parts, ignore_index=True)
-        took = rows.iloc[first_fit(rows[DEMANDS].to_numpy(dtype=np.float64), capacity)].reset_index(drop=True)
+        took = rows.iloc[first_fit(rows[demands].to_numpy(dtype=np.float64), capacity)].reset_index(drop=True)
         yield took.assign(seq=np.arange(len(took), dtype=np.int64))
 
     chosen = pool.select(*columns).orderBy(*order).limit(window)
@@ -61,34 +68,33 @@ def pack_in_order(pool: DataFrame, remaining: Sequence[float], order: Sequence,
     return chosen.coalesce(1).mapInPandas(pack, schema)
 
 
-def first_fit_window(tasks: DataFrame, remaining: Sequence[float], rank: str = "agent_id", window: int = WINDOW) -> DataFrame:
+def first_fit_window(tasks: DataFrame, remaining: Amounts, rank: str = "agent_id", window: int = WINDOW) -> DataFrame:
     """The first window active tasks by arrival, skipping those that do not fit."""
     return pack_in_order(tasks, remaining, [F.asc(rank)], window)
 
 
-def best_fit(pool: DataFrame, remaining: Sequence[float], window: int = WINDOW) -> DataFrame:
+def best_fit(pool: DataFrame, remaining: Amounts, window: int = WINDOW) -> DataFrame:
     """Tasks with the largest demands over what remains first, then first fit."""
     keyed = pool.withColumn("fit", residual_key(remaining))
     return pack_in_order(keyed, remaining, [F.desc("fit"), F.asc("agent_id")], window)
 
 
-def distributed_first_fit(tasks: DataFrame, remaining: Sequence[int], order: Sequence[str], rounds: int = 64) -> DataFrame:
+def distributed_first_fit(tasks: DataFrame, remaining: Amounts, order: Sequence[str], rounds: int = 64) -> DataFrame:
     """First fit over a table of any size: each round takes the longest fitting prefix by running sums.
 
-    The driver holds only the capacity vector. What no longer fits alone leaves the table, so it shrinks
+    The driver holds only the capacity vector. Tasks are ranked once. What no longer fits alone leaves the table, so it shrinks
     from round to round; rounds bounds them, and an unfinished packing raises instead of dropping rows.
     """
-    left, alive, taken = list(remaining), tasks, None
+    demands, left, taken = demands_of(remaining), remaining, None
+    alive = ranked(tasks.where(feasible(left)), order, "_place")
     for _ in range(rounds):
-        alive = ranked(alive.where(conjunction([F.col(d) <= F.lit(c) for d, c in zip(DEMANDS, left, strict=True)])), order, "_place")
-        rows = alive.count()
-        if not rows:
-            return taken if taken is not None else tasks.limit(0)
-        summed = running_sums(alive, "_place", DEMANDS, rows)
-        fits = conjunction([F.col(f"s_{d}") <= F.lit(c) for d, c in zip(DEMANDS, left, strict=True)])
-        got = summed.where(fits).agg(F.max("_place").alias("last"), *(F.max(f"s_{d}").alias(d) for d in DEMANDS)).first()
-        part = alive.where(F.col("_place") <= got["last"]).select(*tasks.columns)
+        alive = alive.where(feasible(left))
+        rows = alive.agg(F.max("_place")).first()[0]
+        if rows is None:
+            return taken.select(*tasks.columns) if taken is not None else tasks.limit(0)
+        got = running_sums(alive, "_place", demands, rows + 1).where(_sums_fit(left)).agg(F.max("_place").alias("last"), *(F.max(f"s_{d}").alias(d) for d in demands)).first()
+        part = alive.where(F.col("_place") <= got["last"])
         taken = part if taken is None else taken.unionByName(part)
-        left = [c - got[d] for c, d in zip(left, DEMANDS, strict=True)]
-        alive = alive.where(F.col("_place") > got["last"]).select(*tasks.columns)
+        left = like_given([c - got[d] for d, c in by_demand(left).items()], left)
+        alive = alive.where(F.col("_place") > got["last"])
     raise RuntimeError(f"not packed after {rounds} rounds")

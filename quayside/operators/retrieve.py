@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.demand import feasible, rank_key, score
+from ..functions.demand import Amounts, feasible, rank_key, score
 
 POOL = 65_536
 SHARD_ROWS = 131_072
 LOCAL = 16_384
 
 
-def scored(tasks: DataFrame, method: str, remaining: Sequence[float], capacity: Sequence[float]) -> DataFrame:
+def scored(tasks: DataFrame, method: str, remaining: Amounts, capacity: Amounts) -> DataFrame:
     """Feasible tasks with their score: a filter that reaches the scan and one generated expression."""
     return tasks.where(feasible(remaining)).withColumn("score", rank_key(score(method, remaining, capacity)))
 

@@ -1,8 +1,7 @@
 """Sparse nonnegative approximation of what remains by the tasks' demand vectors.
 
 The pursuits look at every task in each round: one aggregate finds the best atom, and only the chosen atoms
-(at most a dozen vectors of one number per resource) and the residual are on the driver. The proximal
-solvers need all coefficients of a pool at once; they run for many bounded pools side by side.
+(at most a dozen vectors of one number per resource) and the residual are on the driver.
 """
 
 from __future__ import annotations
@@ -10,12 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.demand import DEMANDS, plus, shares
+from ..functions.demand import Amounts, demands_of, plus, shares
+from .proximal import Report
 
 ATOMS = 12
 TOLERANCE = 1e-6
@@ -33,20 +31,20 @@ def nonnegative_fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def _best_atom(tasks: DataFrame, value: Column, capacity: Sequence[float], chosen: Sequence[int]):
+def _best_atom(tasks: DataFrame, value: Column, capacity: Amounts, chosen: Sequence[int]):
     """The task of greatest value, of equals the least id, and its normalised demands."""
     rest = tasks.where(~F.col("agent_id").isin(list(chosen))) if chosen else tasks
-    own = rest.select(F.struct(F.round(value * F.lit(1e6), 4).alias("value"), (-F.col("agent_id")).alias("id"), *(s.alias(d) for d, s in zip(DEMANDS, shares(capacity), strict=True))).alias("x"))
+    own = rest.select(F.struct(F.round(value * F.lit(1e6), 4).alias("value"), (-F.col("agent_id")).alias("id"), *(s.alias(d) for d, s in zip(demands_of(capacity), shares(capacity), strict=True))).alias("x"))
     row = own.agg(F.max("x").alias("x")).first()["x"]
-    return None if row is None else (row["value"], -row["id"], np.array([row[d] for d in DEMANDS]))
+    return None if row is None else (row["value"], -row["id"], np.array([row[d] for d in demands_of(capacity)]))
 
 
-def _correlation(residual: np.ndarray, capacity: Sequence[float]) -> Column:
+def _correlation(residual: np.ndarray, capacity: Amounts) -> Column:
     a = shares(capacity)
     return plus([x * F.lit(float(r)) for x, r in zip(a, residual, strict=True)]) / F.sqrt(plus([x * x for x in a]))
 
 
-def _gain(residual: np.ndarray, basis: np.ndarray, capacity: Sequence[float]) -> Column:
+def _gain(residual: np.ndarray, basis: np.ndarray, capacity: Amounts) -> Column:
     """What the squared residual loses if a task joins atoms with this orthonormal basis."""
     a = shares(capacity)
     square = plus([x * x for x in a])
@@ -57,23 +55,32 @@ def _gain(residual: np.ndarray, basis: np.ndarray, capacity: Sequence[float]) ->
     return F.when(square > F.lit(1e-18), match * match / square).otherwise(F.lit(0.0))
 
 
-def pursue(tasks: DataFrame, target: Sequence[float], capacity: Sequence[float], method: str, atoms: int = ATOMS) -> list[tuple[int, float]]:
-    """(agent_id, coefficient) of the atoms that matching pursuit (mp), omp or ols chooses for target.
+def pursue(tasks: DataFrame, target: Sequence[float], capacity: Amounts, method: str, atoms: int = ATOMS) -> list[tuple[int, float]]:
+    """The coefficients of pursued, without its report."""
+    return pursued(tasks, target, capacity, method, atoms)[0]
+
+
+def pursued(tasks: DataFrame, target: Sequence[float], capacity: Amounts, method: str, atoms: int = ATOMS) -> tuple[list[tuple[int, float]], Report]:
+    """(agent_id, coefficient) of the atoms that matching pursuit (mp), omp or ols chooses for target, and how it ended.
 
     mp steps along the best atom and may choose one again; omp chooses by correlation and ols by the loss
-    after it, and both fit all chosen atoms anew. Atoms have unit length; coefficients are 0 or more.
+    after it, and both fit all chosen atoms anew. Atoms have unit length; coefficients are 0 or more. A pursuit
+    converges when the residual is small or no atom improves it, and not when its steps run out.
     """
     b = np.asarray(target, dtype=np.float64)
     budget = atoms if method == "mp" else min(atoms, len(b))
-    residual, ids, columns, x = b.copy(), [], [], np.zeros(0)
+    residual, ids, columns, x, steps, converged = b.copy(), [], [], np.zeros(0), 0, False
     for _ in range(budget):
         if np.linalg.norm(residual) <= TOLERANCE * np.linalg.norm(b):
+            converged = True
             break
         basis = np.linalg.qr(np.array(columns).T)[0] if columns else np.zeros((len(b), 0))
         value = _gain(residual, basis, capacity) if method == "ols" else _correlation(residual, capacity)
         best = _best_atom(tasks, value, capacity, [] if method == "mp" else ids)
         if best is None or best[0] <= 0:
+            converged = True
             break
+        steps += 1
         unit = best[2] / np.linalg.norm(best[2])
         if method == "mp":
             step = float(unit @ residual)
@@ -88,53 +95,6 @@ def pursue(tasks: DataFrame, target: Sequence[float], capacity: Sequence[float],
             columns.append(unit)
             x = nonnegative_fit(np.array(columns).T, b)
             residual = b - np.array(columns).T @ x
-    return [(i, float(c)) for i, c in sorted(zip(ids, x.tolist(), strict=True)) if c > 0]
-
-
-def fista(a: np.ndarray, b: np.ndarray, penalty: float = 0.025, steps: int = 64) -> np.ndarray:
-    """l1-penalised nonnegative fit by accelerated proximal steps, restarted where momentum points uphill."""
-    lipschitz = max(float(np.linalg.eigvalsh(a @ a.T)[-1]), 1e-12)
-    x = y = np.zeros(a.shape[1])
-    t = 1.0
-    for k in range(steps):
-        new = np.maximum(y - (a.T @ (a @ y - b) + penalty) / lipschitz, 0.0)
-        if (y - new) @ (new - x) > 0:
-            t = 1.0
-        later = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        moved = np.linalg.norm(new - x) / max(np.linalg.norm(x), 1e-12)
-        x, y, t = new, new + (t - 1) / later * (new - x), later
-        if k >= 3 and moved <= TOLERANCE:
-            break
-    return x
-
-
-def irls(a: np.ndarray, b: np.ndarray, penalty: float = 0.025, p: float = 0.5, floor: float = 1e-3, rounds: int = 8) -> np.ndarray:
-    """lp-penalised nonnegative fit by reweighted least squares, each solved exactly in the resources' space."""
-    x = np.maximum(a.T @ b, 0.0)
-    x /= max(float(x.max(initial=0.0)), 1.0)
-    for k in range(1, rounds + 1):
-        smooth = max(floor, 0.25 * 2.0 ** (1 - k))
-        spread = 1.0 / (penalty * p / 2 * (x * x + smooth * smooth) ** (p / 2 - 1))
-        new = np.maximum(spread * (a.T @ np.linalg.solve(np.eye(len(b)) + (a * spread) @ a.T, b)), 0.0)
-        moved = np.linalg.norm(new - x) / max(np.linalg.norm(x), 1e-12)
-        x = new
-        if k >= 3 and moved <= TOLERANCE:
-            break
-    return x
-
-
-def solve_pools(tasks: DataFrame, target: Sequence[float], capacity: Sequence[float], method: str, block_rows: int = 4096, pool: int = 64) -> DataFrame:
-    """(block, agent_id, coefficient): fista or irls for each block of arrivals, on its pool best by match to target."""
-    solver, b = {"fista": fista, "irls": irls}[method], np.asarray(target, dtype=np.float64)
-    match = plus([s * F.lit(float(t)) for s, t in zip(shares(capacity), target, strict=True)])
-    best = Window.partitionBy("block").orderBy(F.desc("match"), F.asc("agent_id"))
-    pools = tasks.select("agent_id", F.floor(F.col("agent_id") / block_rows).alias("block"), F.round(match * F.lit(1e6), 4).alias("match"), *(s.alias(d) for d, s in zip(DEMANDS, shares(capacity), strict=True)))
-    pools = pools.withColumn("place", F.row_number().over(best)).where(F.col("place") <= pool)
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("place")
-        a = rows[DEMANDS].to_numpy().T
-        x = solver(a / np.linalg.norm(a, axis=0), b)
-        return rows.assign(coefficient=x)[["block", "agent_id", "coefficient"]][x > 1e-9]
-
-    return pools.groupBy("block").applyInPandas(solve, "block bigint, agent_id bigint, coefficient double")
+    converged = converged or bool(np.linalg.norm(residual) <= TOLERANCE * np.linalg.norm(b))
+    found = [(i, float(c)) for i, c in sorted(zip(ids, x.tolist(), strict=True)) if c > 0]
+    return found, Report(method, residual.tolist(), 0.5 * float(residual @ residual), steps, converged)

@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.demand import DEMANDS, conjunction, oversize
+from ..functions.demand import Amounts, by_demand, conjunction, demand_columns, oversize
 
 
-def violations(tasks: DataFrame) -> DataFrame:
+def violations(tasks: DataFrame, demands: Sequence[str] | None = None) -> DataFrame:
     """One row: tasks in all, with a null, a non-finite and a non-positive demand or duration."""
-    values = [F.col(c).cast("double") for c in (*DEMANDS, "duration")]
+    values = [F.col(c).cast("double") for c in (*demand_columns(tasks, demands), "duration")]
     bad = lambda conds, name: F.coalesce(F.sum(F.when(~conjunction(conds), 1)), F.lit(0)).alias(name)
     known = [F.coalesce(v, F.lit(1.0)) for v in values]
     return tasks.agg(
@@ -23,7 +23,7 @@ def violations(tasks: DataFrame) -> DataFrame:
     )
 
 
-def oversize_rows(tasks: DataFrame, capacity: Sequence[float], limit: int = 10) -> DataFrame:
+def oversize_rows(tasks: DataFrame, capacity: Amounts, limit: int = 10) -> DataFrame:
     """The first tasks, by id, that no wave can hold."""
     return tasks.where(oversize(capacity)).orderBy("agent_id").limit(limit)
 
@@ -35,18 +35,18 @@ def id_check(tasks: DataFrame) -> DataFrame:
     return counts.select("n_rows", "n_ids", unique.alias("is_unique"), (unique & (F.col("least") == 0) & (F.col("greatest") == F.col("n_rows") - 1)).alias("is_permutation"))
 
 
-def distinctness(tasks: DataFrame, rows: int, sample: int = 1000) -> DataFrame:
+def distinctness(tasks: DataFrame, rows: int, sample: int = 1000, demands: Sequence[str] | None = None) -> DataFrame:
     """Share of distinct demand vectors among sample tasks at even distances in their ids."""
     step = max(rows // sample, 1)
     taken = tasks.where((F.col("agent_id") % step == 0) & (F.col("agent_id") < step * sample))
-    counts = taken.groupBy(*DEMANDS).count().agg(F.sum("count").alias("n_sampled"), F.count(F.lit(1)).alias("n_distinct"))
+    counts = taken.groupBy(*demand_columns(tasks, demands)).count().agg(F.sum("count").alias("n_sampled"), F.count(F.lit(1)).alias("n_distinct"))
     return counts.select("n_sampled", "n_distinct", F.round(F.col("n_distinct") / F.col("n_sampled"), 6).alias("unique_fraction"))
 
 
-def dispatch_check(batch: DataFrame, remaining: Sequence[float], tolerance: float = 1e-8) -> DataFrame:
+def dispatch_check(batch: DataFrame, remaining: Amounts, tolerance: float = 1e-8) -> DataFrame:
     """For each resource what a batch uses, what was there, and whether it holds."""
-    used = batch.agg(*(F.coalesce(F.sum(d), F.lit(0)).alias(d) for d in DEMANDS))
-    rows = F.explode(F.array(*(F.struct(F.lit(d).alias("resource"), F.col(d).cast("bigint").alias("used"), F.lit(int(r)).cast("bigint").alias("available")) for d, r in zip(DEMANDS, remaining, strict=True)))).alias("x")
+    used = batch.agg(*(F.coalesce(F.sum(d), F.lit(0)).alias(d) for d in by_demand(remaining)))
+    rows = F.explode(F.array(*(F.struct(F.lit(d).alias("resource"), F.col(d).cast("bigint").alias("used"), F.lit(int(r)).cast("bigint").alias("available")) for d, r in by_demand(remaining).items()))).alias("x")
     return used.select(rows).select("x.*").withColumn("holds", F.col("used") <= F.col("available") + F.lit(tolerance))
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.demand import DEMANDS
+from ..functions.demand import Amounts, by_demand, demand_columns, demands_of, like_given
 from ..operators.order import running_sums
 from ..operators.pack import WINDOW, best_fit, first_fit_window
 from ..operators.retrieve import POOL, active, scored, top_k
@@ -21,43 +21,55 @@ MOST_WAVES = 10_000
 class Policy:
     """How a batch is taken from active tasks, what remains and the capacity; it looks at rows tasks at most."""
 
-    take: Callable[[DataFrame, Sequence[float], Sequence[float]], DataFrame]
+    take: Callable[[DataFrame, Amounts, Amounts], DataFrame]
     rows: int
 
 
-def strict_starts(tasks: DataFrame, capacity: Sequence[int], rows: int) -> list[int]:
-    """First task of each wave when tasks run strictly in order: a wave ends before the first that does not fit.
+def require_equal_durations(tasks: DataFrame) -> None:
+    """Waves end together, so tasks whose durations differ by more than 1e-12 from the least are an error; without a duration they count as equal."""
+    if "duration" not in tasks.columns:
+        return
+    span = tasks.agg(F.min("duration").alias("least"), F.max("duration").alias("greatest")).first()
+    if span["least"] is not None and float(span["greatest"]) - float(span["least"]) > 1e-12:
+        raise ValueError(f"durations from {span['least']} to {span['greatest']}: waves need equal ones")
+
+
+def strict_starts(tasks: DataFrame, capacity: Amounts, rows: int, rank: str = "agent_id") -> list[int]:
+    """First rank of each wave when tasks run strictly in order: a wave ends before the first that does not fit.
 
     The running sums are written once. Each wave is then one aggregate over the rows after its start.
     """
-    summed = written(running_sums(tasks.select("agent_id", *DEMANDS), "agent_id", DEMANDS, rows), "sums")
-    starts, base = [], [0] * len(DEMANDS)
+    demands = demands_of(capacity)
+    summed = written(running_sums(tasks.select(rank, *demands), rank, demands, rows), "sums")
+    starts, base = [], [0] * len(demands)
     start = 0 if rows else None
     while start is not None:
         starts.append(start)
         if len(starts) > MOST_WAVES:
             raise RuntimeError(f"more than {MOST_WAVES} waves")
         over = F.lit(False)
-        for d, b, c in zip(DEMANDS, base, capacity, strict=True):
+        for (d, c), b in zip(by_demand(capacity).items(), base, strict=True):
             over = over | (F.col(f"s_{d}") > F.lit(b + c))
-        first = summed.where((F.col("agent_id") >= start) & over).agg(F.min(F.struct("agent_id", *((F.col(f"s_{d}") - F.col(d)).alias(d) for d in DEMANDS))).alias("x")).first()["x"]
+        first = summed.where((F.col(rank) >= start) & over).agg(F.min(F.struct(rank, *((F.col(f"s_{d}") - F.col(d)).alias(f"b_{d}") for d in demands))).alias("x")).first()["x"]
         if first is None:
             break
-        if first["agent_id"] == start:
+        if first[rank] == start:
             raise ValueError(f"task {start} fits no wave")
-        start, base = first["agent_id"], [first[d] for d in DEMANDS]
+        start, base = first[rank], [first[f"b_{d}"] for d in demands]
     return starts
 
 
-def strict_waves(tasks: DataFrame, capacity: Sequence[int], rows: int) -> DataFrame:
-    """tasks with wave, strictly in order of arrival."""
-    starts = strict_starts(tasks, capacity, rows)
-    wave = F.size(F.filter(F.array(*(F.lit(s).cast("bigint") for s in starts)), lambda s: s <= F.col("agent_id"))) - 1 if starts else F.lit(None)
+def strict_waves(tasks: DataFrame, capacity: Amounts, rows: int, rank: str = "agent_id") -> DataFrame:
+    """tasks with wave, strictly in order of arrival, which is any dense rank. Durations must be equal."""
+    require_equal_durations(tasks)
+    starts = strict_starts(tasks, capacity, rows, rank)
+    wave = F.size(F.filter(F.array(*(F.lit(s).cast("bigint") for s in starts)), lambda s: s <= F.col(rank))) - 1 if starts else F.lit(None)
     return tasks.withColumn("wave", wave.cast("bigint"))
 
 
-def fifo_policy(window: int = WINDOW) -> Policy:
-    return Policy(lambda tasks, remaining, capacity: first_fit_window(tasks, remaining, "agent_id", window), window)
+def fifo_policy(window: int = WINDOW, rank: str = "agent_id") -> Policy:
+    """The first so many active tasks by rank, whether or not ranks between are gone."""
+    return Policy(lambda tasks, remaining, capacity: first_fit_window(tasks, remaining, rank, window), window)
 
 
 def sparse_policy(method: str, pool: int = POOL) -> Policy:
@@ -65,23 +77,25 @@ def sparse_policy(method: str, pool: int = POOL) -> Policy:
     return Policy(lambda tasks, remaining, capacity: best_fit(top_k(scored(tasks, method, remaining, capacity), pool), remaining, pool), pool)
 
 
-def policy_waves(tasks: DataFrame, capacity: Sequence[int], policy: Policy) -> DataFrame:
+def policy_waves(tasks: DataFrame, capacity: Amounts, policy: Policy) -> DataFrame:
     """tasks with wave: in each wave batches are taken until none fits, then capacity is whole again.
 
     What is left is written after each batch, so that plans stay short and lost executors cost one batch. A
-    batch that all active tasks were looked at for leaves none that fits, as demands are positive.
+    batch that all active tasks were looked at for leaves none that fits, as demands are positive. Durations must be equal.
     """
+    require_equal_durations(tasks)
+    demands = demands_of(capacity)
     left, done, wave = tasks, None, 0
     rows = left.count()
     while rows:
-        remaining, got_any = list(capacity), False
+        remaining, got_any = capacity, False
         while rows:
-            batch = written(policy.take(left, remaining, capacity).select("agent_id", *DEMANDS, F.lit(wave).cast("bigint").alias("wave")), "batch")
-            used = batch.agg(F.count(F.lit(1)).alias("n"), *(F.sum(d).alias(d) for d in DEMANDS)).first()
+            batch = written(policy.take(left, remaining, capacity).select("agent_id", *demands, F.lit(wave).cast("bigint").alias("wave")), "batch")
+            used = batch.agg(F.count(F.lit(1)).alias("n"), *(F.sum(d).alias(d) for d in demands)).first()
             if not used["n"]:
                 break
             got_any, whole, rows = True, rows <= policy.rows, rows - used["n"]
-            remaining = [r - used[d] for r, d in zip(remaining, DEMANDS, strict=True)]
+            remaining = like_given([r - used[d] for d, r in by_demand(remaining).items()], remaining)
             done = batch if done is None else done.unionByName(batch)
             left = written(active(left, batch), "left")
             if whole:
@@ -95,11 +109,13 @@ def policy_waves(tasks: DataFrame, capacity: Sequence[int], policy: Policy) -> D
     return tasks.join(placed, "agent_id")
 
 
-def trace(waves: DataFrame) -> DataFrame:
+def trace(waves: DataFrame, demands: Sequence[str] | None = None) -> DataFrame:
     """Waves of one unit of time each as starts and finishes."""
-    return waves.select("agent_id", F.col("wave").cast("double").alias("start"), (F.col("wave") + 1).cast("double").alias("finish"), "wave", *DEMANDS)
+    demands = demand_columns(waves, demands)
+    return waves.select("agent_id", F.col("wave").cast("double").alias("start"), (F.col("wave") + 1).cast("double").alias("finish"), "wave", *demands)
 
 
-def wave_summary(waves: DataFrame) -> DataFrame:
+def wave_summary(waves: DataFrame, demands: Sequence[str] | None = None) -> DataFrame:
     """For each wave its tasks and what they use."""
-    return waves.groupBy("wave").agg(F.count(F.lit(1)).alias("n_tasks"), *(F.sum(d).cast("bigint").alias(f"used_{d}") for d in DEMANDS))
+    demands = demand_columns(waves, demands)
+    return waves.groupBy("wave").agg(F.count(F.lit(1)).alias("n_tasks"), *(F.sum(d).cast("bigint").alias(f"used_{d}") for d in demands))

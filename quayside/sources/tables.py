@@ -5,10 +5,10 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.demand import DEMANDS
+from ..functions.demand import demand_columns
 from ..operators.order import ranked
 from .shared import written
 
@@ -24,8 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lineitem_tasks(lineitem: DataFrame) -> DataFrame:
-    """(agent_id, r0..r3, duration): one task for each row, numbered in the order of arrival; demands are whole and positive."""
+def lineitem_tasks(lineitem: DataFrame, **more: Column) -> DataFrame:
+    """(agent_id, r0..r3, duration) and more: one task for each row, numbered in the order of arrival; demands are whole and positive."""
     return ranked(lineitem, ARRIVAL, "agent_id").select(
         "agent_id",
         F.round(F.col("l_quantity") * 100).cast("bigint").alias("r0"),
@@ -33,6 +33,7 @@ def lineitem_tasks(lineitem: DataFrame) -> DataFrame:
         (F.round(F.col("l_discount") * 1000).cast("bigint") + 1).alias("r2"),
         (F.round(F.col("l_tax") * 1000).cast("bigint") + 1).alias("r3"),
         F.col("l_linenumber").cast("bigint").alias("duration"),
+        *(c.alias(n) for n, c in more.items()),
     )
 
 
@@ -44,10 +45,11 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _TASKS[key]
 
 
-def capacities(df: DataFrame, waves: int = WAVES) -> list[int]:
+def capacities(df: DataFrame, waves: int = WAVES, demands: Sequence[str] | None = None) -> list[int]:
     """For each resource the least whole capacity that so many waves of the whole table fill."""
-    row = df.agg(*(F.ceil(F.sum(d) / F.lit(float(waves))).cast("bigint").alias(d) for d in DEMANDS)).first()
-    return [int(row[d] or 1) for d in DEMANDS]
+    demands = demand_columns(df, demands)
+    row = df.agg(*(F.ceil(F.sum(d) / F.lit(float(waves))).cast("bigint").alias(d) for d in demands)).first()
+    return [int(row[d] or 1) for d in demands]
 
 
 def save_tasks(df: DataFrame, path: str, resources: Sequence[str], metadata: dict | None = None, overwrite: bool = False) -> None:
