@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,25 +63,37 @@ class TokenPair:
         self.written = [f"{k}{c}".encode() for k in range(n) for c in ",|"] + [f"{k}{c}".encode() for k in range(len(pieces)) for c in ",;"]
         self.memo: dict[str, tuple[bytes, bytes] | None] = {}
         self.older: dict[str, tuple[bytes, bytes] | None] = {}
+        self.long: list[str] = []
 
     def words(self, text: str) -> list[str]:
         return _CUT(text) if self.by_words else [text]
 
     def ids_of(self, words: set[str]) -> dict[str, tuple[bytes, bytes] | None]:
-        """For each word its A ids, with a space before it, and its B ids, as little-endian 32-bit integers; None for bad ones."""
-        known = {w: self.memo[w] for w in words if w in self.memo}
-        known |= {w: self.older[w] for w in words if w not in known and w in self.older}
-        new = [w for w in words if w not in known]
+        """A mapping with, for each of these words, its A ids, with a space before it, and its B ids, as native 32-bit integers; None for bad ones.
+
+        The mapping is the memo itself, good until the next call, which first drops long words and sets a full memo aside.
+        """
+        for w in self.long:
+            del self.memo[w]
+        if len(self.memo) > MEMO_ENTRIES:
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
+        new = []
+        for w in words:
+            if w not in memo:
+                if w in older:
+                    memo[w] = older[w]
+                else:
+                    new.append(w)
+        self.long = [w for w in new if len(w) > MEMO_CHARS]
+        a_bytes, b_bytes = self.a_bytes.__getitem__, self.b_bytes.__getitem__
         for k in range(0, len(new), 4096):
             some = new[k : k + 4096]
             for w, a, b in zip(some, self.a.encode_batch([" " + w for w in some], add_special_tokens=False), self.b.encode(some, num_threads=1), strict=True):
                 whole, ids = b" " + w.encode(), a.ids
-                good = b"".join(self.a_bytes[x] for x in ids) == whole and b"".join(self.b_bytes[x] for x in b) == whole
-                known[w] = (np.array(ids, dtype="<u4").tobytes(), np.array(b, dtype="<u4").tobytes()) if good else None
-        self.memo |= {w: x for w, x in known.items() if len(w) <= MEMO_CHARS}
-        if len(self.memo) > MEMO_ENTRIES:
-            self.older, self.memo = self.memo, {}
-        return known
+                good = b"".join(map(a_bytes, ids)) == whole and b"".join(map(b_bytes, b)) == whole
+                memo[w] = (array("I", ids).tobytes(), array("I", b).tobytes()) if good else None
+        return memo
 
     def align(self, a: list[bytes], b: list[bytes]) -> Iterator[tuple]:
         """For each stretch of bytes that both a and b are ids of: tokens of A and B, groups, links, id pairs, how often, and the groups as text.
@@ -167,13 +180,18 @@ def _documents(pair: TokenPair, texts: list[str], keep: bool) -> list[tuple]:
     held = 0
 
     def flush() -> None:
-        ids = pair.ids_of({w for _, own in run for w in own})
+        ids = pair.ids_of(set().union(*(own for _, own in run))).__getitem__
+        good, a, b = [], [], []
         for k, own in run:
-            docs[k].bad |= any(ids[w] is None for w in own)
-        good = [(k, [ids[w] for w in own]) for k, own in run if not docs[k].bad]
+            found = list(map(ids, own))
+            if docs[k].bad or None in found:
+                docs[k].bad = True
+                continue
+            good.append(k)
+            a.append(b"".join([x[0] for x in found]))
+            b.append(b"".join([x[1] for x in found]))
         if good:
-            aligned = pair.align([b"".join([x[0] for x in own]) for _, own in good], [b"".join([x[1] for x in own]) for _, own in good])
-            for (k, _), found in zip(good, aligned, strict=True):
+            for k, found in zip(good, pair.align(a, b), strict=True):
                 docs[k].add(*found, keep)
         run.clear()
 
