@@ -1,14 +1,17 @@
-"""Queries on tasks with any number of named demands, on an order of arrival apart from the ids, and on the solvers' reports."""
+"""Queries on tasks with any number of named demands, on an order of arrival apart from the ids, on reports, counters and traces."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalogue import GATE, POOL, REMS, SHARED, TASKS, TENTHS, WINDOW, _context, _fold, _target, query
+from .catalogue import _RESULTS, GATE, POOL, REMS, SCORE, SHARED, TASKS, TENTHS, WINDOW, _context, _fold, _results, _target, query
 from .functions.demand import DEMANDS, uniform_sql
 from .operators import metrics, pack, proximal, retrieve, solve
 from .operators.order import arrival_ranks, reranked, with_arrival
+from .operators.signed_rank import signed_rank
+from .operators.usage import usage_over_time, usage_totals
+from .plans import counted
 from .plans import waves as plans
 from .sources.shared import written
 from .sources.tables import WAVES, capacities, lineitem_tasks, table, tasks
@@ -231,3 +234,82 @@ def solver_reports(spark, sf_dir):
         else:
             found.append(solve.pursued(pool, target, capacity, method)[1].row())
     return spark.createDataFrame(found, proximal.REPORT).select("method", F.round("residual_norm", 6).alias("residual_norm"), F.round("objective", 6).alias("objective"), "iterations", "converged")
+
+
+# ---------------------------------------------------------------- counters, paired tests, usage over time
+
+_COUNTED = ("mp", "ols")
+
+
+def _counted_sql(method: str) -> str:
+    fits, residual = " AND ".join(f"r{k} <= m{k}" for k in range(4)), "round((" + " + ".join(f"CAST(r{k} AS DOUBLE) / m{k}" for k in range(4)) + ") * 1e6, 4)"
+    fold = _fold(f"win_{method}", "fit DESC, agent_id", "m").replace("packed AS", f"packed_{method} AS").replace("batch AS", f"batch_{method} AS").replace("FROM packed)", f"FROM packed_{method})")
+    return (
+        f"pool_{method} AS (SELECT agent_id, r0, r1, r2, r3 FROM (SELECT *, round(({SCORE[method]}) * 1e6, 4) AS score FROM shared WHERE {fits}) ORDER BY score DESC, agent_id LIMIT {POOL}), "
+        f"win_{method} AS (SELECT *, {residual} AS fit FROM pool_{method}, rems), {fold}"
+    )
+
+
+def _counters_row(method: str, considered: str, selected: str) -> str:
+    fits = " AND ".join(f"r{k} <= m{k}" for k in range(4))
+    return f"SELECT '{method}' AS method, (SELECT count(*) FROM tasks) AS scanned, (SELECT count(*) FROM tasks, rems WHERE {fits}) AS feasible, {considered} AS considered, {selected} AS selected, {considered} - {selected} AS rejected"
+
+
+_STRICT = f"(SELECT count(*) FROM (SELECT *, {', '.join(f'sum(r{k}) OVER (ORDER BY agent_id) AS s{k}' for k in range(4))} FROM tasks WHERE agent_id < {WINDOW}), rems WHERE {_IN_SUMS})"
+_LOOKED = f"least((SELECT count(*) FROM tasks), {WINDOW})"
+
+
+@query(
+    "dispatch_counters",
+    f"WITH {SHARED}, {', '.join(map(_counted_sql, _COUNTED))}, win AS (SELECT * FROM tasks, rems WHERE agent_id < {WINDOW}), {_fold('win', 'agent_id', 'm')} "
+    + " UNION ALL ".join(_counters_row(m, f"(SELECT count(*) FROM pool_{m})", f"(SELECT count(*) FROM batch_{m})") for m in _COUNTED)
+    + f" UNION ALL {_counters_row('fifo_windowed', _LOOKED, '(SELECT count(*) FROM batch)')} UNION ALL {_counters_row('fifo_strict', f'least({_LOOKED}, {_STRICT} + 1)', _STRICT)}",
+)
+def dispatch_counters(spark, sf_dir):
+    rows, capacity, remaining = _context(spark, sf_dir)
+    found = [counted.counted_dispatch(rows, remaining, capacity, m)[1] for m in (*_COUNTED, "fifo_windowed", "fifo_strict")]
+    return spark.createDataFrame(found, counted.COUNTERS)
+
+
+_ENUMERATED = f"""WITH {_RESULTS},
+cuts AS (SELECT o.pattern, o.seed, o.makespan - b.makespan AS d FROM results o JOIN results b ON o.pattern = b.pattern AND o.seed = b.seed WHERE o.method = 'R' AND b.method = 'A'),
+moved AS (SELECT pattern, d, row_number() OVER (PARTITION BY pattern ORDER BY seed) - 1 AS bit, 2 * count(*) OVER (PARTITION BY pattern ORDER BY abs(d)) - count(*) OVER (PARTITION BY pattern, abs(d)) + 1 AS twice FROM cuts WHERE d <> 0),
+told AS (SELECT pattern, count(*) AS pairs, coalesce(sum(twice) FILTER (WHERE d > 0), 0) AS w FROM moved GROUP BY pattern),
+signs AS (SELECT t.pattern, s.x, sum(CASE WHEN (s.x >> m.bit) & 1 = 1 THEN m.twice ELSE 0 END) AS w FROM told t, range(4096) s(x), moved m WHERE m.pattern = t.pattern AND s.x < (1 << t.pairs) GROUP BY ALL),
+chances AS (SELECT t.pattern, avg(CAST(s.w <= t.w AS INT)) AS less, avg(CAST(s.w >= t.w AS INT)) AS more FROM told t JOIN signs s ON s.pattern = t.pattern GROUP BY t.pattern)
+SELECT pattern, pairs, w / 2.0 AS rank_sum, round(less, 9) AS p_less, round(least(2 * least(less, more), 1.0), 9) AS p_two_sided FROM told JOIN chances USING (pattern)"""
+
+
+@query("paired_signed_rank", _ENUMERATED)
+def paired_signed_rank(spark, sf_dir):
+    """The oracle tries all signs of at most twelve pairs."""
+    found = signed_rank(_results(spark, sf_dir), "R", "A", ["seed"], "makespan", ["pattern"])
+    return found.select("pattern", "pairs", "rank_sum", F.round("p_less", 9).alias("p_less"), F.round("p_two_sided", 9).alias("p_two_sided"))
+
+
+#: A trace of all tasks whose finishes meet but for rounding: starts at halves, thirds of a unit long.
+_START, _FINISH = "CAST(agent_id * 7919 % 2003 AS DOUBLE) / 2.0::DOUBLE", "CAST(agent_id * 7919 % 2003 AS DOUBLE) / 2.0::DOUBLE + CAST(duration AS DOUBLE) / 3.0::DOUBLE"
+_LEVELS = ", ".join(f"CAST(sum(r{k}) OVER (ORDER BY instant) AS BIGINT) AS r{k}" for k in range(4))
+_USAGE = f"""WITH {TASKS},
+moves AS (SELECT {_START} AS at, 1 AS sign, r0, r1, r2, r3 FROM tasks UNION ALL SELECT {_FINISH}, -1, r0, r1, r2, r3 FROM tasks),
+change AS (SELECT at, sum(sign) AS n, {", ".join(f"sum(sign * r{k}) AS r{k}" for k in range(4))} FROM moves GROUP BY at),
+marked AS (SELECT *, CASE WHEN at - lag(at) OVER (ORDER BY at) <= 1e-10 THEN 0 ELSE 1 END AS fresh FROM change),
+numbered AS (SELECT *, sum(fresh) OVER (ORDER BY at) AS instant FROM marked),
+islands AS (SELECT instant, min(at) AS at, sum(n) AS n, {", ".join(f"sum(r{k}) AS r{k}" for k in range(4))} FROM numbered GROUP BY instant),
+levels AS (SELECT at, coalesce(lead(at) OVER (ORDER BY instant) - at, 0) AS elapsed, CAST(sum(n) OVER (ORDER BY instant) AS BIGINT) AS n_running, {_LEVELS} FROM islands)"""
+
+
+def _trace(spark, sf_dir) -> DataFrame:
+    own = tasks(spark, sf_dir)
+    start, finish = (F.expr(e.replace("::DOUBLE", "D")) for e in (_START, _FINISH))
+    return own.select("agent_id", start.alias("start"), finish.alias("finish"), *DEMANDS)
+
+
+@query("usage_over_time", f"{_USAGE} SELECT round(at, 6) AS at, round(elapsed, 6) AS elapsed, n_running, r0, r1, r2, r3 FROM levels")
+def levels_over_time(spark, sf_dir):
+    return usage_over_time(_trace(spark, sf_dir)).select(F.round("at", 6).alias("at"), F.round("elapsed", 6).alias("elapsed"), "n_running", *DEMANDS)
+
+
+@query("usage_of_trace", f"{_USAGE} " + " UNION ALL ".join(f"SELECT 'r{k}' AS resource, round(sum(r{k} * elapsed), 3) AS usage FROM levels" for k in range(4)))
+def usage_of_trace(spark, sf_dir):
+    return usage_totals(_trace(spark, sf_dir)).select("resource", F.round("usage", 3).alias("usage"))
