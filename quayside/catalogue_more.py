@@ -291,12 +291,12 @@ def paired_signed_rank(spark, sf_dir):
 _START, _FINISH = "CAST(agent_id * 7919 % 2003 AS DOUBLE) / 2.0::DOUBLE", "CAST(agent_id * 7919 % 2003 AS DOUBLE) / 2.0::DOUBLE + CAST(duration AS DOUBLE) / 3.0::DOUBLE"
 _LEVELS = ", ".join(f"CAST(sum(r{k}) OVER (ORDER BY instant) AS BIGINT) AS r{k}" for k in range(4))
 _USAGE = f"""WITH {TASKS},
-moves AS (SELECT {_START} AS at, 1 AS sign, r0, r1, r2, r3 FROM tasks UNION ALL SELECT {_FINISH}, -1, r0, r1, r2, r3 FROM tasks),
-change AS (SELECT at, sum(sign) AS n, {", ".join(f"sum(sign * r{k}) AS r{k}" for k in range(4))} FROM moves GROUP BY at),
-marked AS (SELECT *, CASE WHEN at - lag(at) OVER (ORDER BY at) <= 1e-10 THEN 0 ELSE 1 END AS fresh FROM change),
-numbered AS (SELECT *, sum(fresh) OVER (ORDER BY at) AS instant FROM marked),
-islands AS (SELECT instant, min(at) AS at, sum(n) AS n, {", ".join(f"sum(r{k}) AS r{k}" for k in range(4))} FROM numbered GROUP BY instant),
-levels AS (SELECT at, coalesce(lead(at) OVER (ORDER BY instant) - at, 0) AS elapsed, CAST(sum(n) OVER (ORDER BY instant) AS BIGINT) AS n_running, {_LEVELS} FROM islands)"""
+moves AS (SELECT {_START} AS moment, 1 AS sign, r0, r1, r2, r3 FROM tasks UNION ALL SELECT {_FINISH}, -1, r0, r1, r2, r3 FROM tasks),
+change AS (SELECT moment, sum(sign) AS n, {", ".join(f"sum(sign * r{k}) AS r{k}" for k in range(4))} FROM moves GROUP BY moment),
+marked AS (SELECT *, CASE WHEN moment - lag(moment) OVER (ORDER BY moment) <= 1e-10 THEN 0 ELSE 1 END AS fresh FROM change),
+numbered AS (SELECT *, sum(fresh) OVER (ORDER BY moment) AS instant FROM marked),
+islands AS (SELECT instant, min(moment) AS moment, sum(n) AS n, {", ".join(f"sum(r{k}) AS r{k}" for k in range(4))} FROM numbered GROUP BY instant),
+levels AS (SELECT moment, coalesce(lead(moment) OVER (ORDER BY instant) - moment, 0) AS elapsed, CAST(sum(n) OVER (ORDER BY instant) AS BIGINT) AS n_running, {_LEVELS} FROM islands)"""
 
 
 def _trace(spark, sf_dir) -> DataFrame:
@@ -305,7 +305,7 @@ def _trace(spark, sf_dir) -> DataFrame:
     return own.select("agent_id", start.alias("start"), finish.alias("finish"), *DEMANDS)
 
 
-@query("usage_over_time", f"{_USAGE} SELECT round(at, 6) AS at, round(elapsed, 6) AS elapsed, n_running, r0, r1, r2, r3 FROM levels")
+@query("usage_over_time", f"{_USAGE} SELECT round(moment, 6) AS \"at\", round(elapsed, 6) AS elapsed, n_running, r0, r1, r2, r3 FROM levels")
 def levels_over_time(spark, sf_dir):
     return usage_over_time(_trace(spark, sf_dir)).select(F.round("at", 6).alias("at"), F.round("elapsed", 6).alias("elapsed"), "n_running", *DEMANDS)
 
