@@ -369,23 +369,39 @@ def duration_check(spark, sf_dir):
 # ---------------------------------------------------------------- generated tasks
 
 _IDS = "ids AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS id FROM orders)"
-_ENDS = [sum(range(1, k + 2)) / (gen.CLUSTERS * (gen.CLUSTERS + 1) / 2) for k in range(gen.CLUSTERS)]
+_SHAPE = gen.Workload()
+_U = lambda *keys: uniform_sql(_SHAPE.seed, *map(str, keys))
+
+
+def _span(low: float, high: float, u: str) -> str:
+    return f"({low!r}::DOUBLE + {high - low!r}::DOUBLE * {u})"
+
+
+def _level_sql(k: int) -> str:
+    """A cluster's level of resource k."""
+    m = _SHAPE.resources
+    base = f"CASE WHEN cluster % {m} = {k} THEN {_span(*_SHAPE.dominant, _U('cluster', gen.MAIN))} ELSE {_span(*_SHAPE.background, _U('cluster', gen.LEVEL + k))} END"
+    return f"({base}) * CASE WHEN (cluster % {m} + 1 + cluster // {m}) % {m} = {k} THEN {_span(*_SHAPE.second, _U('cluster', gen.SECOND))} ELSE 1.0::DOUBLE END"
 
 
 def _generated_sql(pattern: str) -> str:
-    if pattern == "complementary":
-        cluster = f"CAST(id % {gen.CLUSTERS} AS INT)"
-    else:
-        place = "CAST(id AS DOUBLE) / (SELECT count(*) FROM ids)" if pattern == "bursts" else uniform_sql(100, "id", "17")
-        cluster = "CASE " + " ".join(f"WHEN {place} < CAST({e!r} AS DOUBLE) THEN {k}" for k, e in enumerate(_ENDS[:-1])) + f" ELSE {gen.CLUSTERS - 1} END"
-    demand = lambda k: f"round((CASE WHEN cluster % 4 = {k} THEN 110.0::DOUBLE WHEN (cluster + 1 + cluster // 4) % 4 = {k} THEN 22.0::DOUBLE ELSE 10.0::DOUBLE END) * (0.8::DOUBLE + 0.4::DOUBLE * {uniform_sql(100, 'id', str(k))}), 6) AS r{k}"
-    return f"WITH {_IDS}, labelled AS (SELECT id, {cluster} AS cluster FROM ids), made AS (SELECT id AS agent_id, CAST(cluster AS INT) AS cluster, {', '.join(map(demand, range(4)))}, CAST(1 AS DOUBLE) AS duration FROM labelled) "
+    n = _SHAPE.clusters
+    shares = f"gammas AS (SELECT c AS cluster, sum(-ln(greatest({_U('c', f'({gen.SHARE} + i)')}, 1e-12))) AS g FROM range({n}) a(c), range({_SHAPE.concentration}) b(i) GROUP BY c), edges AS (SELECT cluster, sum(g) OVER (ORDER BY cluster) / (SELECT sum(g) FROM gammas) AS high FROM gammas)"
+    drawn = f"drawn AS (SELECT id, CAST(count(e.cluster) AS INT) AS cluster FROM ids LEFT JOIN edges e ON e.cluster < {n - 1} AND e.high <= {_U('id', gen.LABEL, 0)} GROUP BY id)"
+    labelled = {
+        "iid": "labelled AS (SELECT * FROM drawn)",
+        "bursts": f"counts AS (SELECT cluster, count(*) AS n FROM drawn GROUP BY cluster), runs AS (SELECT cluster, n, sum(n) OVER (ORDER BY {_U('cluster', gen.TURN)}, cluster) AS till FROM counts), labelled AS (SELECT id, cluster FROM ids JOIN runs ON id >= till - n AND id < till)",
+        "complementary": f"labelled AS (SELECT id, CAST((row_number() OVER (ORDER BY {_U('id', gen.PLACE, 0)}, id) - 1) % {n} AS INT) AS cluster FROM ids)",
+    }[pattern]
+    normal = lambda k: f"sqrt(-2.0::DOUBLE * ln(greatest({_U('id', gen.RADIUS + k, 0)}, 1e-12))) * cos(2.0::DOUBLE * pi() * {_U('id', gen.ANGLE + k, 0)})"
+    added = lambda k: "" if pattern == "complementary" else f" + {_span(*_SHAPE.added, _U('id', gen.ADDED + k, 0))}"
+    demand = lambda k: f"round({_level_sql(k)} * exp({_SHAPE.jitter!r}::DOUBLE * {normal(k)}){added(k)}, 6) AS r{k}"
+    return f"WITH {_IDS}, {shares}, {drawn}, {labelled}, made AS (SELECT id AS agent_id, CAST(cluster AS INT) AS cluster, {', '.join(map(demand, range(_SHAPE.resources)))}, CAST(1 AS DOUBLE) AS duration FROM labelled) "
 
 
 def _generated(spark, sf_dir, pattern: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    ids = ranked(orders, ["o_orderkey"], "id")
-    return gen.generate(ids, pattern, orders.count())
+    ids = ranked(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], "id")
+    return gen.generate(ids, pattern)
 
 
 def _register_pattern(pattern: str) -> None:
@@ -408,9 +424,9 @@ def _register_durations(mode: str, sql: str) -> None:
         return tasks(spark, sf_dir).select("agent_id", F.round(gen.duration_column(mode), 6).alias("duration"))
 
 
-_U, _V = uniform_sql(100, "agent_id", "31"), uniform_sql(100, "agent_id", "37")
-_register_durations("uniform", f"0.65::DOUBLE + 0.7::DOUBLE * {_U}")
-_register_durations("lognormal", f"exp(CAST({-0.35 * 0.35 / 2!r} AS DOUBLE) + 0.35::DOUBLE * sqrt(-2.0::DOUBLE * ln(greatest({_U}, 1e-12))) * cos(2.0::DOUBLE * pi() * {_V}))")
+_D, _V = uniform_sql(100, "agent_id", "31"), uniform_sql(100, "agent_id", "37")
+_register_durations("uniform", f"0.65::DOUBLE + 0.7::DOUBLE * {_D}")
+_register_durations("lognormal", f"exp(CAST({-0.35 * 0.35 / 2!r} AS DOUBLE) + 0.35::DOUBLE * sqrt(-2.0::DOUBLE * ln(greatest({_D}, 1e-12))) * cos(2.0::DOUBLE * pi() * {_V}))")
 
 
 # ---------------------------------------------------------------- waves

@@ -145,6 +145,15 @@ def uniform(seed: int, *keys: Column) -> Column:
     return x.cast("double") / F.lit(2147483647.0)
 
 
+def uniform_number(seed: int, *keys: int) -> float:
+    """What uniform gives, for plain numbers."""
+    x = seed
+    for k in keys:
+        x = ((x + k) * 48271 + 11) % 2147483647
+        x = (x * x + 7) % 2147483647
+    return x / 2147483647.0
+
+
 def uniform_sql(seed: int, *keys: str) -> str:
     x = f"CAST({seed} AS BIGINT)"
     for k in keys:

@@ -38,19 +38,30 @@ def test_first_fit_is_the_sequential_scan(demands, capacity):
     assert got.tolist() == sequential(demands, capacity)
 
 
-def test_strict_stops_and_window_skips(spark):
-    tasks = make(spark, wide([(9, 2), (4, 4), (1, 7)]))
-    capacity = [10, 10, 100, 100]
-    assert [r[0] for r in pack.strict_prefix(tasks, capacity, "agent_id").select("agent_id").collect()] == [0]
-    assert [r["agent_id"] for r in pack.first_fit_window(tasks, capacity).orderBy("seq").collect()] == [0, 2]
-    assert sorted(r[0] for r in pack.distributed_first_fit(tasks, capacity, ["agent_id"]).select("agent_id").collect()) == [0, 2]
+#: Four kinds of tasks in turn, each short of another resource; the third kind alone exceeds what is left of the last one.
+MIXED = [(17, 3, 29, 8), (5, 31, 11, 2), (2, 2, 4, 71), (23, 6, 1, 13)] * 5
+LIMITS = [88, 97, 120, 65]
 
 
-def test_best_fit_is_feasible(spark):
-    tasks = make(spark, wide([(9, 1), (6, 3), (1, 9), (3, 6)]))
-    batch = tasks.join(pack.best_fit(tasks, [10, 10, 100, 100]).select("agent_id"), "agent_id")
-    assert batch.count() >= 2
-    assert all(r["holds"] for r in validate.dispatch_check(batch, [10, 10, 100, 100]).collect())
+def test_strict_stops_and_window_skips(spark):
+    """Strict ends at the first task of the third kind; first fit goes on to the others for as long as they fit."""
+    tasks = make(spark, MIXED)
+    assert [r[0] for r in pack.strict_prefix(tasks, LIMITS, "agent_id").select("agent_id").collect()] == [0, 1]
+    skipping = sequential(MIXED, LIMITS)
+    assert len(skipping) > 4 and not any(i % 4 == 2 for i in skipping)
+    assert [r["agent_id"] for r in pack.first_fit_window(tasks, LIMITS).orderBy("seq").collect()] == skipping
+    assert sorted(r[0] for r in pack.distributed_first_fit(tasks, LIMITS, ["agent_id"]).select("agent_id").collect()) == skipping
+
+
+def test_best_fit_takes_the_largest_first_whatever_the_order(spark):
+    tasks = make(spark, MIXED)
+    size = [sum(x / c for x, c in zip(d, LIMITS)) for d in MIXED]
+    order = sorted(range(len(MIXED)), key=lambda i: (-round(size[i] * 1e6, 4), i))
+    want = [order[k] for k in sequential([MIXED[i] for i in order], LIMITS)]
+    shuffled = tasks.orderBy(F.hash("agent_id"))
+    batch = pack.best_fit(shuffled, LIMITS)
+    assert [r["agent_id"] for r in batch.orderBy("seq").collect()] == want
+    assert all(r["holds"] for r in validate.dispatch_check(batch, LIMITS).collect())
 
 
 def test_packing_an_empty_pool(spark):
@@ -82,12 +93,15 @@ def test_pursuit_finds_the_support(spark, method):
     assert min(found.values()) > 0
 
 
-def test_proximal_solvers_recover_a_sparse_target():
-    a, b = np.eye(6), np.array([1, 0, 2, 0, 0.5, 0])
-    assert np.allclose(solve.fista(a, b, penalty=1e-6, steps=200), b, atol=2e-4)
-    assert np.allclose(solve.irls(a, b, penalty=1e-7), b, atol=1e-3)
-    assert np.allclose(solve.nonnegative_fit(np.array([[1, 0.9], [0, 0.1], [0, 0]]), np.array([1, 0.1, 0])), [0.1, 1.0])
-    assert (solve.nonnegative_fit(-np.eye(2), np.ones(2)) == 0).all()
+def test_nonnegative_fit_leaves_out_what_would_be_negative():
+    a = np.array([[0.8, 0.6, 0.0], [0.6, -0.8, 0.0], [0.0, 0.0, 1.0]])
+    target = a @ np.array([2.0, -1.5, 0.25])
+    fit = solve.nonnegative_fit(a, target)
+    assert (fit >= 0).all() and fit[1] == 0
+    # what is left is at a right angle to the columns in use, and no other column would lower it
+    rest = target - a @ fit
+    assert np.allclose(a[:, fit > 0].T @ rest, 0) and (a[:, fit == 0].T @ rest <= 0).all()
+    assert (solve.nonnegative_fit(-a[:, [0, 2]], np.array([1.0, 1.0, 1.0])) == 0).all()
 
 
 @pytest.mark.parametrize("method", ["mp", "omp", "ols", "fista", "irls"])
@@ -105,17 +119,19 @@ def test_ranked_dispatch_is_feasible_and_starts_with_the_support(spark, method):
         assert {r["agent_id"] for r in batch.where(f"seq < {len(support)}").collect()} == support
 
 
-def test_gate_tells_blocks_from_alternation(spark):
-    blocks = make(spark, [(10, 1, 1, 1)] * 100 + [(1, 10, 1, 1)] * 100)
-    mixed = make(spark, [(10, 1, 1, 1), (1, 10, 1, 1)] * 100)
-    assert metrics.gate(blocks, [100] * 4, 200, 200).first()["policy"] == "mp"
-    assert metrics.gate(mixed, [100] * 4, 200, 200).first()["policy"] == "fifo_windowed"
+def test_gate_tells_runs_from_turns(spark):
+    """The same 240 tasks of three kinds, first kind by kind and then in turn."""
+    kinds = [(40, 2, 3, 5), (1, 55, 6, 2), (4, 3, 2, 61)]
+    runs, turns = make(spark, [k for k in kinds for _ in range(80)]), make(spark, kinds * 80)
+    alike = metrics.gate(runs, [900, 800, 700, 950], 240, 240).first()
+    unlike = metrics.gate(turns, [900, 800, 700, 950], 240, 240).first()
+    assert alike["policy"] == "mp" and alike["gate_score"] > 0.4
+    assert unlike["policy"] == "fifo_windowed" and unlike["gate_score"] < 0
 
 
 @pytest.mark.parametrize("policy", ["fifo", "mp"])
 def test_waves_are_complete_and_feasible(spark, policy):
-    ids = spark.range(400)
-    tasks = generate.generate(ids, "bursts", 400).select("agent_id", *(F.ceil(d).cast("bigint").alias(d) for d in DEMANDS), "duration")
+    tasks = generate.generate(spark.range(400), "bursts").select("agent_id", *(F.ceil(d).cast("bigint").alias(d) for d in DEMANDS), "duration")
     capacity = [2500, 2500, 2500, 2500]
     chosen = waves.fifo_policy(128) if policy == "fifo" else waves.sparse_policy("mp", 256)
     done = waves.policy_waves(tasks, capacity, chosen)
@@ -133,16 +149,83 @@ def test_a_task_that_fits_nowhere_is_an_error(spark):
         waves.policy_waves(tasks, [10, 10, 10, 10], waves.fifo_policy())
 
 
-def test_generated_patterns(spark):
-    n = 10_000
-    runs = {p: metrics.label_runs(generate.generate(spark.range(n), p, n), "agent_id", "cluster").first()["n_changes"] for p in generate.PATTERNS}
-    assert runs["bursts"] <= 7 and runs["iid"] > 1000 and runs["complementary"] == n - 1
-    made = generate.generate(spark.range(n), "iid", n)
-    assert made.select(*DEMANDS).distinct().count() > 0.999 * n
-    mean = made.select(generate.duration_column("lognormal").alias("d")).agg(F.avg("d"), F.min("d")).first()
-    assert abs(mean[0] - 1) < 0.05 and mean[1] > 0
+@pytest.fixture(scope="module")
+def made(spark):
+    n = 20_000
+    return n, {p: generate.generate(spark.range(n), p).cache() for p in generate.PATTERNS}
+
+
+def counts(df):
+    return {r["cluster"]: r["count"] for r in df.groupBy("cluster").count().collect()}
+
+
+def test_cluster_shares_follow_the_dirichlet_law():
+    """Over many seeds: the mean of a share is 1/K and its variance that of a symmetric Dirichlet law."""
+    shares = np.array([generate.cluster_shares(generate.Workload(seed=s, clusters=5, concentration=12)) for s in range(400)])
+    assert np.allclose(shares.sum(axis=1), 1)
+    assert np.allclose(shares.mean(axis=0), 0.2, atol=0.01)
+    assert np.allclose(shares.var(axis=0), 0.2 * 0.8 / (5 * 12 + 1), rtol=0.35)
+
+
+def test_counts_are_drawn_by_the_shares(made):
+    n, by = made
+    shares = generate.cluster_shares(generate.Workload())
+    got = counts(by["iid"])
+    assert got == counts(by["bursts"]) and sum(got.values()) == n
+    # chi-square of 7 degrees of freedom: beyond 29 once in 8,000
+    assert 0 < sum((got[c] - n * p) ** 2 / (n * p) for c, p in enumerate(shares)) < 29
+    assert max(counts(by["complementary"]).values()) - min(counts(by["complementary"]).values()) <= 1
+
+
+def test_runs_and_transitions(made):
+    """Bursts change cluster between runs alone; drawn and shuffled rows as often as independent ones."""
+    n, by = made
+    changes = {p: metrics.label_runs(df, "agent_id", "cluster").first()["n_changes"] for p, df in by.items()}
+    assert changes["bursts"] == 7
+    order = [c for c, *_ in sorted(by["bursts"].groupBy("cluster").agg(F.min("agent_id").alias("first")).collect(), key=lambda r: r["first"])]
+    assert order != sorted(order)
+    for p, shares in (("iid", generate.cluster_shares(generate.Workload())), ("complementary", [1 / 8] * 8)):
+        change = 1 - sum(x * x for x in shares)
+        assert abs(changes[p] - (n - 1) * change) < 6 * (n * change * (1 - change)) ** 0.5
+
+
+def test_demands_have_the_laws_moments(made):
+    """Logarithms of the factors: mean 0, deviation 0.14, no correlation of resources within a cluster."""
+    n, by = made
+    shape = generate.Workload()
+    levels = np.array(generate.centres(shape))
+    pdf = by["complementary"].toPandas()
+    logs = np.log(pdf[DEMANDS].to_numpy() / levels[pdf["cluster"]])
+    assert np.allclose(logs.mean(axis=0), 0, atol=0.006)
+    assert np.allclose(logs.std(axis=0), shape.jitter, rtol=0.03)
+    assert np.abs(np.corrcoef(logs.T) - np.eye(4)).max() < 0.04
+    more = by["iid"].toPandas()
+    rest = (more[DEMANDS].to_numpy() - levels[more["cluster"]] * np.exp(0.14**2 / 2)).mean()
+    assert abs(rest - 0.5) < 0.15
+    assert len(np.unique(pdf[DEMANDS].to_numpy(), axis=0)) == n
+    for c, own in enumerate(levels):
+        assert own.argmax() == c % 4 and 90 <= own.max()
+
+
+def test_workloads_of_other_sizes(spark):
+    shape = generate.Workload(resources=3, clusters=6, seed=4)
+    df = generate.generate(spark.range(500), "bursts", shape)
+    assert df.columns == ["agent_id", "cluster", "r0", "r1", "r2", "duration"] and df.count() == df.select("agent_id").distinct().count() == 500
+    assert generate.generate(spark.range(500), "iid", shape, [1e6] * 3).count() == 500
+    with pytest.raises(ValueError, match="exceed"):
+        generate.generate(spark.range(500), "iid", shape, [100, 1e6, 1e6])
+    with pytest.raises(ValueError):
+        generate.generate(spark.range(1), "other")
+    assert generate.generate(spark.range(0), "bursts", shape).count() == 0
+
+
+def test_durations(spark):
+    df = spark.range(20_000).withColumnRenamed("id", "agent_id")
+    for mode, deviation in (("unit", 0.0), ("uniform", 0.35 / 3**0.5), ("lognormal", (np.exp(0.35**2) - 1) ** 0.5)):
+        got = df.select(generate.duration_column(mode).alias("d")).agg(F.avg("d"), F.stddev_samp("d"), F.min("d")).first()
+        assert got[0] == pytest.approx(1, abs=0.01) and got[1] == pytest.approx(deviation, rel=0.05, abs=1e-12) and got[2] > 0
     with pytest.raises(ValueError):
-        generate.generate(spark.range(1), "other", 1)
+        generate.duration_column("other")
 
 
 def test_tasks_and_results_round_trip(spark, tmp_path):
