@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import majority, may_hold, table, texts_of, vote_counts, whole_keys, written
 from .graph import Forest, bucket_forest, components, in_groups, keyed, masked_keys, mixed, near
@@ -224,6 +225,36 @@ def numbers(line: str) -> int:
     return hash(tuple(re.findall(r"\d+", line)))
 
 
+def _fetched(texts: DataFrame) -> DataFrame:
+    """The wanted lines of each text, which is split once: wanted, an array of structs, as rows with said."""
+    inner = texts.schema["wanted"].dataType.elementType
+    names = [f.name for f in inner if f.name != "line"]
+
+    def fetch(batches):
+        for batch in batches:
+            rows = [(w, lines[w["line"]]) for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True) for lines in [text.split("\n")] for w in wanted]
+            kinds = batch.schema.field("wanted").type.value_type
+            columns = [pa.array([w[c] for w, _ in rows], kinds.field(c).type) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([s for _, s in rows], pa.string())], names=[*names, "said"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner if f.name != "line")
+    return texts.select("text", "wanted").mapInArrow(fetch, f"{schema}, said string")
+
+
+@F.pandas_udf(StringType())
+def _without(text, drops):
+    """Texts less the lines with these numbers, each text split once; texts without numbers stay as they are."""
+    import pandas as pd
+
+    out = []
+    for t, gone in zip(text, drops, strict=True):
+        if gone is not None:
+            numbers = set(gone.tolist())
+            t = "\n".join([x for i, x in enumerate(t.split("\n")) if i not in numbers])
+        out.append(t)
+    return pd.Series(out, dtype=object)
+
+
 def line_links(firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str, radius: int = RADIUS, wide: int = WIDE_RADIUS) -> DataFrame:
     """Edges (a, b) between hashes of different lines that connect just what links connect.
 
@@ -243,9 +274,10 @@ def line_links(firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str, r
     members = written(points.join(joined, "node").select("hash", "fp", "ends", "root", "first.*"), "members")
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     texts = texts.where(may_hold(members, "text_key")(F.col("text_key"))).alias("t")
-    members = members.alias("m")
+    wanted = members.groupBy("id", "text_key").agg(F.collect_list(F.struct("line", "hash", "fp", "ends", "root")).alias("wanted"))
+    members = wanted.alias("m")
     same = F.col("t.id").eqNullSafe(F.col("m.id")) & (F.col("t.text_key") == F.col("m.text_key"))
-    said = texts.join(members, same).select("hash", "fp", "ends", "root", F.get(F.split("text", "\n"), F.col("line")).alias("said")).dropDuplicates(["hash"])
+    said = _fetched(texts.join(members, same)).dropDuplicates(["hash"])
     placed = in_groups(written(said, "said"), "hash", GROUP_ROWS)
 
     def compare(batches):
@@ -305,9 +337,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = docs.withColumn("_q_key", F.xxhash64(F.col(text_col)))
     aside, some = named.where(~test(F.col("_q_key"))), named.where(test(F.col("_q_key")))
     same = some[id_col].eqNullSafe(drops["_q_id"]) & (some["_q_key"] == drops["_q_text"])
-    lines = F.split(some[text_col], "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drops["_q_lines"])
-    left = F.when(drops["_q_lines"].isNull(), some[text_col]).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    left = _without(some[text_col], drops["_q_lines"])
     out = {c: some[c] for c in docs.columns} | {text_col: F.col("_q_left")}
     if length_col in docs.columns:
         out[length_col] = F.when(F.col("_q_lines").isNull(), some[length_col]).otherwise(F.length("_q_left").cast(docs.schema[length_col].dataType))

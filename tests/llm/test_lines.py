@@ -198,3 +198,26 @@ def test_near_copies_by_edit_similarity_alone(spark):
     assert all(a // 2 == b // 2 for a, b in got)
     found = sum((2 * k + 1, 2 * k) in got or pairs[k][0] == pairs[k][1] for k in range(len(pairs)))
     assert len(pairs) > 350 and found >= 0.9 * len(pairs), found / len(pairs)
+
+
+def test_texts_of_very_many_lines(spark):
+    """200,000 lines, most of them repeated, and as many near lines in a second text: each text is split once, not once for each line."""
+    import time
+
+    whole = "\n".join(f"row {i % 1000} of the ledger" if i % 4 else "" for i in range(200_000))
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(2000)]
+    near = [" ".join(rng.choice(words) for _ in range(14)) for _ in range(6000)]
+    changed = [x.rsplit(" ", 1)[0] + " other" for x in near]
+    rows = [(1, whole, "en", "s", len(whole)), (2, "\n".join(near), "en", "s", 0), (3, "\n".join(changed), "en", "s", 0)]
+    started = time.monotonic()
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, cases.SCHEMA)).collect()}
+    assert time.monotonic() - started < 120
+    firsts, seen = [], set()
+    for x in whole.split("\n"):
+        if not x or x not in seen:
+            firsts.append(x)
+            seen.add(x)
+    assert got[1] == "\n".join(firsts)
+    assert got[2] == "\n".join(near)
+    assert 3 not in got or len(got[3].split("\n")) < 600
