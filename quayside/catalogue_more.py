@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalogue import _RESULTS, GATE, POOL, REMS, SCORE, SHARED, TASKS, TENTHS, WINDOW, _context, _fold, _results, _target, query
+from .catalogue import _RESULTS, CAPS, GATE, POOL, REMS, SCORE, SHARED, TASKS, TENTHS, WINDOW, _context, _fold, _results, _target, query
 from .functions.demand import DEMANDS, uniform_sql
 from .operators import metrics, pack, proximal, retrieve, solve
 from .operators.order import arrival_ranks, reranked, with_arrival
@@ -13,6 +13,7 @@ from .operators.signed_rank import signed_rank
 from .operators.usage import usage_over_time, usage_totals
 from .plans import counted
 from .plans import waves as plans
+from .plans.tablefunctions import packing, retrieval
 from .sources.shared import written
 from .sources.tables import WAVES, capacities, lineitem_tasks, table, tasks
 
@@ -313,3 +314,58 @@ def levels_over_time(spark, sf_dir):
 @query("usage_of_trace", f"{_USAGE} " + " UNION ALL ".join(f"SELECT 'r{k}' AS resource, round(sum(r{k} * elapsed), 3) AS usage FROM levels" for k in range(4)))
 def usage_of_trace(spark, sf_dir):
     return usage_totals(_trace(spark, sf_dir)).select("resource", F.round("usage", 3).alias("usage"))
+
+
+# ---------------------------------------------------------------- policies of one's own as table functions
+
+SHARDS = 40
+
+
+def thrifty(demand, left) -> bool:
+    """A policy that takes a task only where it needs a fifth at most of what is left of each resource."""
+    return all(5 * x <= c for x, c in zip(demand, left, strict=True))
+
+
+def closest(demand, limit) -> float:
+    """A score that is highest where the shares of the capacity are most alike."""
+    shares = [x / c for x, c in zip(demand, limit, strict=True)]
+    return min(shares) / max(shares)
+
+
+def _sharded(spark, sf_dir) -> tuple[DataFrame, str]:
+    """A view of the tasks dealt to shards, and the capacity of a shard as a map in SQL."""
+    rows, capacity, _ = _context(spark, sf_dir)
+    rows.withColumn("shard", F.pmod(F.col("agent_id"), F.lit(SHARDS))).createOrReplaceTempView("quayside_sharded")
+    return rows, "map(" + ", ".join(f"'{d}', {c // SHARDS}D" for d, c in zip(DEMANDS, capacity, strict=True)) + ")"
+
+
+_SHARDED = CAPS + ", dealt AS (SELECT *, agent_id % " + str(SHARDS) + " AS shard FROM tasks), lims AS (SELECT " + ", ".join(f"c{k} // {SHARDS} AS m{k}" for k in range(4)) + " FROM caps)"
+_FOLD_STATE = "{'id': CAST(-1 AS BIGINT), " + ", ".join(f"'r{k}': any_value(m{k})" for k in range(4)) + ", 'took': CAST([] AS BIGINT[])}"
+_FOLD_STEP = "{'id': s.id, " + ", ".join(f"'r{k}': s.r{k} - x.r{k}" for k in range(4)) + ", 'took': list_append(s.took, x.id)}"
+_FOLD_ROW = "{'id': agent_id, " + ", ".join(f"'r{k}': r{k}" for k in range(4)) + ", 'took': CAST([] AS BIGINT[])}"
+
+
+@query(
+    "packed_by_own_policy",
+    f"WITH {_SHARDED}, packed AS (SELECT shard, list_reduce(list({_FOLD_ROW} ORDER BY agent_id), lambda s, x: CASE WHEN {' AND '.join(f'5 * x.r{k} <= s.r{k}' for k in range(4))} THEN {_FOLD_STEP} ELSE s END, {_FOLD_STATE}) AS p FROM dealt, lims GROUP BY shard) "
+    "SELECT shard, unnest(p.took) AS agent_id, CAST(unnest(range(len(p.took))) AS BIGINT) AS seq FROM packed",
+)
+def packed_by_own_policy(spark, sf_dir):
+    _, capacity = _sharded(spark, sf_dir)
+    spark.udtf.register("thrifty_packing", packing(thrifty))
+    return spark.sql(f"SELECT * FROM thrifty_packing({capacity}, TABLE(quayside_sharded) PARTITION BY shard ORDER BY agent_id)")
+
+
+_PARTS = ", ".join(f"CAST(r{k} AS DOUBLE) / m{k}" for k in range(4))
+
+
+@query(
+    "retrieved_by_own_score",
+    f"WITH {_SHARDED}, scored AS (SELECT shard, agent_id, least({_PARTS}) / greatest({_PARTS}) AS score FROM dealt, lims WHERE {' AND '.join(f'r{k} <= m{k}' for k in range(4))}) "
+    "SELECT shard, agent_id, round(score, 9) AS score, place - 1 AS place FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY score DESC, agent_id) AS place FROM scored) WHERE place <= 20",
+)
+def retrieved_by_own_score(spark, sf_dir):
+    _, capacity = _sharded(spark, sf_dir)
+    spark.udtf.register("closest_retrieval", retrieval(closest))
+    found = spark.sql(f"SELECT * FROM closest_retrieval({capacity}, 20, TABLE(quayside_sharded) PARTITION BY shard)")
+    return found.withColumn("score", F.round("score", 9))
