@@ -16,6 +16,7 @@ from .plans import waves as plans
 from .plans.tablefunctions import packing, retrieval
 from .sources.shared import written
 from .sources.tables import WAVES, capacities, lineitem_tasks, table, tasks
+from .streaming import gate
 
 # ---------------------------------------------------------------- five demands, by names of their own
 
@@ -369,3 +370,27 @@ def retrieved_by_own_score(spark, sf_dir):
     spark.udtf.register("closest_retrieval", retrieval(closest))
     found = spark.sql(f"SELECT * FROM closest_retrieval({capacity}, 20, TABLE(quayside_sharded) PARTITION BY shard)")
     return found.withColumn("score", F.round("score", 9))
+
+
+# ---------------------------------------------------------------- the gate by window, over a table and over a stream
+
+_DOT = lambda x, y: "(" + " + ".join(f"{x}.p{k} * {y}.p{k}" for k in range(3)) + ")"
+_COS3 = lambda x, y: f"{_DOT(x, y)} / (sqrt({_DOT(x, x)}) * sqrt({_DOT(y, y)}))"
+_WINDOWED = f"""WITH v AS (
+  SELECT event_type AS key, ts, event_id AS id, coalesce(value / 50.0::DOUBLE, 0) AS p0, coalesce(user_id / 150.0::DOUBLE, 0) AS p1, coalesce(TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) / 100.0::DOUBLE, 0) AS p2,
+         CAST(floor(epoch(ts) / {gate.WINDOW_SECONDS}) AS BIGINT) * {gate.WINDOW_SECONDS} AS w FROM events WHERE ts IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY key, w ORDER BY ts, id) - 1 AS i, count(*) OVER (PARTITION BY key, w) AS n FROM v WHERE p0 * p0 + p1 * p1 + p2 * p2 > 0),
+near AS (SELECT x.key, x.w, any_value(x.n) AS n, avg({_COS3('x', 'y')}) AS c FROM o x JOIN o y ON x.key = y.key AND x.w = y.w AND x.i = y.i + 1 GROUP BY x.key, x.w),
+pairs AS (SELECT key, w, CAST(floor({uniform_sql(0, 'i', '1')} * n) AS BIGINT) AS one, CAST(floor({uniform_sql(0, 'i', '2')} * n) AS BIGINT) AS other FROM o),
+far AS (SELECT p.key, p.w, avg({_COS3('x', 'y')}) AS c FROM pairs p JOIN o x ON x.key = p.key AND x.w = p.w AND x.i = one JOIN o y ON y.key = p.key AND y.w = p.w AND y.i = other GROUP BY p.key, p.w),
+decided AS (SELECT key, w AS window_start, near.n AS n_rows, round(near.c - far.c, 6) AS gate_score, CASE WHEN near.c - far.c > 0.1 THEN 'mp' ELSE 'fifo_windowed' END AS policy FROM near JOIN far USING (key, w))"""
+
+
+@query("gate_by_window", f"{_WINDOWED} SELECT * FROM decided")
+def gate_of_windows(spark, sf_dir):
+    return gate.gate_by_window(gate.event_vectors(table(spark, sf_dir, "events")), ["p0", "p1", "p2"])
+
+
+@query("stream_gate", f"{_WINDOWED} SELECT * FROM decided WHERE window_start + {gate.WINDOW_SECONDS} < (SELECT max(epoch(ts)) FROM events) - 7200")
+def stream_gate(spark, sf_dir):
+    return gate.drain_gate(spark, sf_dir)
