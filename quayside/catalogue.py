@@ -132,7 +132,10 @@ def unique_ids(spark, sf_dir):
     return validate.id_check(tasks(spark, sf_dir))
 
 
-@query("distinctness_sample", f"WITH {TASKS}, n AS (SELECT greatest(count(*) // 1000, 1) AS step FROM tasks), taken AS (SELECT r0, r1, r2, r3 FROM tasks, n WHERE agent_id % step = 0 AND agent_id < step * 1000) SELECT count(*) AS n_sampled, (SELECT count(*) FROM (SELECT DISTINCT * FROM taken)) AS n_distinct, round((SELECT count(*) FROM (SELECT DISTINCT * FROM taken)) / count(*), 6) AS unique_fraction FROM taken")
+_SAMPLED = f"SELECT DISTINCT CAST(k * (n - 1) // greatest(least(n, {validate.SAMPLE}) - 1, 1) AS BIGINT) AS agent_id FROM (SELECT count(*) AS n FROM tasks), range({validate.SAMPLE}) s(k) WHERE k < n"
+
+
+@query("distinctness_sample", f"WITH {TASKS}, picked AS ({_SAMPLED}), taken AS (SELECT r0, r1, r2, r3 FROM tasks JOIN picked USING (agent_id)) SELECT count(*) AS n_sampled, (SELECT count(*) FROM (SELECT DISTINCT * FROM taken)) AS n_distinct, round((SELECT count(*) FROM (SELECT DISTINCT * FROM taken)) / count(*), 6) AS unique_fraction FROM taken")
 def distinctness_sample(spark, sf_dir):
     rows = tasks(spark, sf_dir)
     return validate.distinctness(rows, rows.count())

@@ -394,3 +394,18 @@ def gate_of_windows(spark, sf_dir):
 @query("stream_gate", f"{_WINDOWED} SELECT * FROM decided WHERE window_start + {gate.WINDOW_SECONDS} < (SELECT max(epoch(ts)) FROM events) - 7200")
 def stream_gate(spark, sf_dir):
     return gate.drain_gate(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- places in shards, ordered reports
+
+
+@query("score_place_in_shard", f"WITH {SHARED} SELECT agent_id, CAST(-(agent_id % {retrieve.SHARD_ROWS}) AS DOUBLE) AS score FROM shared WHERE {' AND '.join(f'r{k} <= m{k}' for k in range(4))}")
+def score_place_in_shard(spark, sf_dir):
+    rows, _, remaining = _context(spark, sf_dir)
+    return retrieve.scored_by_place(rows, remaining).select("agent_id", "score")
+
+
+@query("ordered_report", f"WITH {_RESULTS}, told AS (SELECT method, pattern, round(avg(makespan), 6) AS mean_makespan, round(avg(dispatches), 6) AS mean_dispatches FROM results GROUP BY ALL) SELECT *, row_number() OVER (ORDER BY mean_makespan, mean_dispatches, method, pattern) AS place FROM told")
+def ordered_report(spark, sf_dir):
+    told = metrics.method_summary(_results(spark, sf_dir), ["method", "pattern"], ["makespan", "dispatches"]).select("method", "pattern", "mean_makespan", "mean_dispatches")
+    return metrics.ordered_report(told, ["mean_makespan", "mean_dispatches"])

@@ -106,6 +106,12 @@ def method_summary(results: DataFrame, keys: Sequence[str], metrics: Sequence[st
     return results.groupBy(*keys).agg(F.count(F.lit(1)).alias("runs"), F.sum(F.col("valid").cast("bigint")).alias("valid_runs"), *stats)
 
 
+def ordered_report(summary: DataFrame, by: Sequence[str], rank: str = "place") -> DataFrame:
+    """A summary with the place of each group in order of some metrics; ties by all other columns, so that the order is one."""
+    order = Window.orderBy(*(F.asc_nulls_last(c) for c in by), *(c for c in summary.columns if c not in by))
+    return summary.withColumn(rank, F.row_number().over(order).cast("bigint"))
+
+
 def paired_reduction(results: DataFrame, method: str, baseline: str, pair: Sequence[str], metric: str, keys: Sequence[str]) -> DataFrame:
     """For each group: pairs of runs, mean and median reduction of a metric against a baseline method, and wins."""
     one = results.where(F.col("method") == method).select(*keys, *pair, F.col(metric).alias("own"))

@@ -18,6 +18,11 @@ def scored(tasks: DataFrame, method: str, remaining: Amounts, capacity: Amounts)
     return tasks.where(feasible(remaining)).withColumn("score", rank_key(score(method, remaining, capacity)))
 
 
+def scored_by_place(tasks: DataFrame, remaining: Amounts, rank: str = "agent_id", shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Feasible tasks with the score of the first-come policies: the place in their shard of consecutive ranks, first best."""
+    return tasks.where(feasible(remaining)).withColumn("score", (-F.pmod(F.col(rank), F.lit(shard_rows))).cast("double"))
+
+
 def top_k(scores: DataFrame, k: int = POOL) -> DataFrame:
     """The k best by score, then least id. Exact: each task keeps its best k and those are merged."""
     return scores.orderBy(F.desc("score"), F.asc("agent_id")).limit(max(k, 0))

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.demand import Amounts, by_demand, conjunction, demand_columns, oversize
 
 
+#: Tasks of a distinctness sample.
+SAMPLE = 100_000
+
+
 def violations(tasks: DataFrame, demands: Sequence[str] | None = None) -> DataFrame:
     """One row: tasks in all, with a null, a non-finite and a non-positive demand or duration."""
     values = [F.col(c).cast("double") for c in (*demand_columns(tasks, demands), "duration")]
@@ -35,10 +39,14 @@ def id_check(tasks: DataFrame) -> DataFrame:
     return counts.select("n_rows", "n_ids", unique.alias("is_unique"), (unique & (F.col("least") == 0) & (F.col("greatest") == F.col("n_rows") - 1)).alias("is_permutation"))
 
 
-def distinctness(tasks: DataFrame, rows: int, sample: int = 1000, demands: Sequence[str] | None = None) -> DataFrame:
-    """Share of distinct demand vectors among sample tasks at even distances in their ids."""
-    step = max(rows // sample, 1)
-    taken = tasks.where((F.col("agent_id") % step == 0) & (F.col("agent_id") < step * sample))
+def distinctness(tasks: DataFrame, rows: int, sample: int = SAMPLE, demands: Sequence[str] | None = None, rank: str = "agent_id") -> DataFrame:
+    """Share of distinct demand vectors among sample tasks at even distances in a dense rank, from the first to the last; all tasks where there are no more.
+
+    Task k of the sample has rank k * (rows - 1) div (sample - 1).
+    """
+    n, last = min(sample, rows) - 1, max(rows - 1, 1)
+    near = F.expr(f"({rank} * {n} + {last - 1}) div {last}")
+    taken = tasks.where(F.expr(f"{rank} = 0") if n < 1 else (near * F.lit(rows - 1) - F.col(rank) * F.lit(n)).between(0, n - 1))
     counts = taken.groupBy(*demand_columns(tasks, demands)).count().agg(F.sum("count").alias("n_sampled"), F.count(F.lit(1)).alias("n_distinct"))
     return counts.select("n_sampled", "n_distinct", F.round(F.col("n_distinct") / F.col("n_sampled"), 6).alias("unique_fraction"))
 

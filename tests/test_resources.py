@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quayside.functions import demand
 from quayside.operators import metrics, pack, retrieve, solve, validate
-from quayside.plans import counted, dispatch, waves
+from quayside.plans import counted, dispatch, methods, waves
 from quayside.sources import tables
 
 NAMES = ["cpu", "memory", "disk", "net", "gpu", "seats", "quota"]
@@ -183,3 +183,20 @@ def test_fractions_fit_but_for_rounding(spark):
     assert ids(pack.strict_prefix(tasks, [0.3, 9.0], "agent_id")) == [0, 1, 2]
     assert ids(pack.first_fit_window(tasks, [0.3, 9.0])) == [0, 1, 2]
     assert ids(pack.distributed_first_fit(tasks, [0.3, 9.0], ["agent_id"])) == [0, 1, 2]
+
+
+def test_distinctness_takes_even_places(spark):
+    for n in (1, 2, 5, 37, 100, 101):
+        tasks = spark.createDataFrame([(i, i) for i in range(n)], "agent_id bigint, r0 bigint")
+        for sample in (1, 2, 10, 100):
+            want = len({int(x) for x in np.linspace(0, n - 1, min(sample, n), dtype=np.int64)})
+            assert validate.distinctness(tasks, n, sample).first()["n_sampled"] == want, (n, sample)
+
+
+def test_methods_by_name(case):
+    for name in ("fifo_strict", "fifo_windowed", "adaptive", *demand.METHODS):
+        own = ids(methods.method(name, window=60, pool=80)(case.tasks, case.rem, case.cap))
+        assert own and (case.d[own].sum(axis=0) <= case.remaining).all(), name
+    assert ids(methods.method("fifo_strict")(case.tasks, case.rem, case.cap)) == taken(case.d, case.remaining, range(len(case.d)), strict=True)
+    with pytest.raises(ValueError, match="unknown method"):
+        methods.method("lifo")
