@@ -21,23 +21,31 @@ def windowed(events: DataFrame, window: str = WINDOW, lateness: str | None = LAT
 
 
 def drain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The windows of all events, read as a stream to its end; the final state of every window."""
+    """The windows of all events, read as a stream to its end.
+
+    In update mode a batch writes the windows that it changed, and windows that the watermark has closed leave the state; of each
+    window the row of its last batch stands. Rows that come after their window was closed count nowhere.
+    """
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_folder(sf_dir))
-    base = f"{shared_dir(spark)}/quayside/stream-{uuid.uuid4().hex}"
-    totals = windowed(events)
+    return merged(spark, windowed(spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_folder(sf_dir))))
 
+
+def merged(spark: SparkSession, totals: DataFrame) -> DataFrame:
+    """The last state of each window of a stream of totals."""
+    base = f"{shared_dir(spark)}/quayside/stream-{uuid.uuid4().hex}"
     epochs: list[int] = []
 
     def keep(rows: DataFrame, epoch: int) -> None:
+        rows.withColumn("epoch", F.lit(epoch).cast("bigint")).write.mode("overwrite").parquet(f"{base}/out/{epoch}")
         epochs.append(epoch)
-        rows.write.mode("overwrite").parquet(f"{base}/out/{epoch}")
 
-    query = totals.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query = totals.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     if not epochs:
         return spark.createDataFrame([], totals.schema)
-    return spark.read.schema(totals.schema).parquet(f"{base}/out/{epochs[-1]}")
+    rows = spark.read.parquet(*(f"{base}/out/{e}" for e in sorted(set(epochs))))
+    last = F.max(F.struct("epoch", "n", "value_milli")).alias("last")
+    return rows.groupBy("window_start", "event_type").agg(last).select("window_start", "event_type", "last.n", "last.value_milli")
 
 
 def _folder(sf_dir: str) -> str:

@@ -1,9 +1,9 @@
-"""The gate over a stream in several batches: the table's decisions, window by window, and late rows left out and counted."""
+"""Streams in several batches: the gate's decisions and the totals are those of the whole table, and late rows are left out."""
 
 import random
 from datetime import datetime, timedelta
 
-from quayside.streaming import gate
+from quayside.streaming import gate, windows
 
 SCHEMA = "key string, ts timestamp, id bigint, a double, b double"
 PARTS = ["a", "b"]
@@ -39,3 +39,19 @@ def test_batches_give_the_decisions_of_the_whole_table(spark, tmp_path):
 
 def test_an_empty_table_decides_nothing(spark):
     assert gate.gate_by_window(spark.createDataFrame([], SCHEMA), PARTS).count() == 0
+
+
+def test_totals_change_until_the_watermark_closes_their_window(spark, tmp_path):
+    schema = "ts timestamp, event_type string, value double"
+    at = lambda hour, minute=0: datetime(2024, 5, 1, hour, minute)
+    batches = [
+        [(at(1), "a", 1.5), (at(1, 30), "a", 2.0), (at(2), "b", 1.0)], [(at(1, 45), "a", 0.25), (at(5), "b", 4.0)],
+        [(at(5, 10), "b", 1.0)], [(at(1, 50), "a", 100.0), (at(5, 59), None, 7.0)],
+    ]
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {(r["event_type"], r["window_start"]): (r["n"], r["value_milli"]) for r in windows.merged(spark, windows.windowed(stream)).collect()}
+    base = int((datetime(2024, 5, 1) - datetime(1970, 1, 1)) / timedelta(seconds=1))
+    # the row of 1:50 comes after the batch whose watermark closed its window
+    assert got == {("a", base + 3600): (3, 3750), ("b", base + 7200): (1, 1000), ("b", base + 18000): (2, 5000), (None, base + 18000): (1, 7000)}
