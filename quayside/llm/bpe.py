@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, texts_of
+from .common import small_batches, table, texts_of
 
 #: Pre-tokens whose ids a Python worker keeps between texts, at most twice as many. About 0.2 KB each.
 MEMO_ENTRIES = 200_000
@@ -199,10 +199,13 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
                 a.append(hashlib.sha256(ids).hexdigest())
                 b.append(hashlib.sha256(codec.decode(ids)).hexdigest())
                 if with_ids:
-                    kept.append(np.frombuffer(ids, dtype="<u4").astype(np.int32))
+                    kept.append(ids)
             columns = [batch.column("id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.list_(pa.int32()))] * with_ids, names=names + ["ids"] * with_ids)
+            if with_ids:
+                cuts = np.concatenate([[0], np.cumsum(n, dtype=np.int64)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.frombuffer(b"".join(kept), dtype="<u4").astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names=names + ["ids"] * with_ids)
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
@@ -220,5 +223,9 @@ def op3_bpe_round_trip(spark, sf_dir: str) -> DataFrame:
 
 
 def bpe_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: for each document its number of tokens and the digests of its ids and of their bytes."""
-    return encode_decode(docs, *_public()).withColumnRenamed("id", "doc_id")
+    """The last stage: for each document its token ids, their number and the digests of the ids and of their bytes.
+
+    Null and empty texts have no ids; every row gives a row, and an empty table none.
+    """
+    small_batches(spark)
+    return encode_decode(docs, *_public(), with_ids=True).withColumnRenamed("id", "doc_id")

@@ -6,20 +6,29 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
 from ..sources.tables import table
 
-__all__ = ["bitmap_of", "in_bitmap", "joined_to_owner", "majority", "may_hold", "table", "texts_of", "vote_counts", "whole_keys", "written"]
+__all__ = ["bitmap_of", "in_bitmap", "joined_to_owner", "majority", "may_hold", "small_batches", "table", "texts_of", "vote_counts", "whole_keys", "written"]
 
 #: Bits of the largest bitmap of keys that is sent to all tasks: 8 MB.
 BITMAP_BITS = 1 << 26
+#: Bytes of an Arrow batch that goes to a Python worker, unless the session says otherwise.
+BATCH_BYTES = 4 << 20
 #: Hashes whose bits are unpacked at a time, 64 bytes for each.
 VOTE_ROWS = 1 << 17
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes where the session leaves that open; 10,000 whole texts of any length are too many for a worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of an Arrow column, null as empty."""
     return [x or "" for x in column.to_pylist()]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import bitmap_of, in_bitmap, may_hold, table, texts_of, written
+from .common import bitmap_of, in_bitmap, may_hold, small_batches, table, texts_of, written
 from .graph import mixed
 
 SHINGLE_WORDS = 5
@@ -363,6 +363,7 @@ def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts hold none and stay, repeated rows share their fate, and with an empty benchmark all stay. What is
     found is known by two 64-bit hashes of its text; only texts that may be among them meet the table of those.
     """
+    small_batches(spark)
     keyed = docs.withColumn("_q_key", F.xxhash64("text")).withColumn("_q_more", F.xxhash64(F.lit(7), F.col("text")))
     named = keyed.select(F.concat_ws(":", F.col("_q_key").cast("string"), F.col("_q_more").cast("string")).alias("own"), "text")
     found = F.split("id", ":")

@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, texts_of
+from .common import small_batches, table, texts_of
 
 #: Buckets of hashed n-grams.
 BUCKETS = 1 << 16
@@ -200,6 +200,7 @@ LEAST_SCORE = 0.5
 
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those of no language (no letter, no text) or of one with a score under LEAST_SCORE."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(train(docs))
 
     @F.pandas_udf("boolean")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import majority, may_hold, table, texts_of, vote_counts, whole_keys, written
+from .common import majority, may_hold, small_batches, table, texts_of, vote_counts, whole_keys, written
 from .graph import Forest, bucket_forest, components, in_groups, keyed, masked_keys, mixed, near
 
 #: Shorter lines have no near copies; equal ones are repeats all the same.
@@ -357,4 +357,5 @@ def op9_fuzzy_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs less their repeated lines, as dedup_lines; documents of repeats alone go, null and empty texts stay."""
+    small_batches(spark)
     return dedup_lines(docs)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import majority, may_hold, table, texts_of, vote_counts, whole_keys, written
+from .common import majority, may_hold, small_batches, table, texts_of, vote_counts, whole_keys, written
 from .graph import Forest, block_plan, bucket_forest, components, in_groups, keyed, mixed, near, near_forest
 
 SHINGLE_WORDS = 4
@@ -22,6 +24,8 @@ PART_WORDS, PART_RADIUS = 6, 3
 #: Bits that the fingerprints of whole texts may differ in where a part is near. Texts that share 0.8 of their shingles
 #: differ in about 5 of 100 pairs of words, which is 6 or 7 bits on average; unlike texts differ in 32.
 WHOLE_RADIUS = 16
+#: Texts of so many words at most meet by their shingles, too: parts of so few words rarely survive an edit.
+SHORT_WORDS = 44
 #: Texts of a group that one task compares; larger groups are split into blocks.
 GROUP_ROWS = 256
 #: Reference fingerprints that are spread over all bits, beside those of the blocks.
@@ -173,35 +177,70 @@ def part_prints(text: str, hashes: WordHashes) -> list[int]:
     return np.concatenate(fps).tolist()
 
 
+def short_keys(text: str, shingle_words: int, least: float) -> tuple[list[int], int, int]:
+    """(keys, sketch, size) of a text of SHORT_WORDS words at most, ([], 0, 0) of a longer or empty one.
+
+    keys are the least of the hashes of its distinct shingles, so many that two such texts whose sets have a Jaccard
+    similarity of least or more share one (prefix filter). sketch has the bit of each shingle, size is their number.
+    """
+    words = text.encode("utf-8", "surrogatepass").lower().split(None, SHORT_WORDS)
+    if not words or len(words) > SHORT_WORDS:
+        return [], 0, 0
+    own = np.unique(shingle_hashes(words, shingle_words))
+    bits = np.bitwise_or.reduce(np.uint64(1) << (own & np.uint64(63)))
+    return own[: len(own) - math.ceil(least * len(own) - 1e-9) + 1].tolist(), int(bits), len(own)
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = STAGE_SHINGLE_WORDS, least: float = LEAST_SIMILARITY) -> DataFrame:
     """(text_key, root): texts that are joined by links, for every text with a word that has a link; root is one of their keys.
 
-    A link: a part (or the whole) of one text has a fingerprint within PART_RADIUS bits of that of a part of the other, the
-    whole texts are within WHOLE_RADIUS, and the sets of word shingles have a Jaccard similarity of least or more.
-    Candidates come by pivot distance tables over the parts' fingerprints; as most edits leave a part of a text
-    alone, a small radius does. Only texts with a candidate are moved to be compared.
+    A link: the sets of word shingles have a Jaccard similarity of least or more, and either both texts have SHORT_WORDS words
+    at most, or a part (or the whole) of one has a fingerprint within PART_RADIUS bits of that of a part of the other
+    and the whole texts are within WHOLE_RADIUS. Candidates come by pivot distance tables over the parts' fingerprints,
+    as most edits leave a part of a text alone, and for short texts by the keys of short_keys, where sketches that differ in
+    more bits than such sets differ in shingles discard pairs. Only texts with a candidate are moved to be compared.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    #: Shingles that one of two linked sets has alone, as a share of the sum of their sizes.
+    apart = (1 - least) / (1 + least) + 1e-9
+
+    def lists(found):
+        cuts = np.concatenate([[0], np.cumsum([len(f) for f in found])])
+        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.array([x for f in found for x in f], dtype=np.uint64).view(np.int64)))
 
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            found = [part_prints(t, hashes) for t in texts_of(batch.column("text"))]
-            values = np.array([x for f in found for x in f], dtype=np.uint64).view(np.int64)
-            cuts = np.concatenate([[0], np.cumsum([len(f) for f in found])])
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values))], names=["node", "fps"])
-
-    prints = written(docs.select(F.xxhash64(text).alias("node"), text.alias("text")).mapInArrow(run, "node long, fps array<long>").where(F.size("fps") > 0).dropDuplicates(["node"]), "prints")
+            texts = texts_of(batch.column("text"))
+            short = [short_keys(t, shingle_words, least) for t in texts]
+            sketches = np.array([s for _, s, _ in short], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), lists([part_prints(t, hashes) for t in texts]), lists([k for k, _, _ in short]), pa.array(sketches), pa.array([n for _, _, n in short], pa.int64())],
+                names=["node", "fps", "keys", "sketch", "size"],
+            )
+
+    named = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
+    prints = written(named.mapInArrow(run, "node long, fps array<long>, keys array<long>, sketch long, size long").where(F.size("fps") > 0).dropDuplicates(["node"]), "prints")
     points = prints.select("node", F.explode(F.array_distinct("fps")).alias("fp"), F.get("fps", F.lit(0)).alias("whole"))
     pivots = Pivots(PART_RADIUS, 6 * prints.count())
+    # the lowest bit of a key tells keys of shingles, whose rows have the sketch and the size, from those of parts
+    even = F.col("key").bitwiseAND(F.lit(-2))
+    by_part = keyed(points, pivots.keys).withColumn("key", even)
+    by_shingle = prints.select(F.explode("keys").alias("key"), "node", F.col("sketch").alias("fp"), F.col("size").alias("whole")).withColumn("key", even.bitwiseOR(F.lit(1)))
 
     def linked(columns):
-        test, wholes = pivots.linked(columns["fp"].view(np.uint64)), columns["whole"].view(np.uint64)
-        return lambda i, j: (np.bitwise_count(wholes[i] ^ wholes[j]) <= WHOLE_RADIUS) & test(i, j)
+        fps, wholes, short = columns["fp"].view(np.uint64), columns["whole"], (columns["group"] & 1).astype(bool)
+        test = pivots.linked(fps)
+
+        def pairs(i, j):
+            few = np.bitwise_count(fps[i] ^ fps[j]) <= apart * (wholes[i] + wholes[j])
+            return np.where(short[i], few, (np.bitwise_count(wholes[i].view(np.uint64) ^ wholes[j].view(np.uint64)) <= WHOLE_RADIUS) & test(i, j))
+
+        return pairs
 
-    roots = written(components(bucket_forest(keyed(points, pivots.keys), linked)), "candidates")
-    members = prints.join(roots, "node").select("node", "fps", "root")
-    texts = docs.select(F.xxhash64(text).alias("node"), text.alias("text")).where(may_hold(roots, "node")(F.col("node")))
+    roots = written(components(bucket_forest(by_part.unionByName(by_shingle), linked)), "candidates")
+    members = prints.join(roots, "node").select("node", "fps", "sketch", "size", "root")
+    texts = named.where(may_hold(roots, "node")(F.col("node")))
     said = written(texts.join(members, "node").dropDuplicates(["node"]), "said")
 
     def compare(batches):
@@ -209,6 +248,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             group, nodes = t.column("group").to_numpy(), t.column("node").to_numpy()
             fps = [np.array(x, dtype=np.int64).view(np.uint64) for x in t.column("fps").to_pylist()]
             wholes, own = np.array([f[0] for f in fps], dtype=np.uint64), [None] * len(nodes)
+            sketches, sizes = t.column("sketch").to_numpy().view(np.uint64), t.column("size").to_numpy()
             last, forest = np.searchsorted(group, group, side="right"), Forest(len(nodes))
 
             def shingles(i):
@@ -217,8 +257,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 return own[i]
 
             for i in range(len(nodes)):
-                for j in (np.flatnonzero(near(wholes[i + 1 : last[i]], wholes[i], WHOLE_RADIUS)) + i + 1).tolist():
-                    if forest.find(i) != forest.find(j) and near(fps[i][:, None], fps[j][None, :], PART_RADIUS).any():
+                rest = slice(i + 1, last[i])
+                short = (sizes[i] > 0) & (sizes[rest] > 0) & (np.bitwise_count(sketches[rest] ^ sketches[i]) <= apart * (sizes[rest] + sizes[i]))
+                for j in (np.flatnonzero(short | near(wholes[rest], wholes[i], WHOLE_RADIUS)) + i + 1).tolist():
+                    if forest.find(i) != forest.find(j) and (short[j - i - 1] or near(fps[i][:, None], fps[j][None, :], PART_RADIUS).any()):
                         a, b = shingles(i), shingles(j)
                         if min(len(a), len(b)) >= least * max(len(a), len(b)):
                             both = len(np.intersect1d(a, b, assume_unique=True))
@@ -241,6 +283,7 @@ def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     that repeat id and text are one; of those with other columns that differ, any one stays. Equal ids
     with different texts are different documents. Texts without a word are equal to one another. An empty table stays empty.
     """
+    small_batches(spark)
     word = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     none = F.lit(0).cast("bigint")
     # two hashes of 64 bits with different seeds name a text

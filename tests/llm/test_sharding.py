@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 from quayside.llm import sharding
 
@@ -37,3 +38,27 @@ def test_near_equal_bytes_and_growth(spark, tmp_path):
 def test_empty_table(spark):
     placed = sharding.records(cases.nothing(spark))
     assert sharding.assign(placed, sharding.first_map(sharding.slot_sizes(placed))).count() == 0
+
+
+def test_query_places_every_document_once(spark, sf_dir):
+    """The query's rows against sizes, checksums and the law by plain Python, and its two maps against each other."""
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = sharding.op4_virtual_slot_shards(spark, sf_dir).collect()
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got} == {d: (len(t) + 16, zlib.crc32(t)) for d, t in docs.items()}
+    assert len(got) == len(docs) and {r["law"] for r in got} == {"bytes"} and {r["grown_shard"] for r in got} == {None}
+
+    own, loads = {}, Counter()
+    for r in got:
+        own.setdefault(r["virtual_slot"], []).append(r)
+        loads[r["shard"]] += r["size"]
+    assert all(len({(r["shard"], r["grown_slot_shard"]) for r in rows}) == 1 for rows in own.values())
+    # slots by falling bytes, each where least is so far
+    filled, expected = Counter({s: 0 for s in range(40)}), {}
+    for slot in sorted(own, key=lambda v: (-sum(r["size"] for r in own[v]), v)):
+        expected[slot] = min(filled, key=lambda s: (filled[s], s))
+        filled[expected[slot]] += sum(r["size"] for r in own[slot])
+    assert {v: rows[0]["shard"] for v, rows in own.items()} == expected and filled == loads
+    for shard in range(40):
+        assert sorted(r["slot"] for r in got if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in got)))
+    moved = [r for r in got if r["grown_slot_shard"] != r["shard"]]
+    assert moved and {r["grown_slot_shard"] for r in moved} == {40} and sum(r["size"] for r in moved) <= sum(loads.values()) / 41

@@ -193,6 +193,47 @@ def test_near_copies_by_shingle_similarity_alone(spark):
     assert len(pairs) > 150 and found >= 0.95 * len(pairs), (found, len(pairs))
 
 
+def edited(rng, words, vocabulary):
+    """A list of words with one word changed, put in or left out, at either end or within."""
+    at, kind = rng.choice([0, rng.randrange(len(words)), len(words) - 1]), rng.random()
+    return words[:at] + ([rng.choice(vocabulary)] if kind < 0.7 else []) + words[at + (0.3 < kind) :]
+
+
+@pytest.mark.parametrize("bucket", [2048, 8])
+def test_short_texts_are_grouped_as_by_brute_force(spark, monkeypatch, bucket):
+    """Every pair of short texts with the similarity is found, also where many share an opening and buckets are split."""
+    monkeypatch.setattr(graph, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(simhash, "GROUP_ROWS", bucket)
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    opening, texts = [rng.choice(vocabulary) for _ in range(9)], []
+    for k in range(400):
+        words = (opening if k % 10 == 0 else []) + [rng.choice(vocabulary) for _ in range(rng.randint(1, 34))]
+        texts += [words, edited(rng, words, vocabulary)]
+    docs = spark.createDataFrame([(k, " ".join(t), "en", "s", 0) for k, t in enumerate(texts)], cases.SCHEMA)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    groups = slow_kept(rows)
+    assert len(groups) < 700
+    assert {r["doc_id"] for r in simhash.dedup_stage(spark, docs, "").collect()} == {min(g)[1] for g in groups.values()}
+
+
+def test_short_keys_share_one_and_sketches_differ_little():
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choice("abcdef") for _ in range(4)) for _ in range(500)]
+    met = 0
+    for _ in range(2000):
+        a = [rng.choice(vocabulary) for _ in range(rng.randint(1, simhash.SHORT_WORDS - 1))]
+        b = edited(rng, a, vocabulary)
+        x, y = (shingles_of(" ".join(t)) for t in (a, b))
+        if x and y and similarity(x, y) >= 0.8:
+            (k, s, n), (l, t, m) = (simhash.short_keys(" ".join(w), 5, 0.8) for w in (a, b))
+            met += 1
+            assert (n, m) == (len(x), len(y)) and set(k) & set(l) and 9 * (s ^ t).bit_count() <= n + m
+    assert met > 200
+    assert simhash.short_keys("", 5, 0.8) == simhash.short_keys("w " * 45, 5, 0.8) == ([], 0, 0)
+    assert simhash.short_keys("w " * 44, 5, 0.8)[2] == 1
+
+
 def test_query_is_that_of_brute_force(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     prints = {r["doc_id"]: slow_fingerprint(r["text"]) for r in rows}
