@@ -20,6 +20,8 @@ from .common import small_batches, table, texts_of
 
 #: Pre-tokens whose ids a Python worker keeps between texts, at most twice as many. About 0.2 KB each.
 MEMO_ENTRIES = 200_000
+#: The same in the pipeline, whose workers hold what earlier stages left them, too.
+STAGE_MEMO_ENTRIES = 40_000
 #: Keys of one bucket of the perfect hash, on average.
 BUCKET_KEYS = 2
 #: Characters on which the classes of Python's re and of \p{L}, \p{N} and \s surely agree, as ranges.
@@ -84,12 +86,13 @@ class PerfectHash:
 
 
 class Codec(dict):
-    """Encodes and decodes by one vocabulary. As a dict it maps pre-tokens to their ids' bytes, up to MEMO_ENTRIES; a full
+    """Encodes and decodes by one vocabulary. As a dict it maps pre-tokens to their ids' bytes, up to entries (MEMO_ENTRIES where not given); a full
     one is kept aside until the next is full, so that frequent pre-tokens are not looked up anew.
     """
 
-    def __init__(self, perfect: PerfectHash, pattern: str):
+    def __init__(self, perfect: PerfectHash, pattern: str, entries: int | None = None):
         super().__init__()
+        self.entries = entries
         self.tokens, self.perfect, self.older = perfect.tokens, perfect, {}
         rank_of = {t: i for i, t in enumerate(self.tokens)}
         self.of_byte = [rank_of[bytes([b])] for b in range(256)]
@@ -107,7 +110,7 @@ class Codec(dict):
         self.quick = re.compile(quick).findall if r"\p" not in quick else None
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMO_ENTRIES:
+        if len(self) >= (self.entries or MEMO_ENTRIES):
             self.older = dict(self)
             self.clear()
         ids = self.older.get(piece)
@@ -167,20 +170,20 @@ class Codec(dict):
         return b"".join(itemgetter(*found)(self.tokens)) if len(found) > 1 else b"".join(self.tokens[x] for x in found)
 
 
-_CODECS: dict[tuple[bytes, str], Codec] = {}
+_CODECS: dict[tuple[bytes, str, int | None], Codec] = {}
 
 
-def codec_of(perfect: PerfectHash, pattern: str) -> Codec:
+def codec_of(perfect: PerfectHash, pattern: str, entries: int | None = None) -> Codec:
     """The codec of a vocabulary, built once in each Python worker; vocabularies are told apart by a digest of their tokens."""
-    key = (perfect.digest, pattern)
+    key = (perfect.digest, pattern, entries)
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(perfect, pattern)
+        _CODECS[key] = Codec(perfect, pattern, entries)
     return _CODECS[key]
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256), and with_ids also ids as an array of ints.
+def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, entries: int | None = None) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256), and with_ids also ids as an array of ints. entries bounds the memo of a worker.
 
     vocabulary is the path of a tiktoken file on the driver, pattern the pre-tokeniser. Null and empty
     texts have no tokens; both digests are then those of no bytes. Every row gives a row, repeated ones
@@ -190,7 +193,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
     shared = spark.sparkContext.broadcast(PerfectHash(read_ranks(vocabulary)))
 
     def run(batches):
-        codec = codec_of(shared.value, pattern)
+        codec = codec_of(shared.value, pattern, entries)
         for batch in batches:
             n, a, b, kept = [], [], [], []
             for text in texts_of(batch.column("text")):
@@ -228,4 +231,4 @@ def bpe_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no ids; every row gives a row, and an empty table none.
     """
     small_batches(spark)
-    return encode_decode(docs, *_public(), with_ids=True).withColumnRenamed("id", "doc_id")
+    return encode_decode(docs, *_public(), with_ids=True, entries=STAGE_MEMO_ENTRIES).withColumnRenamed("id", "doc_id")
