@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quayside.functions.demand import DEMANDS
-from quayside.operators import metrics, pack, retrieve, solve, validate
+from quayside.operators import metrics, order, pack, retrieve, solve, validate
 from quayside.operators.order import ranked, running_sums
 from quayside.plans import dispatch, waves
 from quayside.sources import generate, tables
@@ -249,3 +249,41 @@ def test_validation_counts(spark):
     tasks = spark.createDataFrame(rows, "agent_id bigint, r0 bigint, r1 bigint, r2 bigint, r3 bigint, duration double")
     assert tuple(validate.violations(tasks).first()) == (3, 1, 1, 1)
     assert tuple(validate.id_check(tasks).first()) == (3, 2, False, False)
+
+
+def test_first_come_waves_equal_batches_and_write_the_table_once(spark, monkeypatch):
+    """The waves of rounds that take the first so many tasks left, on ids with gaps; no batch writes what is left again."""
+    rng = np.random.default_rng(5)
+    ids, d = sorted(rng.choice(3_000, 300, replace=False).tolist()), rng.integers(1, 60, (300, 2))
+    d[rng.random(300) < 0.05] *= 8
+    tasks = spark.createDataFrame([(i, *map(int, x)) for i, x in zip(ids, d, strict=True)], "agent_id bigint, r0 bigint, r1 bigint").repartition(5)
+    left, wave, want = list(range(300)), 0, {}
+    while left:
+        room = [2_300, 2_200]
+        while True:
+            took = []
+            for i in left[:32]:
+                if all(d[i] <= room):
+                    room, took = [c - x for c, x in zip(room, d[i], strict=True)], [*took, i]
+            want |= {ids[i]: wave for i in took}
+            left = [i for i in left if i not in took]
+            if not took:
+                break
+        wave += 1
+    sizes = []
+    keep = waves.written
+    monkeypatch.setattr(waves, "written", lambda df, name: sizes.append((out := keep(df, name)).count()) or out)
+    got = {r["agent_id"]: r["wave"] for r in waves.policy_waves(tasks, [2_300, 2_200], waves.fifo_policy(32)).collect()}
+    assert got == want and wave > 4
+    assert sum(n > 32 * waves.LOOKED for n in sizes) == 1
+
+
+def test_ranks_of_more_rows_take_more_tasks_and_fewer_columns(spark, monkeypatch):
+    """A range has about TASK_ROWS rows whatever adaptive execution would join, and only the columns asked for are written."""
+    seen, keep = [], order.written
+    monkeypatch.setattr(order, "TASK_ROWS", 100)
+    monkeypatch.setattr(order, "written", lambda df, name: seen.append((df.columns, df.rdd.getNumPartitions())) or keep(df, name))
+    df = spark.range(1_000).select((F.col("id") * 7 % 1_000).alias("k"), F.lit("x").alias("wide"))
+    got = order.ranked(df, ["k"], "rank", ["k"]).collect()
+    assert seen == [(["k", "_at"], 10)]
+    assert len(got) == 1_000 and all(r["k"] == r["rank"] for r in got)
