@@ -8,21 +8,27 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.demand import Amounts, by_demand, demand_columns, demands_of, like_given
-from ..operators.order import running_sums
-from ..operators.pack import WINDOW, best_fit, first_fit_window
+from ..functions.demand import TOLERANCE, Amounts, by_demand, demand_columns, demands_of, like_given
+from ..operators.order import ranked, running_sums
+from ..operators.pack import WINDOW, best_fit, first_fit_window, scan_in_order
 from ..operators.retrieve import POOL, active, scored, top_k
 from ..sources.shared import written
 
 MOST_WAVES = 10_000
+#: Windows that one task packs at a time where tasks begin not to fit.
+LOOKED = 4
 
 
 @dataclass
 class Policy:
-    """How a batch is taken from active tasks, what remains and the capacity; it looks at rows tasks at most."""
+    """How a batch is taken from active tasks, what remains and the capacity; it looks at rows tasks at most.
+
+    A policy that is first fit over the first rows tasks of an order names it as rank.
+    """
 
     take: Callable[[DataFrame, Amounts, Amounts], DataFrame]
     rows: int
+    rank: str | None = None
 
 
 def require_equal_durations(tasks: DataFrame) -> None:
@@ -69,7 +75,7 @@ def strict_waves(tasks: DataFrame, capacity: Amounts, rows: int, rank: str = "ag
 
 def fifo_policy(window: int = WINDOW, rank: str = "agent_id") -> Policy:
     """The first so many active tasks by rank, whether or not ranks between are gone."""
-    return Policy(lambda tasks, remaining, capacity: first_fit_window(tasks, remaining, rank, window), window)
+    return Policy(lambda tasks, remaining, capacity: first_fit_window(tasks, remaining, rank, window), window, rank)
 
 
 def sparse_policy(method: str, pool: int = POOL) -> Policy:
@@ -77,13 +83,85 @@ def sparse_policy(method: str, pool: int = POOL) -> Policy:
     return Policy(lambda tasks, remaining, capacity: best_fit(top_k(scored(tasks, method, remaining, capacity), pool), remaining, pool), pool)
 
 
+def first_come_waves(tasks: DataFrame, capacity: Amounts, window: int = WINDOW, rank: str = "agent_id") -> DataFrame:
+    """tasks with wave, where each batch is first fit over the first window tasks that are left, in the order of distinct ranks.
+
+    What a batch skips doesn't fit later in its wave either. So a wave takes what fits along the ranks, until it has skipped
+    window tasks or has seen all. Those skipped begin the next wave, and behind them nothing has been looked at. Running sums,
+    written once, give the stretches that fit whole, by one aggregate each; between them one task packs a
+    few windows at most. The driver holds the stretches' ends.
+    """
+    demands, limit = demands_of(capacity), by_demand(capacity)
+    told = tasks.agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("least"), F.max(rank).alias("greatest")).first()
+    rows = told["n"]
+    dense = rows == 0 or (told["least"], told["greatest"]) == (0, rows - 1)
+    own = tasks.withColumn("_place", F.col(rank).cast("bigint")) if dense else ranked(tasks, [rank], "_place")
+    summed = written(running_sums(own.select("agent_id", "_place", *demands), "_place", demands, rows), "sums")
+    stretches, placed, skipped = [], None, None
+    wave, at, n_skipped, base = 0, 0, 0, dict.fromkeys(demands, 0)
+
+    def look(pool: DataFrame, left: dict, skips: int) -> tuple[DataFrame, dict]:
+        """First fit over a bounded pool: the rows it saw, and how many and how much it saw and took."""
+        seen = written(scan_in_order(pool.select("agent_id", "_place", *demands), left, "_place", skips), "seen")
+        sums = [f(x).alias(f"{n}_{d}") for d in demands for n, f, x in (("seen", F.sum, F.col(d)), ("took", F.sum, F.when(F.col("took"), F.col(d))))]
+        return seen, seen.agg(F.count(F.lit(1)).alias("seen"), F.count(F.when(F.col("took"), 1)).alias("took"), *sums).first().asDict()
+
+    while at < rows or n_skipped:
+        left, taken, parts = dict(limit), 0, []
+
+        def put(seen: DataFrame, found: dict) -> None:
+            nonlocal placed, left, taken, n_skipped
+            took = seen.where("took").select("agent_id", F.lit(wave).cast("bigint").alias("wave"))
+            placed = took if placed is None else placed.unionByName(took)
+            parts.append(seen.where("NOT took").drop("took"))
+            left = {d: c - (found[f"took_{d}"] or 0) for d, c in left.items()}
+            taken, n_skipped = taken + found["took"], n_skipped + found["seen"] - found["took"]
+
+        if n_skipped:
+            n_skipped = 0
+            put(*look(skipped, left, window))
+        while at < rows and n_skipped < window:
+            over = F.lit(False)
+            for d, c in left.items():
+                over = over | (F.col(f"s_{d}") > F.lit(base[d] + c + (0 if isinstance(c, int) else TOLERANCE)))
+            first = summed.where((F.col("_place") >= at) & over).agg(F.min(F.struct("_place", *((F.col(f"s_{d}") - F.col(d)).alias(d) for d in demands))).alias("x")).first()["x"]
+            end = rows if first is None else first["_place"]
+            if end > at:
+                stretches.append((at, end, wave))
+                taken += end - at
+            if first is None:
+                at = rows
+                break
+            left, base, at = {d: c - (first[d] - base[d]) for d, c in left.items()}, {d: first[d] for d in demands}, end
+            seen, found = look(summed.where((F.col("_place") >= at) & (F.col("_place") < at + LOOKED * window)), left, window - n_skipped)
+            base, at = {d: b + found[f"seen_{d}"] for d, b in base.items()}, at + found["seen"]
+            put(seen, found)
+        if not taken:
+            raise ValueError("a task fits no wave")
+        skipped = None
+        for part in parts:
+            skipped = part if skipped is None else skipped.unionByName(part)
+        wave += 1
+        if wave > MOST_WAVES:
+            raise RuntimeError(f"more than {MOST_WAVES} waves")
+    whole = F.expr("CASE " + " ".join(f"WHEN _place >= {a} AND _place < {b} THEN {w}L" for a, b, w in stretches) + " END") if stretches else F.lit(None).cast("bigint")
+    done = own.withColumn("wave", whole)
+    out = done.where(F.col("wave").isNotNull())
+    if placed is not None:
+        out = out.unionByName(done.where(F.col("wave").isNull()).drop("wave").join(placed, "agent_id"))
+    return out.select(*tasks.columns, "wave")
+
+
 def policy_waves(tasks: DataFrame, capacity: Amounts, policy: Policy) -> DataFrame:
     """tasks with wave: in each wave batches are taken until none fits, then capacity is whole again.
 
     What is left is written after each batch, so that plans stay short and lost executors cost one batch. A
     batch that all active tasks were looked at for leaves none that fits, as demands are positive. Durations must be equal.
+    First-come policies need no such rounds: first_come_waves gives the same waves.
     """
     require_equal_durations(tasks)
+    if policy.rank is not None:
+        return first_come_waves(tasks, capacity, policy.rows, policy.rank)
     demands = demands_of(capacity)
     left, done, wave = tasks, None, 0
     rows = left.count()
