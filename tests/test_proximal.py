@@ -141,3 +141,16 @@ def test_wrong_parameters(spark):
     for wrong in ({"power": 0}, {"power": 1.5}, {"penalty": -1}, {"floor": 0}):
         with pytest.raises(ValueError):
             proximal.irls(df, [1, 1], [1, 1], **wrong)
+
+
+@pytest.mark.parametrize("solver", [proximal.fista, proximal.irls])
+def test_the_state_is_written_without_the_atoms(spark, monkeypatch, solver):
+    """Whole demands stay as they are in what is written, and demands may bear the names of a solver's columns."""
+    seen, keep = {}, proximal.written
+    monkeypatch.setattr(proximal, "written", lambda df, name: seen.setdefault(name, df.columns) and keep(df, name))
+    monkeypatch.setattr(proximal, "KEPT_STEPS", 2)
+    tasks = spark.createDataFrame([(i, 3 * i + 1, 7 - i % 5) for i in range(6)], "agent_id bigint, x bigint, p bigint")
+    found, _ = solver(tasks, [0.5, 0.4], {"x": 20, "p": 9}, **({"steps": 3} if solver is proximal.fista else {"rounds": 1, "inner": 2}))
+    assert found.count() == 6
+    assert seen["atoms"] == ["agent_id", "_r0", "_r1"]
+    assert set(seen["solver"]) <= {"agent_id", "_r0", "_r1", "x", "y", "n", "d", "z", "r", "p"}
