@@ -22,12 +22,17 @@ def fits(demand: Sequence[float], left: Sequence[float]) -> bool:
     return all(x <= c + TOLERANCE for x, c in zip(demand, left, strict=True))
 
 
-def _demand_of(row, names: Sequence[str]) -> list[float]:
+def _places(row, names: Sequence[str]) -> list[int]:
+    """Where a row of the table holds the demands; the same for all of its rows, so that no row is searched by name."""
+    return [row.__fields__.index(d) for d in names]
+
+
+def _demand_of(row, places: Sequence[int]) -> list[float]:
     """The row's demands; a null one is an error, as it would fit anywhere."""
-    demand = [row[d] for d in names]
-    if any(x is None for x in demand):
-        raise ValueError(f"task {row['agent_id']} has a demand of null")
-    return [float(x) for x in demand]
+    try:
+        return [float(row[k]) for k in places]
+    except TypeError:
+        raise ValueError(f"task {row['agent_id']} has a demand of null") from None
 
 
 def packing(wants: Wants = fits):
@@ -39,12 +44,12 @@ def packing(wants: Wants = fits):
 
     class Packing:
         def __init__(self):
-            self.left, self.names, self.taken = None, (), set()
+            self.left, self.places, self.taken = None, (), set()
 
         def eval(self, capacity: dict, row):
             if self.left is None:
-                self.names, self.left = list(capacity), [float(c) for c in capacity.values()]
-            demand = _demand_of(row, self.names)
+                self.places, self.left = _places(row, list(capacity)), [float(c) for c in capacity.values()]
+            demand = _demand_of(row, self.places)
             if not wants(demand, list(self.left)):
                 return
             if not fits(demand, self.left):
@@ -66,13 +71,14 @@ def retrieval(scores: Scores):
 
     class Retrieval:
         def __init__(self):
-            self.best, self.shard = [], None
+            self.best, self.shard, self.limit, self.places = [], None, None, ()
 
         def eval(self, capacity: dict, k: int, row):
-            demand, limit = _demand_of(row, list(capacity)), [float(c) for c in capacity.values()]
-            self.shard = row["shard"]
-            if k > 0 and fits(demand, limit):
-                entry = (float(scores(demand, limit)), -row["agent_id"])
+            if self.limit is None:
+                self.places, self.limit, self.shard = _places(row, list(capacity)), [float(c) for c in capacity.values()], row["shard"]
+            demand = _demand_of(row, self.places)
+            if k > 0 and fits(demand, self.limit):
+                entry = (float(scores(demand, list(self.limit))), -row["agent_id"])
                 if len(self.best) < k:
                     heapq.heappush(self.best, entry)
                 else:

@@ -61,3 +61,22 @@ def test_no_tasks(spark, view):
     view([])
     spark.udtf.register("own_packing", packing())
     assert spark.sql(f"SELECT * FROM own_packing({CAPACITY}, TABLE(own_tasks) PARTITION BY shard ORDER BY agent_id)").count() == 0
+
+
+def test_no_row_is_searched_by_name_for_its_demands():
+    """The places of the demands are found once for a partition; a rejected row is read by place alone."""
+    from pyspark.sql import Row
+
+    searched = []
+
+    class Counted(Row):
+        def __getitem__(self, item):
+            searched.append(item) if isinstance(item, str) else None
+            return super().__getitem__(item)
+
+    own = packing(lambda demand, left: False).func()
+    for i in range(50):
+        row = tuple.__new__(Counted, (0, i, 1.0, 2.0))
+        row.__fields__ = ["shard", "agent_id", "cpu", "disk"]
+        assert list(own.eval({"cpu": 10.0, "disk": 9.0}, row)) == []
+    assert searched == []
