@@ -15,6 +15,8 @@ from ..operators.retrieve import POOL, active, scored, top_k
 from ..sources.shared import written
 
 MOST_WAVES = 10_000
+#: Ids of batches that are sent to all tasks (8 MB) before what is left is written again.
+KEPT_GONE = 1 << 20
 #: Windows that one task packs at a time where tasks begin not to fit.
 LOOKED = 4
 
@@ -155,7 +157,7 @@ def first_come_waves(tasks: DataFrame, capacity: Amounts, window: int = WINDOW,
 def policy_waves(tasks: DataFrame, capacity: Amounts, policy: Policy) -> DataFrame:
     """tasks with wave: in each wave batches are taken until none fits, then capacity is whole again.
 
-    What is left is written after each batch, so that plans stay short and lost executors cost one batch. A
+    Batches are written, and what is left is the table without their ids; it is written again when KEPT_GONE of them are gone. A
     batch that all active tasks were looked at for leaves none that fits, as demands are positive. Durations must be equal.
     First-come policies need no such rounds: first_come_waves gives the same waves.
     """
@@ -163,7 +165,7 @@ def policy_waves(tasks: DataFrame, capacity: Amounts, policy: Policy) -> DataFra
     if policy.rank is not None:
         return first_come_waves(tasks, capacity, policy.rows, policy.rank)
     demands = demands_of(capacity)
-    left, done, wave = tasks, None, 0
+    base, left, done, gone, n_gone, wave = tasks, tasks, None, None, 0, 0
     rows = left.count()
     while rows:
         remaining, got_any = capacity, False
@@ -175,7 +177,12 @@ def policy_waves(tasks: DataFrame, capacity: Amounts, policy: Policy) -> DataFra
             got_any, whole, rows = True, rows <= policy.rows, rows - used["n"]
             remaining = like_given([r - used[d] for d, r in by_demand(remaining).items()], remaining)
             done = batch if done is None else done.unionByName(batch)
-            left = written(active(left, batch), "left")
+            ids, n_gone = batch.select("agent_id"), n_gone + used["n"]
+            gone = ids if gone is None else gone.unionByName(ids)
+            left = active(base, gone, bounded=True)
+            if n_gone >= KEPT_GONE:
+                base = left = written(left, "left")
+                gone, n_gone = None, 0
             if whole:
                 break
         if not got_any:

@@ -287,3 +287,14 @@ def test_ranks_of_more_rows_take_more_tasks_and_fewer_columns(spark, monkeypatch
     got = order.ranked(df, ["k"], "rank", ["k"]).collect()
     assert seen == [(["k", "_at"], 10)]
     assert len(got) == 1_000 and all(r["k"] == r["rank"] for r in got)
+
+
+def test_what_is_left_is_not_written_for_each_batch(spark, monkeypatch):
+    """Sparse policies write what is left once for so many ids that are gone, and place every task once."""
+    names, keep = [], waves.written
+    monkeypatch.setattr(waves, "written", lambda df, name: names.append(name) or keep(df, name))
+    monkeypatch.setattr(waves, "KEPT_GONE", 25)
+    tasks = spark.createDataFrame([(i, 1 + i % 5, 1 + i % 3) for i in range(40)], "agent_id bigint, r0 bigint, r1 bigint").repartition(2)
+    got = waves.policy_waves(tasks, [70, 50], waves.sparse_policy("mp", 10)).collect()
+    assert sorted(r["agent_id"] for r in got) == list(range(40))
+    assert names.count("batch") >= 4 and names.count("left") == 1
