@@ -7,13 +7,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import whole_keys, written
 
+#: Edges of a graph that are contracted at a time; a graph of more takes rounds of shuffles.
+TASK_EDGES = 65_536
 #: Members of one bucket that are compared in one task; larger buckets are split into blocks.
 BUCKET_ROWS = 2048
+#: One node in so many is looked at to tell large buckets.
+COUNTED = 16
+#: Members of a bucket from which on its pairs are compared as a square, and pairs that are compared at a time.
+SQUARE_RUN, SQUARE_PAIRS = 32, 1 << 14
 #: Rows of a group of one chunk; a group of 100 times as many has 10 chunks of 10 times as many rows.
 CHUNK_SQUARE = 32
 #: Members of a bucket by chance alone that the number of key bits is chosen for.
@@ -23,20 +30,56 @@ CHANCE_ROWS = 400
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b); root is the least node that can be reached.
 
-    Alternating large-star and small-star rounds. The minima are written before they are joined back, so
-    that both sides of each join are plain shuffles and Spark can split the rows of a hub.
+    Edges are contracted where they are, a chunk of TASK_EDGES at a time. What then still has more edges than one chunk goes
+    through alternating large-star and small-star rounds, until it is a star forest or fits a chunk. The minima are
+    written before they are joined back, so that both sides of each join are plain shuffles and Spark can split the rows of a hub.
     """
-    stars = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    while not _is_star_forest(stars):
+    stars = written(_contracted(edges.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))), "edges")
+    while (rows := stars.count()) > TASK_EDGES and not _is_star_forest(stars):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
         least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         stars = written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+    if rows <= TASK_EDGES:
+        stars = written(_contracted(stars.coalesce(1)), "small")
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) that connect what those of each chunk of a task's edges connect: every node beside the least it reaches there."""
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, TASK_EDGES):
+                part = batch.slice(at, TASK_EDGES)
+                if rows + part.num_rows > TASK_EDGES:
+                    yield from stars_of(held)
+                    held, rows = [], 0
+                held.append(part)
+                rows += part.num_rows
+        yield from stars_of(held)
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.schema)
+    return edges.mapInArrow(run, kinds)
+
+
+def stars_of(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The star forest of the edges (u, v) of some batches; roots are the least nodes."""
+    if not (n := sum(b.num_rows for b in batches)):
+        return
+    ends = pa.chunked_array([b.column(c) for c in ("u", "v") for b in batches]).combine_chunks()
+    nodes = ends.unique().sort()
+    at = pc.index_in(ends, nodes).to_numpy()
+    forest = Forest(len(nodes))
+    forest.join(at[:n], at[n:])
+    root = forest.roots()
+    own = np.flatnonzero(root != np.arange(len(root)))
+    yield pa.RecordBatch.from_arrays([nodes.take(pa.array(own)), nodes.take(pa.array(root[own]))], names=["u", "v"])
+
+
 def _is_star_forest(stars: DataFrame) -> bool:
     """Each u hangs on one v, and no v hangs on another node."""
     if not stars.groupBy("u").count().where("count > 1").isEmpty():
@@ -60,9 +103,13 @@ def block_plan(radius: int, rows: int) -> list[np.ndarray]:
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words with well spread bits."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    out = x >> np.uint64(30)
+    out ^= x
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(27)
+    out *= np.uint64(0x94D049BB133111EB)
+    out ^= out >> np.uint64(31)
+    return out
 
 
 def masked_keys(radius: int, rows: int) -> Callable[[np.ndarray], np.ndarray]:
@@ -108,40 +155,48 @@ class Forest:
 
 
 def same_key_pairs(keys: np.ndarray, test: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of pairs with equal keys that meet a test, by their distance in the sorted keys.
+    """Positions of pairs with equal keys that meet a test, from sorted keys.
 
-    While many positions still have a partner at a distance, whole slices are compared, later single positions.
+    test takes two arrays of positions that broadcast. Runs of SQUARE_RUN or more equal keys are compared as squares, some rows of
+    at most SQUARE_PAIRS pairs at a time; shorter runs by the distance of their members, all runs at once.
     """
-    n, d, at = len(keys), 1, None
-    while d < n:
-        if at is None:
-            i, j = slice(0, n - d), slice(d, n)
-            same = keys[i] == keys[j]
-            partners = np.count_nonzero(same)
-            if partners:
-                hit = np.flatnonzero(same & test(i, j))
-            if 4 * partners < n:
-                at = np.flatnonzero(same)
-        else:
-            at = at[at + d < n]
-            at = at[keys[at] == keys[at + d]]
-            partners = len(at)
-            if partners:
-                hit = at[test(at, at + d)]
-        if not partners:
-            return
-        yield hit, hit + d
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+    sizes = np.diff(np.append(first, len(keys)))
+    for a, n in zip(first[sizes >= SQUARE_RUN].tolist(), sizes[sizes >= SQUARE_RUN].tolist(), strict=True):
+        at = a
+        while at < a + n - 1:
+            rows = min(max(1, SQUARE_PAIRS // (a + n - at)), a + n - at)
+            i, j = np.nonzero(test(np.arange(at, at + rows)[:, None], np.arange(at, a + n)[None, :]))
+            below = i < j
+            if below.any():
+                yield i[below] + at, j[below] + at
+            at += rows
+    short = (sizes > 1) & (sizes < SQUARE_RUN)
+    left = np.repeat(first[short] + sizes[short], sizes[short])
+    at = left - _countdown(sizes[short])
+    d = 1
+    while len(at):
+        on = at + d < left
+        at, left = at[on], left[on]
+        hit = at[test(at, at + d)]
+        if len(hit):
+            yield hit, hit + d
         d += 1
 
 
+def _countdown(sizes: np.ndarray) -> np.ndarray:
+    """n, n - 1, ..., 1 for each n."""
+    return np.repeat(np.cumsum(sizes), sizes) - np.arange(sizes.sum())
+
+
 def near_forest(points: DataFrame, keys: Callable[[np.ndarray], np.ndarray], linked: Callable[[np.ndarray], Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> DataFrame:
     """Edges (a, b) that connect just what the links between fingerprints connect.
 
     points has one row for each distinct fingerprint, fp. keys gives the bucket keys of fingerprints; linked
-    takes an array of fingerprints and returns a test of pairs of its positions (arrays or slices).
+    takes an array of fingerprints and returns a test of pairs of its positions (arrays that broadcast).
     """
     own = points.select(F.col("fp").alias("node"), "fp")
-    return bucket_forest(keyed(own, keys), lambda columns: linked(columns["fp"].view(np.uint64)))
+    return bucket_forest(own, lambda some: keyed(some, keys), lambda columns: linked(columns["fp"].view(np.uint64)))
 
 
 def keyed(points: DataFrame, keys: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -157,14 +212,15 @@ def keyed(points: DataFrame, keys: Callable[[np.ndarray], np.ndarray]) -> DataFr
     return points.mapInArrow(emit, "key long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema))
 
 
-def bucket_forest(rows: DataFrame, linked: Callable[[dict[str, np.ndarray]], Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> DataFrame:
+def bucket_forest(points: DataFrame, rows_of: Callable[[DataFrame], DataFrame], linked: Callable[[dict[str, np.ndarray]], Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> DataFrame:
     """Edges (a, b) between nodes that connect just what the links within buckets connect.
 
-    rows has key, node and whatever linked looks at, all numbers; linked takes these columns and returns a
-    test of pairs of positions. Each bucket gives a spanning forest, so at most one edge for each member.
-    Buckets over BUCKET_ROWS, which are counted before anything is moved, are split into blocks: pairs of
-    chunks, each its own group. linked sees the group as a column too; its lowest bit is that of the key.
+    rows_of gives the rows of points, which have node: key, node and whatever linked looks at, all numbers; linked takes
+    these columns and returns a test of pairs of positions. Each bucket gives a spanning forest, so at most one edge for each member.
+    Buckets of about BUCKET_ROWS or more, told by the rows of one node in COUNTED before anything is moved, are split into
+    blocks: pairs of chunks, each its own group; how a bucket is split does not change what is found. linked sees the group as a column too; its lowest bit is that of the key.
     """
+    rows = rows_of(points)
     others = [c for c in rows.columns if c != "key"]
 
     def compare(batches):
@@ -173,15 +229,17 @@ def bucket_forest(rows: DataFrame, linked: Callable[[dict[str, np.ndarray]], Cal
             key, nodes = columns["group"], columns["node"]
             forest = Forest(len(nodes))
             for i, j in same_key_pairs(key, linked(columns)):
-                apart = forest.up[i] != forest.up[j]
-                if apart.any():
-                    forest.join(i[apart], j[apart])
+                while (apart := forest.up[i] != forest.up[j]).any():
+                    i, j = i[apart], j[apart]
+                    some = np.unique(j, return_index=True)[1]
+                    forest.join(i[some], j[some])
                     forest.roots()
             root = forest.roots()
             if len(own := np.flatnonzero(nodes[root] != nodes)):
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], names=["a", "b"])
 
-    hot = written(rows.groupBy("key").count().where(F.col("count") > BUCKET_ROWS), "hot")
+    few = rows_of(points.where(F.pmod(F.xxhash64("node"), F.lit(COUNTED)) == 0))
+    hot = written(few.groupBy("key").agg((F.count(F.lit(1)) * COUNTED).alias("count")).where(F.col("count") > BUCKET_ROWS), "hot")
     if hot.isEmpty():
         grouped = rows.select(F.col("key").alias("group"), *others)
     else:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .common import majority, may_hold, small_batches, table, texts_of, vote_counts, whole_keys, written
-from .graph import Forest, bucket_forest, components, in_groups, keyed, masked_keys, mixed, near
+from .graph import bucket_forest, components, in_groups, keyed, masked_keys, mixed, near
 
 #: Shorter lines have no near copies; equal ones are repeats all the same.
 LEAST_WORDS = 5
@@ -43,12 +43,32 @@ def normal(text: str, apart: bool = True) -> bytes:
     without spaces is a word of its own."""
     text = text.lower()
     if not text.isascii():
-        text = _PARTS.sub(" ", text)
-        if apart:
-            text = _UNSPACED.sub(r" \1 ", text)
+        try:
+            text.encode("latin-1")  # has one character of _PARTS, and none of _UNSPACED
+            text = text.replace("\u00a0", " ")
+        except UnicodeEncodeError:
+            text = _PARTS.sub(" ", text)
+            if apart:
+                text = _UNSPACED.sub(r" \1 ", text)
     return text.encode("utf-8", "surrogatepass").translate(_NORMAL)
 
 
+#: Powers of _STEP and of its inverse, as many as were asked for so far.
+_POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def powers_of_step(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers 0 to n of _STEP and of its inverse modulo 2**64; those of BLOCK_BYTES at most are kept."""
+    if n < len(_POWERS[0]):
+        return _POWERS[0][: n + 1], _POWERS[1][: n + 1]
+    size = max(n, min(2 * n, BLOCK_BYTES))
+    with np.errstate(over="ignore"):
+        found = [np.multiply.accumulate(np.concatenate([np.ones(1, dtype=np.uint64), np.full(size, x, dtype=np.uint64)])) for x in (_STEP, pow(_STEP, -1, 2**64))]
+    if size <= BLOCK_BYTES:
+        _POWERS[:] = found
+    return found[0][: n + 1], found[1][: n + 1]
+
+
 def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(begin, hash) of each word of a normalised text. The lowest bit of a hash tells whether the word votes.
 
@@ -59,10 +79,10 @@ def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     begin, end = edges[::2], edges[1::2]
     n = len(raw)
+    powers, inverse = powers_of_step(n)
     with np.errstate(over="ignore"):
-        powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, _STEP, dtype=np.uint64)]))
-        inverse = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, pow(_STEP, -1, 2**64), dtype=np.uint64)]))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[raw] * powers[:n], dtype=np.uint64)])
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(_BYTES[raw] * powers[:n], out=sums[1:])
         h = mixed((sums[end] - sums[begin]) * inverse[begin])
     return begin, np.where(end - begin >= VOTING_BYTES, h | np.uint64(1), h & ~np.uint64(1))
 
@@ -103,10 +123,9 @@ def end_keys(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     steps = np.array([0, *END_WORDS])
     own = np.searchsorted(steps, sizes // 2, side="right") - 1
     below = np.where(4 * sizes < 10 * steps[own], own - 1, 0)
+    powers, inverse = powers_of_step(len(words))
     with np.errstate(over="ignore"):
         # sums of the words' hashes times powers by place, as of the bytes of a word
-        powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(words), _STEP, dtype=np.uint64)]))
-        inverse = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(words), pow(_STEP, -1, 2**64), dtype=np.uint64)]))
         sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(words) * powers[: len(words)], dtype=np.uint64)])
         for c, step in ((0, own), (2, below)):
             k, on = steps[step], step > 0
@@ -134,8 +153,8 @@ def lines_of(texts: list[str]) -> tuple[np.ndarray, ...]:
     buffer = np.frombuffer(raw, dtype=np.uint8)
     parts = [(a, *word_hashes(buffer[a:b])) for a, b in itertools.pairwise([*cuts, len(raw)])]
     begin, words = np.concatenate([a + x for a, x, _ in parts]), np.concatenate([h for _, _, h in parts])
-    at = np.searchsorted(np.flatnonzero(buffer == 10), begin)
-    sizes = np.bincount(at, minlength=int(counts.sum()))
+    ends = np.searchsorted(begin, np.append(np.flatnonzero(buffer == 10), len(raw)))  # words before the end of each line
+    sizes = np.diff(ends, prepend=0)
     text = np.repeat(np.arange(len(own)), counts)
     line = np.arange(len(sizes)) - np.repeat(np.cumsum(counts) - counts, counts)
     keep = sizes > 0
@@ -214,10 +233,30 @@ def edit_distance(a: str, b: str, most: float = math.inf) -> int:
     return distance
 
 
+def words_apart(a: str, b: str, most: float = math.inf) -> int:
+    """Edits of whole words that turn a into b, in characters: never less than their edit distance, and a number over most if that many do not do.
+
+    Words that differ are replaced, or left out or put in where the next word then agrees.
+    """
+    x, y = a.split(" "), b.split(" ")
+    i = j = edits = 0
+    while i < len(x) and j < len(y) and edits <= most:
+        if x[i] != y[j]:
+            after_x, after_y = x[i + 1 : i + 2], y[j + 1 : j + 2]
+            if after_x != after_y and after_x == [y[j]]:
+                edits, j = edits + len(x[i]) + 1, j - 1
+            elif after_x != after_y and after_y == [x[i]]:
+                edits, i = edits + len(y[j]) + 1, i - 1
+            else:
+                edits += max(len(x[i]), len(y[j]))
+        i, j = i + 1, j + 1
+    return edits + sum(len(w) + 1 for w in x[i:]) + sum(len(w) + 1 for w in y[j:])
+
+
 def similar(a: str, b: str, least: float = LEAST_SIMILARITY) -> bool:
     longest = max(len(a), len(b))
     most = (1 - least) * longest + 1e-9
-    return abs(len(a) - len(b)) <= most and edit_distance(a, b, most) <= most
+    return abs(len(a) - len(b)) <= most and (words_apart(a, b, most) <= most or edit_distance(a, b, most) <= most)
 
 
 def numbers(line: str) -> int:
@@ -263,14 +302,17 @@ def line_links(firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str, r
     more fetch their text, from the one document of their first occurrence, and are compared within the group, large ones by blocks.
     """
     points = written(firsts.where("fp IS NOT NULL").select(F.xxhash64("hash").alias("node"), "fp", "ends", "hash", "first"), "points")
-    by_print = keyed(points.select("node", "fp"), masked_keys(radius, points.count())).select((F.col("key").bitwiseAND(F.lit(-2))).alias("key"), "node", "fp")
-    by_end = points.select(F.explode("ends").alias("key"), "node", "fp")
+    keys = masked_keys(radius, points.count())
+
+    def rows_of(some):
+        by_print = keyed(some.select("node", "fp"), keys).select((F.col("key").bitwiseAND(F.lit(-2))).alias("key"), "node", "fp")
+        return by_print.unionByName(some.select(F.explode("ends").alias("key"), "node", "fp"))
 
     def linked(columns):
-        fps, most = columns["fp"].view(np.uint64), np.where(columns["group"] & 1, wide, radius)
+        fps, most = columns["fp"].view(np.uint64), np.where(columns["group"] & 1, wide, radius).astype(np.uint8)
         return lambda i, j: np.bitwise_count(fps[i] ^ fps[j]) <= most[i]
 
-    joined = written(components(bucket_forest(by_print.unionByName(by_end), linked)), "candidates")
+    joined = written(components(bucket_forest(points, rows_of, linked)), "candidates")
     members = written(points.join(joined, "node").select("hash", "fp", "ends", "root", "first.*"), "members")
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     texts = texts.where(may_hold(members, "text_key")(F.col("text_key"))).alias("t")
@@ -286,16 +328,17 @@ def line_links(firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str, r
             ends = [frozenset(x) for x in t.column("ends").to_pylist()]
             lines = [b" ".join(normal(s, apart=False).split()).decode("utf-8", "surrogatepass") for s in texts_of(t.column("said"))]
             counted, long = np.fromiter(map(numbers, lines), dtype=np.int64, count=len(lines)), np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
-            last, forest = np.searchsorted(group, group, side="right"), Forest(len(fps))
+            last, root = np.searchsorted(group, group, side="right").tolist(), np.arange(len(fps))
             for i in range(len(fps)):
                 if last[i] > i + 1:
                     rest = slice(i + 1, last[i])
                     apart = np.bitwise_count(fps[rest] ^ fps[i])
-                    fits = (apart <= wide) & (counted[rest] == counted[i]) & (np.abs(long[rest] - long[i]) <= (1 - LEAST_SIMILARITY) * np.maximum(long[rest], long[i]))
+                    fits = (apart <= wide) & (root[rest] != root[i]) & (counted[rest] == counted[i]) & (np.abs(long[rest] - long[i]) <= (1 - LEAST_SIMILARITY) * np.maximum(long[rest], long[i]))
                     for j in (np.flatnonzero(fits) + i + 1).tolist():
-                        if forest.find(i) != forest.find(j) and (apart[j - i - 1] <= radius or ends[i] & ends[j]) and similar(lines[i], lines[j]):
-                            forest.join(np.array([i]), np.array([j]))
-            root = forest.roots()
+                        if root[i] != root[j] and (apart[j - i - 1] <= radius or ends[i] & ends[j]) and similar(lines[i], lines[j]):
+                            low, high = sorted((root[i], root[j]))
+                            own = root[low : last[i]]
+                            own[own == high] = low
             own = np.flatnonzero(root != np.arange(len(fps)))
             if len(own):
                 yield pa.RecordBatch.from_arrays([hashes.take(pa.array(own)), hashes.take(pa.array(root[own]))], names=["a", "b"])
@@ -349,7 +392,8 @@ def op9_fuzzy_line_dedup(spark, sf_dir: str) -> DataFrame:
     """For each row of documents its lines, how many of them repeat a line that stays, and the numbers of those."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     drops = written(_drops(docs, "doc_id", "text"), "drops")
-    sizes = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
+    given = F.coalesce("text", F.lit(""))
+    sizes = docs.select("doc_id", F.xxhash64("text").alias("text_key"), (F.octet_length(given) - F.octet_length(F.replace(given, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
     same = sizes["doc_id"].eqNullSafe(drops["_q_id"]) & (sizes["text_key"] == drops["_q_text"])
     n = F.coalesce(F.size("_q_lines"), F.lit(0)).cast("long")
     return sizes.join(drops, same, "left").select("doc_id", "n_lines", F.when(F.col("_q_lines").isNull(), F.lit(0)).otherwise(n).cast("long").alias("n_dropped"), F.coalesce(F.array_join("_q_lines", ","), F.lit("")).alias("dropped_lines"))

@@ -100,9 +100,9 @@ class Pivots:
         """A test of pairs: largest coordinate difference, the wide references first, then the exact distance."""
         d = np.ascontiguousarray(self.distances(fps)[:, ::-1])
 
-        def test(i: np.ndarray | slice, j: np.ndarray | slice) -> np.ndarray:
-            out = np.abs(d[i, :4] - d[j, :4]).max(axis=1) <= self.radius
-            a, b = (np.arange(len(fps))[x][out] for x in (i, j))
+        def test(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            out = np.abs(d[i, :4] - d[j, :4]).max(axis=-1) <= self.radius
+            a, b = (x[out] for x in np.broadcast_arrays(i, j))
             for cols in (slice(4, WIDE_PIVOTS), slice(WIDE_PIVOTS, None)):
                 left = np.abs(d[a, cols] - d[b, cols]).max(axis=1) <= self.radius
                 a, b, out[out] = a[left], b[left], left
@@ -221,12 +221,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     named = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
     prints = written(named.mapInArrow(run, "node long, fps array<long>, keys array<long>, sketch long, size long").where(F.size("fps") > 0).dropDuplicates(["node"]), "prints")
-    points = prints.select("node", F.explode(F.array_distinct("fps")).alias("fp"), F.get("fps", F.lit(0)).alias("whole"))
     pivots = Pivots(PART_RADIUS, 6 * prints.count())
     # the lowest bit of a key tells keys of shingles, whose rows have the sketch and the size, from those of parts
     even = F.col("key").bitwiseAND(F.lit(-2))
-    by_part = keyed(points, pivots.keys).withColumn("key", even)
-    by_shingle = prints.select(F.explode("keys").alias("key"), "node", F.col("sketch").alias("fp"), F.col("size").alias("whole")).withColumn("key", even.bitwiseOR(F.lit(1)))
+
+    def rows_of(some):
+        points = some.select("node", F.explode(F.array_distinct("fps")).alias("fp"), F.get("fps", F.lit(0)).alias("whole"))
+        by_part = keyed(points, pivots.keys).withColumn("key", even)
+        by_shingle = some.select(F.explode("keys").alias("key"), "node", F.col("sketch").alias("fp"), F.col("size").alias("whole")).withColumn("key", even.bitwiseOR(F.lit(1)))
+        return by_part.unionByName(by_shingle)
 
     def linked(columns):
         fps, wholes, short = columns["fp"].view(np.uint64), columns["whole"], (columns["group"] & 1).astype(bool)
@@ -238,7 +241,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return pairs
 
-    roots = written(components(bucket_forest(by_part.unionByName(by_shingle), linked)), "candidates")
+    roots = written(components(bucket_forest(prints, rows_of, linked)), "candidates")
     members = prints.join(roots, "node").select("node", "fps", "sketch", "size", "root")
     texts = named.where(may_hold(roots, "node")(F.col("node")))
     said = written(texts.join(members, "node").dropDuplicates(["node"]), "said")

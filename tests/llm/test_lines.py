@@ -221,3 +221,23 @@ def test_texts_of_very_many_lines(spark):
     assert got[1] == "\n".join(firsts)
     assert got[2] == "\n".join(near)
     assert 3 not in got or len(got[3].split("\n")) < 600
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["ab", "c", "défg", "", "hij"]), max_size=12), st.lists(st.sampled_from(["ab", "c", "défg", "", "hij"]), max_size=12))
+def test_edits_of_words_are_no_fewer_than_of_characters(x, y):
+    a, b = " ".join(x), " ".join(y)
+    edits, d = lines.words_apart(a, b), levenshtein(a, b)
+    assert edits >= d and (edits == 0) == (a == b)
+    for most in (0, 2, 5, 10):
+        assert (lines.words_apart(a, b, most) <= most) == (edits <= most)
+        assert lines.similar(a, b) == (d <= 0.2 * max(len(a), len(b)) + 1e-9)
+
+
+def test_words_that_are_changed_put_in_or_left_out_are_told_at_once(monkeypatch):
+    """Most lines that are alike need no edit distance; one that does would fail here."""
+    monkeypatch.setattr(lines, "edit_distance", None)
+    words = [f"word{i}" for i in range(40)]
+    line = " ".join(words)
+    for changed in (words[:3] + ["other"] + words[4:30] + ["else"] + words[31:], words[:5] + words[6:], words[:5] + ["more"] + words[5:20] + words[21:], words[1:], [*words, "end"]):
+        assert lines.similar(line, " ".join(changed))

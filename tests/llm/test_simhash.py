@@ -248,3 +248,37 @@ def test_query_is_that_of_brute_force(spark, sf_dir):
 def test_empty_table(spark):
     assert simhash.near_duplicates(cases.nothing(spark)).count() == 0
     assert simhash.dedup_stage(spark, cases.nothing(spark), "").count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 3, 65_536])
+@pytest.mark.parametrize("kind", ["bigint", "binary"])
+def test_components_in_chunks_of_any_size(spark, monkeypatch, most, kind):
+    monkeypatch.setattr(graph, "TASK_EDGES", most)
+    rng = np.random.default_rng(8)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-60, 60, (70, 2))] + [(200 + i, 200 + i + 1) for i in range(12)]
+    node = (lambda x: x) if kind == "bigint" else (lambda x: bytes([x % 256, x // 256 % 256]))
+    edges = [(node(a), node(b)) for a, b in pairs]
+    up = {x: x for e in edges for x in e}
+    for _ in up:
+        for a, b in edges:
+            up[a] = up[b] = min(up[a], up[b])
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, f"a {kind}, b {kind}").repartition(3)).collect()}
+    assert {k if kind == "bigint" else bytes(k): v if kind == "bigint" else bytes(v) for k, v in got.items()} == {x: r for x, r in up.items() if any(a != b and x in (a, b) for a, b in edges)}
+
+
+def test_a_graph_of_one_chunk_takes_no_rounds(spark, monkeypatch):
+    """A chain of 300 in 5 tasks takes several rounds of shuffles otherwise, which cost most of a run on many partitions."""
+    names, keep = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: names.append(name) or keep(df, name))
+    edges = spark.range(300).selectExpr("id AS a", "id + 1 AS b").repartition(5)
+    assert graph.components(edges).where("root = 0").count() == 301 and names == ["edges", "small"]
+
+
+def test_pairs_of_equal_keys(monkeypatch):
+    monkeypatch.setattr(graph, "SQUARE_PAIRS", 200)
+    rng = np.random.default_rng(2)
+    keys = np.sort(np.concatenate([rng.integers(0, 40, 150), np.full(33, 50), np.full(31, 51), np.full(90, 52)]))
+    values = rng.integers(0, 5, len(keys))
+    found = [p for i, j in graph.same_key_pairs(keys, lambda i, j: values[i] == values[j]) for p in zip(i.tolist(), j.tolist(), strict=True)]
+    assert sorted(found) == [(i, j) for i in range(len(keys)) for j in range(i + 1, len(keys)) if keys[i] == keys[j] and values[i] == values[j]]
+    assert list(graph.same_key_pairs(keys[:0], lambda i, j: values[i] == values[j])) == []
