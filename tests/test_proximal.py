@@ -1,8 +1,11 @@
 """Whole-table proximal solvers against the same methods on dense matrices, and what must hold of any solution."""
 
+import threading
+
 import numpy as np
 import pytest
 
+from quayside import catalogue
 from quayside.operators import proximal
 
 PENALTY = proximal.PENALTY
@@ -154,3 +157,21 @@ def test_the_state_is_written_without_the_atoms(spark, monkeypatch, solver):
     assert found.count() == 6
     assert seen["atoms"] == ["agent_id", "_r0", "_r1"]
     assert set(seen["solver"]) <= {"agent_id", "_r0", "_r1", "x", "y", "n", "d", "z", "r", "p"}
+
+
+def test_solver_reports_run_beside_each_other(spark, sf_dir, monkeypatch):
+    """Each of two solvers waits for the other to begin; rows stay in the order of the methods."""
+    met = threading.Barrier(2)
+
+    def beside(name):
+        def run(pool, target, capacity):
+            met.wait(120)
+            return pool, proximal.Report(name, [0.0], float(pool.count()), 3, True)
+
+        return run
+
+    for name in ("fista", "irls"):
+        monkeypatch.setattr(proximal, name, beside(name))
+    rows = [tuple(r) for r in catalogue.QUERIES["solver_reports"](spark, sf_dir).collect()]
+    assert [r[0] for r in rows] == ["mp", "omp", "ols", "fista", "irls"]
+    assert rows[3][1:] == rows[4][1:] and rows[3][2] > 1000

@@ -200,3 +200,24 @@ def test_methods_by_name(case):
     assert ids(methods.method("fifo_strict")(case.tasks, case.rem, case.cap)) == taken(case.d, case.remaining, range(len(case.d)), strict=True)
     with pytest.raises(ValueError, match="unknown method"):
         methods.method("lifo")
+
+
+def test_pools_are_what_sorts_of_all_tasks_give(case):
+    """Ties across the end of a pool, scores that rounding makes equal, and pools of more tasks than there are."""
+    alike = case.tasks.unionByName(case.tasks.withColumn("agent_id", F.col("agent_id") + 1000)).unionByName(case.tasks.where("agent_id < 9").withColumn("agent_id", F.col("agent_id") - 50))
+    wide = {d: 10**9 for d in case.demands}, {d: 10**12 for d in case.demands}
+    for tasks, k, rem, cap in ((alike, 31, case.rem, case.cap), (alike, 31, *wide), (alike, 5000, *wide), (alike.limit(0), 1, *wide)):
+        found = retrieve.pools(tasks, ["omp", "fista"], rem, cap, k)
+        for m in found:
+            assert found[m].collect() == retrieve.top_k(retrieve.scored(tasks, m, rem, cap), k).collect()
+
+
+@pytest.mark.parametrize("method", demand.METHODS)
+def test_few_tasks_reach_the_floor_of_a_pool(spark, method):
+    """Of 60,000 tasks the 500 best are sorted and few others, whatever the scale of the capacity."""
+    tasks = spark.range(60_000).select(F.col("id").alias("agent_id"), *((F.pmod(F.col("id") * p, F.lit(9973)) + 1).alias(f"r{k}") for k, p in enumerate((7919, 104729, 1299709))))
+    for capacity in ([10**5] * 3, [10**8] * 3):
+        low = retrieve.floors(tasks, [method], [10**5] * 3, capacity, 500)
+        reach = tasks.where(demand.score(method, [10**5] * 3, capacity) >= F.lit(low[method])).count()
+        assert 500 <= reach < 900
+    assert retrieve.floors(tasks.limit(499), [method], [10**5] * 3, [10**5] * 3, 500) == {}
