@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quayside.operators import order as orders
 from quayside.operators import pack, retrieve
 from quayside.operators.order import arrival_ranks, reranked, with_arrival
 from quayside.plans import waves
@@ -86,3 +87,25 @@ def test_nobody_arrives(spark):
     nobody = spark.createDataFrame([], "agent_id bigint, r0 bigint, r1 bigint")
     tasks = with_arrival(nobody, spark.createDataFrame([], "place bigint, agent_id bigint"), "place")
     assert pack.strict_prefix(tasks, [1, 1], "arrival").count() == 0
+
+
+def test_a_strict_batch_has_no_window(spark):
+    tasks = spark.range(70_000).select(F.col("id").alias("agent_id"), F.lit(1).cast("bigint").alias("r0"), (69_999 - F.col("id")).alias("arrival")).repartition(3)
+    assert tuple(pack.strict_prefix(tasks, [69_000], "arrival").agg(F.count("*"), F.min("agent_id"), F.max("arrival")).first()) == (69_000, 1_000, 68_999)
+    assert pack.strict_prefix(tasks, [69_000], "arrival", pack.WINDOW).count() == pack.WINDOW
+
+
+@pytest.mark.parametrize("limit", [[0, 0], [40, 900], [900, 300], [10_000, 10_000]])
+def test_a_strict_batch_takes_the_rows_whose_sums_fit(spark, monkeypatch, limit):
+    """As SQL sums up, over chunks of few ranks: demands that are null count nothing, negative ones make room again."""
+    rng = random.Random(4)
+    demands = [[rng.choice([None, -3, 1, 7, 12]) if rng.random() < 0.4 else 5 for _ in range(2)] for _ in range(200)]
+    demands[32:34] = demands[100:102] = [[None, None], [None, 4]]
+    monkeypatch.setattr(orders, "CHUNK_ROWS", 8)
+    want, sums = [], [None, None]
+    for i, d in enumerate(demands):
+        sums = [s if x is None else (s or 0) + x for s, x in zip(sums, d, strict=True)]
+        if all(s is not None and s <= c for s, c in zip(sums, limit, strict=True)):
+            want.append(i)
+    tasks = spark.createDataFrame([(i, *d, i) for i, d in enumerate(demands)], "agent_id bigint, r0 bigint, r1 bigint, arrival bigint").repartition(4)
+    assert found(pack.strict_prefix(tasks, limit, "arrival")) == want
