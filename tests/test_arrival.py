@@ -95,6 +95,14 @@ def test_a_strict_batch_has_no_window(spark):
     assert pack.strict_prefix(tasks, [69_000], "arrival", pack.WINDOW).count() == pack.WINDOW
 
 
+def test_a_second_strict_batch_has_no_window(spark):
+    """It begins where the whole first batch ends, and has more than a window of tasks itself."""
+    tasks = spark.range(150_000).select(F.col("id").alias("agent_id"), F.lit(1).cast("bigint").alias("r0"), (149_999 - F.col("id")).alias("arrival")).repartition(3)
+    rest = pack.strict_rest(tasks, [70_000], "arrival")
+    assert tuple(rest.agg(F.count("*"), F.min("arrival"), F.max("arrival")).first()) == (80_000, 70_000, 149_999)
+    assert tuple(pack.strict_prefix(rest, [70_000], "arrival").agg(F.count("*"), F.min("arrival"), F.max("arrival")).first()) == (70_000, 70_000, 139_999)
+
+
 @pytest.mark.parametrize("limit", [[0, 0], [40, 900], [900, 300], [10_000, 10_000]])
 def test_a_strict_batch_takes_the_rows_whose_sums_fit(spark, monkeypatch, limit):
     """As SQL sums up, over chunks of few ranks: demands that are null count nothing, negative ones make room again."""
@@ -109,3 +117,4 @@ def test_a_strict_batch_takes_the_rows_whose_sums_fit(spark, monkeypatch, limit)
             want.append(i)
     tasks = spark.createDataFrame([(i, *d, i) for i, d in enumerate(demands)], "agent_id bigint, r0 bigint, r1 bigint, arrival bigint").repartition(4)
     assert found(pack.strict_prefix(tasks, limit, "arrival")) == want
+    assert found(pack.strict_rest(tasks, limit, "arrival")) == sorted(set(range(200)) - set(want))
