@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..functions.demand import TOLERANCE, Amounts, by_demand, demand_columns, demands_of, like_given
-from ..operators.order import ranked, running_sums
-from ..operators.pack import WINDOW, best_fit, first_fit_window, scan_in_order
+from ..functions.demand import TOLERANCE, Amounts, by_demand, demand_columns, demands_of, like_given, rank_key, score
+from ..operators.order import ranked, running_sums, task_count
+from ..operators.pack import WINDOW, best_fit, best_outside, first_fit_window, pool_batches, scan_in_order
 from ..operators.retrieve import POOL, active, scored, top_k
 from ..sources.shared import written
 
@@ -19,18 +19,22 @@ MOST_WAVES = 10_000
 KEPT_GONE = 1 << 20
 #: Windows that one task packs at a time where tasks begin not to fit.
 LOOKED = 4
+#: Pools of the best tasks that one task packs batches from.
+FRONT = 32
 
 
 @dataclass
 class Policy:
     """How a batch is taken from active tasks, what remains and the capacity; it looks at rows tasks at most.
 
-    A policy that is first fit over the first rows tasks of an order names it as rank.
+    A policy that is first fit over the first rows tasks of an order names it as rank, one that is best fit over the rows best
+    by a method's score names that.
     """
 
     take: Callable[[DataFrame, Amounts, Amounts], DataFrame]
     rows: int
     rank: str | None = None
+    method: str | None = None
 
 
 def require_equal_durations(tasks: DataFrame) -> None:
@@ -82,7 +86,7 @@ def fifo_policy(window: int = WINDOW, rank: str = "agent_id") -> Policy:
 
 def sparse_policy(method: str, pool: int = POOL) -> Policy:
     """The best pool of a method's proxy, packed by best fit."""
-    return Policy(lambda tasks, remaining, capacity: best_fit(top_k(scored(tasks, method, remaining, capacity), pool), remaining, pool), pool)
+    return Policy(lambda tasks, remaining, capacity: best_fit(top_k(scored(tasks, method, remaining, capacity), pool), remaining, pool), pool, method=method)
 
 
 def first_come_waves(tasks: DataFrame, capacity: Amounts, window: int = WINDOW, rank: str = "agent_id") -> DataFrame:
@@ -154,17 +158,105 @@ def first_come_waves(tasks: DataFrame, capacity: Amounts, window: int = WINDOW,
     return out.select(*tasks.columns, "wave")
 
 
+def by_level(tasks: DataFrame, capacity: Amounts, rows: int, step: int) -> tuple[DataFrame, list[Row]]:
+    """Tasks from the best by mp for the whole capacity on, and where stretches of step of them at most begin (_at), their rows and their best score (level)."""
+    below = (-rank_key(score("mp", capacity, capacity))).alias("_below")
+    spread = tasks.select("agent_id", *demands_of(capacity), below).repartitionByRange(task_count(rows), "_below", "agent_id").sortWithinPartitions("_below", "agent_id")
+    spread = written(spread.select("*", F.monotonically_increasing_id().alias("_at")), "levels")
+    stretch = F.floor(F.col("_at") / F.lit(step))
+    return spread, spread.groupBy(stretch).agg(F.min("_at").alias("at"), F.count(F.lit(1)).alias("n"), (-F.min("_below")).alias("level")).orderBy("at").collect()
+
+
+def mp_pool_waves(tasks: DataFrame, capacity: Amounts, policy: Policy, rows: int, least: list, greatest: list) -> DataFrame:
+    """(agent_id, wave) of policy_waves for a policy by mp, without a pass over all that is left for each batch.
+
+    What remains shrinks about evenly, so the best tasks are nearly those for the whole capacity. The table is sorted by that score once,
+    and its best rows are the front: one task packs batches from it as long as nothing behind it could be in a pool. Where it could, at the end of a
+    wave mostly, Spark takes one batch from all rows that may reach the front's last score. The driver holds where stretches of the table begin.
+    Batches are written; what is left of the front is written again when KEPT_GONE of its ids are gone.
+    """
+    pool, amounts = policy.rows, list(by_demand(capacity).values())
+    most = min(FRONT * pool, max(pool, rows // 4))
+    base, stretches = by_level(tasks, capacity, rows, max(1, most // 32))
+    demands, closed = demands_of(capacity), 0
+    front, n_front, gone, n_gone, ahead, n_ahead = base.limit(0), 0, None, 0, None, 0
+    done, wave, remaining, fresh, floor = None, 0, capacity, True, None
+
+    def behind(start: int, end: int) -> DataFrame:
+        """Stretches of the table from start to before end."""
+        rows_there = base.where(F.col("_at") >= (stretches[start]["at"] if start < len(stretches) else 1 << 62))
+        rows_there = rows_there.where(F.col("_at") < stretches[end]["at"]) if end < len(stretches) else rows_there
+        return rows_there if ahead is None else active(rows_there, ahead, bounded=True)
+
+    def left_in_front() -> DataFrame:
+        return front if gone is None else active(front, gone, bounded=n_gone < KEPT_GONE)
+
+    def reach(at: int) -> float:
+        """The best score that a task from a stretch on may have now."""
+        return best_outside(stretches[at]["level"], list(by_demand(remaining).values()), amounts, greatest)
+
+    while rows:
+        opened = closed
+        while closed < len(stretches) and (not n_front or n_front + stretches[closed]["n"] <= most):
+            n_front, closed = n_front + stretches[closed]["n"], closed + 1
+        if closed > opened:
+            front = front.unionByName(behind(opened, closed))
+        level = stretches[closed]["level"] if closed < len(stretches) else None
+        alone = floor is None or level is None or (closed > opened and (not floor or reach(closed) < floor))
+        if alone:
+            batch = pool_batches(left_in_front(), remaining, capacity, pool, wave, least, greatest, level)
+        else:
+            near = left_in_front().unionByName(behind(closed, next((at for at in range(closed, len(stretches)) if reach(at) < floor), len(stretches))))
+            near = near.where(rank_key(score("mp", remaining, capacity)) >= F.lit(floor - 1e-3))
+            batch = policy.take(near, remaining, capacity).select("agent_id", *demands, F.lit(wave).cast("bigint").alias("wave"), F.lit(None).cast("double").alias("floor"), F.lit(-1).alias("n_left"))
+        batch = written(batch, "batch")
+        told = {r["wave"]: r for r in batch.groupBy("wave").agg(F.count("agent_id").alias("n"), F.max("floor").alias("floor"), F.max("n_left").alias("n_left"), *(F.sum(d).alias(d) for d in demands)).collect()}
+        n, now = sum(r["n"] for r in told.values()), max(told, default=wave)
+        last, rows = told.get(now), rows - n
+        remaining, fresh = (remaining, fresh) if now == wave else (capacity, True)
+        if last and last["n"]:
+            fresh = False
+            remaining = like_given([r - last[d] for d, r in by_demand(remaining).items()], remaining)
+        if alone:
+            wave, floor, n_front = now, last["floor"] or 0.0, last["n_left"]
+        else:
+            floor = None
+            if not n and not fresh:
+                wave, remaining, fresh, n = wave + 1, capacity, True, None
+        if rows and (n == 0 and fresh and not alone or level is None and alone):
+            raise ValueError("a task fits no wave")
+        if wave >= MOST_WAVES:
+            raise RuntimeError(f"more than {MOST_WAVES} waves")
+        if n:
+            taken = batch.where(F.col("agent_id").isNotNull())
+            ids, n_gone = taken.select("agent_id"), n_gone + n
+            done = taken.select("agent_id", "wave") if done is None else done.unionByName(taken.select("agent_id", "wave"))
+            gone = ids if gone is None else gone.unionByName(ids)
+            if not alone:
+                ahead, n_ahead = ids if ahead is None else ahead.unionByName(ids), n_ahead + n
+            if n_gone >= KEPT_GONE and rows:
+                front, gone, n_gone = written(left_in_front(), "left"), None, 0
+            if n_ahead >= KEPT_GONE and rows:
+                base, ahead, n_ahead = written(behind(closed, len(stretches)), "levels"), None, 0
+    return done if done is not None else tasks.select("agent_id", F.lit(0).cast("bigint").alias("wave")).limit(0)
+
+
 def policy_waves(tasks: DataFrame, capacity: Amounts, policy: Policy) -> DataFrame:
     """tasks with wave: in each wave batches are taken until none fits, then capacity is whole again.
 
     Batches are written, and what is left is the table without their ids; it is written again when KEPT_GONE of them are gone. A
     batch that all active tasks were looked at for leaves none that fits, as demands are positive. Durations must be equal.
-    First-come policies need no such rounds: first_come_waves gives the same waves.
+    First-come policies need no such rounds, first_come_waves gives the same waves; nor do pools by mp over demands that are not negative: mp_pool_waves.
     """
     require_equal_durations(tasks)
     if policy.rank is not None:
         return first_come_waves(tasks, capacity, policy.rows, policy.rank)
     demands = demands_of(capacity)
+    if policy.method == "mp":
+        told = tasks.agg(F.count(F.lit(1)).alias("n"), *(f(d) for d in demands for f in (F.min, F.max, F.count))).first()
+        least, greatest, counts = told[1::3], told[2::3], told[3::3]
+        if set(counts) == {told["n"]} and min(least, default=-1) >= 0:
+            return tasks.join(mp_pool_waves(tasks, capacity, policy, told["n"], list(least), list(greatest)), "agent_id")
     base, left, done, gone, n_gone, wave = tasks, tasks, None, None, 0, 0
     rows = left.count()
     while rows:

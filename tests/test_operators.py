@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quayside.functions.demand import DEMANDS
+from quayside.functions.demand import DEMANDS, rank_key
 from quayside.operators import metrics, order, pack, retrieve, solve, validate
 from quayside.operators.order import ranked, running_sums
 from quayside.plans import dispatch, waves
@@ -298,3 +298,45 @@ def test_what_is_left_is_not_written_for_each_batch(spark, monkeypatch):
     got = waves.policy_waves(tasks, [70, 50], waves.sparse_policy("mp", 10)).collect()
     assert sorted(r["agent_id"] for r in got) == list(range(40))
     assert names.count("batch") >= 4 and names.count("left") == 1
+
+
+def test_rank_keys_are_those_of_spark(spark):
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.random(3_000), (rng.integers(1, 10**9, 3_000) + 0.5) / 1e10, rng.integers(1, 50, 3_000) / 7_919 * (rng.integers(1, 50, 3_000) / 64)])
+    got = [r[0] for r in spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(rank_key(F.col("v"))).collect()]
+    assert (np.round(np.array(got) * 1e4) == pack.rank_keys(values)).all()
+
+
+def test_no_task_behind_a_level_scores_more():
+    rng = np.random.default_rng(9)
+    d, whole = rng.integers(1, 90, (500, 3)), np.array([4_000, 2_500, 3_200])
+    level = (d / whole).sum(axis=1) * 1e6
+    for _ in range(50):
+        left, limit = whole * rng.random(3), rng.choice(level)
+        assert (d / whole * (left / whole)).sum(axis=1)[level <= limit].max() * 1e6 <= pack.best_outside(limit, left, whole, d.max(axis=0))
+
+
+def test_waves_by_mp_equal_batches_without_a_pass_for_each(spark, monkeypatch):
+    """The waves of rounds that take best fit over the best pool of all tasks left, ties by id; several batches are packed at once."""
+    rng = np.random.default_rng(8)
+    n, pool, capacity = 240, 8, [1_500, 1_400]
+    d = rng.integers(1, 40, (n, 2))
+    d[100:180] = d[:80]
+    key = lambda x: round(x * 1e6, 4)
+    left, wave, batches, want = set(range(n)), 0, 0, {}
+    while left:
+        room = np.array(capacity)
+        while fits := [i for i in left if (d[i] <= room).all()]:
+            best = sorted(fits, key=lambda i: (-key(d[i, 0] / capacity[0] * (room[0] / capacity[0]) + d[i, 1] / capacity[1] * (room[1] / capacity[1])), i))[:pool]
+            batches, before = batches + 1, room
+            for i in sorted(best, key=lambda i: (-key(d[i, 0] / before[0] + d[i, 1] / before[1]), i)):
+                if (d[i] <= room).all():
+                    room, want[i] = room - d[i], wave
+            left -= set(want)
+        wave += 1
+    names, keep = [], waves.written
+    monkeypatch.setattr(waves, "written", lambda df, name: names.append(name) or keep(df, name))
+    tasks = spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(d)], "agent_id bigint, r0 bigint, r1 bigint").repartition(3)
+    got = {r["agent_id"]: r["wave"] for r in waves.policy_waves(tasks, capacity, waves.sparse_policy("mp", pool)).collect()}
+    assert got == want and wave > 3
+    assert names.count("batch") < batches * 2 // 3
